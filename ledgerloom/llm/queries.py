@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import media, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_sharding": op6_sharding,
+    "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL}
