@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, quality_model, quality_rules, sharding, simhash, toxicity
+from . import media, mixing, packing, quality_model, quality_rules, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.assess(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_quality_model": op2_quality_model,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
