@@ -104,12 +104,14 @@ def bucket_bits(total_bytes: int, each: int) -> int:
 
 ASK = "bucket int, shard long, ask binary"
 REPLY = "shard long, bucket int, reply binary"
+#: The shard of rows that hold a bucket's own report and answer no shard.
+REPORT = -1
 
 
-def ask_buckets(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], list[bytes]]) -> DataFrame:
+def ask_buckets(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], list[bytes]], report: Callable[[list[tuple[int, bytes]]], bytes] | None = None) -> DataFrame:
     """(shard, bucket, reply): ``answer`` gets all (shard, ask) of a bucket in the order of
-    shards and returns a reply for each. Rows of a bucket meet in one task; buckets are
-    key ranges of bounded content."""
+    shards and returns a reply for each; ``report`` may add one row of shard REPORT. Rows
+    of a bucket meet in one task; buckets are key ranges of bounded content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -125,19 +127,40 @@ def ask_buckets(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], lis
 
     def send(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         replies = answer(held)
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array(replies, pa.binary())], ["shard", "bucket", "reply"])
+        shards = [s for s, _ in held]
+        if report is not None:
+            replies, shards = [*replies, report(held)], [*shards, REPORT]
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([bucket] * len(shards), pa.int32()), pa.array(replies, pa.binary())], ["shard", "bucket", "reply"])
 
     tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = asks.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard")
     return materialize(sorted_.mapInArrow(run, REPLY), "replies")
 
 
+def pack_report(**columns: np.ndarray) -> bytes:
+    """Columns of equal length as 64-bit numbers, one after another."""
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values())
+
+
+def reports(replies: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The rows of all reports; ``columns``: their names and kinds, long or double."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                n = len(raw) // 8 // len(columns)
+                cols = [pa.array(np.frombuffer(raw, "<i8" if kind == "long" else "<f8", n, 8 * n * i)) for i, kind in enumerate(columns.values())]
+                yield pa.RecordBatch.from_arrays(cols, list(columns))
+
+    return replies.where(F.col("shard") == REPORT).select("reply").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in columns.items()))
+
+
 def with_replies(packed: DataFrame, replies: dict[str, DataFrame]) -> DataFrame:
     """``packed`` with one column per name: the replies to each shard, in bucket order; null
     where there are none. :func:`joined_reply` makes one array of them."""
     out = packed
     for name, r in replies.items():
-        joined = r.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("got"))
+        joined = r.where(F.col("shard") != REPORT).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("got"))
         joined = joined.select("shard", F.col("got.reply").alias(name))
         out = out.join(joined, "shard", "left")
     return out
