@@ -72,3 +72,23 @@ def test_keep_one_keeps_one_of_each_group(spark):
     out = simhash.keep_one(spark.createDataFrame(rows, DOCS).withColumnRenamed("n_chars", "fp")).collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "None"]
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_near_copies_of_five_word_shingles_are_found_and_others_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    grams = {}
+    for i, t in rows:
+        w = t.lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    by = {}
+    for i, g in grams.items():
+        for x in g:
+            by.setdefault(x, []).append(i)
+    pairs = {(min(a, b), max(a, b)) for l in by.values() for a in l for b in l[:30] if a != b}
+    alike = {p: len(grams[p[0]] & grams[p[1]]) / len(grams[p[0]] | grams[p[1]]) for p in pairs}
+    gone = {r.doc_id for r in docs.join(simhash.keep_one(docs).select("doc_id"), "doc_id", "left_anti").collect()}
+    must = {max(p) for p, j in alike.items() if j >= 0.85}
+    may = {k for p, j in alike.items() if j >= 0.65 for k in p}
+    assert len(must - gone) <= 0.05 * len(must), (len(must), len(must - gone))
+    assert gone <= may
