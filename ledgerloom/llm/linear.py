@@ -121,6 +121,7 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size:
     row = np.repeat(np.arange(len(rows)), lens)
     n = max(1, len(rows))
     used, col = np.unique(col, return_inverse=True)
+    col, row = col.astype(np.int32), row.astype(np.int32)
     w, b = np.zeros(len(used)), 0.0
     if 0 < (m := float(np.mean(y)) if len(rows) else 0.5) < 1:
         b = np.log(m / (1 - m))
