@@ -119,7 +119,18 @@ def convert_expenses(expense: DataFrame, legs: DataFrame, currency: DataFrame, b
     on or before the expense's own day, else the earliest later one."""
     exp = F.broadcast(currency.select("code", "exponent"))
     wanted = expense.withColumn("from_cur", F.col("currency")).withColumn("to_cur", F.lit(base)).withColumn("day", F.col("occurred_date"))
-    df = resolve(wanted, legs, near=True).join(exp.toDF("from_cur", "eb"), "from_cur", "left").join(exp.toDF("to_cur", "eq"), "to_cur", "left")
+    if base == PIVOT:
+        # every rate is a direct one, so nothing is crossed: one lookup per currency and day
+        slim = wanted.select("from_cur", "to_cur", "day").distinct()
+        same = F.col("from_cur") == F.col("to_cur")
+        near = rate_near(slim, legs).select(
+            "from_cur", "to_cur", "day", F.when(same, F.lit(1)).otherwise(F.col("num")).cast("decimal(38,0)").alias("num"), F.when(same, F.lit(1)).otherwise(F.col("den")).cast("decimal(38,0)").alias("den"),
+            F.when(same, F.array().cast("array<string>")).when(F.col("num").isNotNull(), F.array("id")).alias("legs"), F.when(~same, F.col("rate_date")).alias("quote_date"),
+        )
+        df = wanted.join(near, ["from_cur", "to_cur", "day"], "left")
+    else:
+        df = resolve(wanted, legs, near=True)
+    df = df.join(exp.toDF("from_cur", "eb"), "from_cur", "left").join(exp.toDF("to_cur", "eq"), "to_cur", "left")
     minor = F.when(F.col("from_cur") == F.col("to_cur"), F.col("total_minor")).otherwise(convert(F.col("total_minor"), F.col("num"), F.col("den"), F.col("eb"), F.col("eq")))
     df = df.withColumn("total_base_minor", F.when(F.col("num").isNotNull(), minor)).withColumn("base_currency", F.lit(base))
     keep = [*expense.columns, "total_base_minor", "base_currency", "legs", "quote_date"]

@@ -59,28 +59,29 @@ def legs(v: Views) -> DataFrame:
 
 
 def based(v: Views) -> DataFrame:
-    return fx.convert_expenses(v.expense, legs(v), v.currency)[0]
+    return v.once("based", lambda: fx.convert_expenses(v.expense, legs(v), v.currency)[0])
 
 
 def all_shares(v: Views) -> DataFrame:
-    return split.shares(v.expense, v.expense_share, v.line_item, v.line_item_assignment, v.participant)
+    return v.once("shares", lambda: split.shares(v.expense, v.expense_share, v.line_item, v.line_item_assignment, v.participant))
 
 
-def shares_in_base(v: Views, keep_rejects: bool = False) -> DataFrame:
-    return split.in_base(all_shares(v), based(v), "share_minor")
+def shares_in_base(v: Views) -> DataFrame:
+    return v.once("shares_in_base", lambda: split.in_base(all_shares(v), based(v), "share_minor"))
 
 
 def payments_in_base(v: Views) -> DataFrame:
-    return split.in_base(v.expense_payment, based(v), "amount_minor")
+    return v.once("payments_in_base", lambda: split.in_base(v.expense_payment, based(v), "amount_minor"))
 
 
 def facts(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     """paid, consumed, settlements with group_id, without rejected expenses."""
-    consumed = shares_in_base(v)
-    bad = consumed.where("base_minor IS NULL").select("expense_id").distinct()
+    # shares of both signs have no proportions; only itemised splits can have them
+    items = split.itemised(v.expense, v.line_item, v.line_item_assignment, v.participant)
+    bad = items.groupBy("expense_id").agg(F.min("share_minor").alias("low"), F.max("share_minor").alias("high")).where("low < 0 AND high > 0").select("expense_id")
     group = v.expense.select("expense_id", "group_id")
     ok = lambda df: df.join(bad, "expense_id", "left_anti").join(group, "expense_id")
-    return ok(payments_in_base(v)), ok(consumed), v.settlement.where("currency = 'EUR'")
+    return ok(payments_in_base(v)), ok(shares_in_base(v)), v.settlement.where("currency = 'EUR'")
 
 
 def group_balances(v: Views) -> DataFrame:

@@ -117,6 +117,12 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._dir, self._made = spark, sf_dir, {}
 
+    def once(self, name: str, build) -> DataFrame:
+        """A derived table, planned once, so that its exchanges can be reused in a query."""
+        if name not in self._made:
+            self._made[name] = build()
+        return self._made[name]
+
     def table(self, name: str) -> DataFrame:
         return self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
 
