@@ -49,6 +49,19 @@ def exchange_sides(exchange: DataFrame) -> DataFrame:
     return exchange.select("exchange_id", "person_id", F.concat(F.lit("rate-"), F.col("exchange_id").cast("string")).alias("fx_rate_id"), F.explode(sides).alias("s")).select("exchange_id", "person_id", "fx_rate_id", "s.currency", "s.amount_minor")
 
 
+def withdrawals(withdrawal: DataFrame, fee_category: str = "fees") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(movements, implied rates, fee expenses) of ``withdrawal(withdrawal_id, person_id,
+    currency, amount_minor, charged_currency, charged_minor, fee_minor, method_id)``: the
+    cash that came in; the rate of charge to cash, where the currencies differ; the fee as
+    an expense of the owner alone."""
+    rate_id = F.concat(F.lit("rate-"), F.col("withdrawal_id").cast("string"))
+    foreign = F.col("currency") != F.col("charged_currency")
+    moved = withdrawal.select("withdrawal_id", "person_id", "currency", "amount_minor", F.when(foreign, rate_id).alias("fx_rate_id"), "method_id")
+    rates = withdrawal.where(foreign).select(rate_id.alias("id"), F.col("charged_currency").alias("base"), F.col("currency").alias("quote"), F.col("amount_minor").alias("num"), F.col("charged_minor").alias("den"))
+    fees = withdrawal.where("fee_minor > 0").select("withdrawal_id", F.lit(fee_category).alias("category_id"), F.col("charged_currency").alias("currency"), F.col("fee_minor").alias("total_minor"), F.col("person_id").alias("payer"), "method_id")
+    return moved, rates, fees
+
+
 def counterpart(movement: DataFrame) -> DataFrame:
     """The other side of each exchange: same rate, another currency, as an amount above 0."""
     a, b = movement.alias("a"), movement.alias("b")

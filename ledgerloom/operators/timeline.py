@@ -75,3 +75,18 @@ def payers_text(payment: DataFrame, person: DataFrame, method: DataFrame) -> Dat
     named = payment.join(person.select("person_id", "name"), "person_id", "left").join(F.broadcast(method.select(F.col("method_id").alias("payment_method_id"), F.col("name").alias("method"))), "payment_method_id", "left")
     text = F.concat("name", F.when(F.col("method").isNotNull(), F.concat(F.lit(" ("), "method", F.lit(")"))).otherwise(""))
     return named.groupBy("expense_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("person_id", text.alias("t")))), lambda x: x["t"]), ", ").alias("payers"))
+
+
+def receipt_archive(receipt: DataFrame, expense: DataFrame, query: str = "") -> DataFrame:
+    """Receipts with the earliest live expense that holds them; ``query`` is looked for in
+    merchant, title and recognised text, a blank one matches all."""
+    w = Window.partitionBy("receipt_id").orderBy("created_at", "expense_id")
+    first = expense.where("receipt_id IS NOT NULL").withColumn("__n", F.row_number().over(w)).where("__n = 1").select("receipt_id", "expense_id", "title")
+    df = receipt.join(first, "receipt_id", "left")
+    q = query.strip().lower()
+    if not q:
+        return df
+    hit = F.lit(False)
+    for c in ("merchant", "title", "raw_text"):
+        hit |= F.coalesce(F.lower(c).contains(q), F.lit(False))
+    return df.where(hit)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import receipt_text as rt
 from ..functions.money import amount_text, decimal_text
 from ..operators import balances as bal
-from ..operators import fx
+from ..operators import cash, fx
+from ..operators import receipt_layout as layout
+from ..operators import timeline as tl
 from ..sources import readers, writers
 from ..streaming import jobs
 from .core import based, facts, group_balances
@@ -156,3 +158,66 @@ def st3(v: Views) -> DataFrame:
 @query("ST4_refresh_due", "SELECT id, fetched_at IS NULL OR 86400000::BIGINT * 1500 - fetched_at >= CASE WHEN source = 'main' THEN 3600000 ELSE 86400000 END AS due FROM exchange_rate", "exchange_rate")
 def st4(v: Views) -> DataFrame:
     return v.exchange_rate.select("id", jobs.refresh_due(F.col("fetched_at"), F.lit(86400000 * 1500), F.col("source") == "main").alias("due"))
+
+
+FRAGMENT = "fragment AS (SELECT expense_id AS receipt_id, position AS idx, (position % 2) * 300 + position AS left, position * 30 + (position // 3) * 25 AS top, (position % 2) * 300 + 250 - position % 7 AS right, position * 30 + (position // 3) * 25 + 18 + position % 5 AS bottom, text || CASE WHEN position % 3 = 0 THEN '' ELSE ' 5' END AS text FROM line_item),\nheights AS (SELECT receipt_id, h FROM (SELECT receipt_id, bottom - top AS h, row_number() OVER (PARTITION BY receipt_id ORDER BY bottom - top, idx) AS r, count(*) OVER (PARTITION BY receipt_id) AS n FROM fragment) WHERE r = n // 2 + 1)"
+
+
+def _fragment(v: Views) -> DataFrame:
+    p, third = F.col("position"), F.floor(F.col("position") / 3)
+    side, top = (p % 2) * 300, p * 30 + third * 25
+    return v.line_item.select(F.col("expense_id").alias("receipt_id"), p.alias("idx"), (side + p).alias("left"), top.alias("top"), (side + 250 - p % 7).alias("right"), (top + 18 + p % 5).alias("bottom"), F.concat("text", F.when(p % 3 == 0, "").otherwise(" 5")).alias("text"))
+
+
+@query("WIN7_blocks", "SELECT receipt_id, idx, sum(CASE WHEN above IS NULL OR 2 * (top - above) >= h THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id ORDER BY top, \"left\", idx)::BIGINT AS block FROM (SELECT f.*, h, max(bottom) OVER (PARTITION BY f.receipt_id ORDER BY top, \"left\", idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM fragment f JOIN heights t ON t.receipt_id = f.receipt_id)", "line_item", FRAGMENT)
+def win7(v: Views) -> DataFrame:
+    return layout.blocks(_fragment(v)).select("receipt_id", "idx", "block")
+
+
+@query("RC2_price_column", "SELECT receipt_id, idx, (r - \"right\") * 8 < r - l AND (\"left\" - l) * 2 > r - l AND regexp_matches(text, '[0-9]') AS in_price_column FROM (SELECT *, min(\"left\") OVER (PARTITION BY receipt_id) AS l, max(\"right\") OVER (PARTITION BY receipt_id) AS r FROM fragment)", "line_item", FRAGMENT)
+def rc2(v: Views) -> DataFrame:
+    return layout.price_column(_fragment(v)).select("receipt_id", "idx", "in_price_column")
+
+
+@query("RC25_turned_boxes", "SELECT receipt_id, idx, round(200 + greatest((\"left\" - 200) * c - (top - 500) * s, (\"left\" - 200) * c - (bottom - 500) * s, (\"right\" - 200) * c - (top - 500) * s, (\"right\" - 200) * c - (bottom - 500) * s), 3) AS x1 FROM (SELECT *, cos(radians(idx % 9 - 4)) AS c, sin(radians(idx % 9 - 4)) AS s FROM fragment)", "line_item", FRAGMENT)
+def rc25(v: Views) -> DataFrame:
+    f = _fragment(v).withColumn("skew_degrees", F.col("idx") % 9 - 4).withColumn("width", F.lit(400)).withColumn("height", F.lit(1000))
+    return layout.turned_bounds(f).select("receipt_id", "idx", F.round("x1", 3).alias("x1"))
+
+
+@query("RC14_attach", """SELECT receipt_id, item_no, may AND coalesce(head = 'article', false) AS attached FROM (SELECT *, last_value(CASE WHEN NOT may THEN kind END IGNORE NULLS) OVER (PARTITION BY receipt_id ORDER BY item_no) AS head FROM (
+SELECT *, coalesce(first_row - lag(last_row) OVER (PARTITION BY receipt_id ORDER BY item_no) BETWEEN 1 AND 2, false) AND first_row < 15 AND kind IN ('deposit', 'discount') AS may FROM (SELECT expense_id AS receipt_id, position AS item_no, position * 2 + position // 4 AS first_row, position * 2 + position // 4 AS last_row, kind FROM line_item)))""", "line_item")
+def rc14(v: Views) -> DataFrame:
+    row = F.col("position") * 2 + F.floor(F.col("position") / 4)
+    items = v.line_item.select(F.col("expense_id").alias("receipt_id"), F.col("position").alias("item_no"), row.alias("first_row"), row.alias("last_row"), F.lit(15).alias("first_sum"), "kind", "text")
+    return layout.attach(items).select("receipt_id", "item_no", "attached")
+
+
+@query("RC24_drafts", "SELECT expense_id AS receipt_id, position, CASE WHEN kind = 'discount' THEN -abs(total_minor) ELSE abs(total_minor) END AS total_minor, kind, attached FROM line_item", "line_item")
+def rc24(v: Views) -> DataFrame:
+    signed = F.when(F.col("kind") == "discount", -F.abs("total_minor")).otherwise(F.abs("total_minor"))
+    return v.line_item.select(F.col("expense_id").alias("receipt_id"), "position", signed.alias("total_minor"), "kind", "attached")
+
+
+@query("RC28_status", "SELECT doc_id AS receipt_id, CASE WHEN text <> '' AND doc_id % 3 = 0 THEN 'reviewed' WHEN text <> '' THEN 'analyzed' ELSE 'new' END AS status FROM documents")
+def rc28(v: Views) -> DataFrame:
+    d = v.table("documents").select(F.col("doc_id").alias("receipt_id"), (F.coalesce("text", F.lit("")) != "").alias("has_text"), (F.col("doc_id") % 3 == 0).alias("seen"))
+    return layout.status(d).select("receipt_id", "status")
+
+
+@query("CASH4_withdrawals", "SELECT 'movement' AS part, person_id, currency, sum(amount_minor)::BIGINT AS total FROM cash_movement WHERE kind = 'withdrawal' GROUP BY 2, 3 UNION ALL SELECT 'rate', 'EUR', currency, count(*) FROM cash_movement WHERE kind = 'withdrawal' AND currency <> 'EUR' GROUP BY currency UNION ALL SELECT 'fee', person_id, 'EUR', sum(amount_minor // 50)::BIGINT FROM cash_movement WHERE kind = 'withdrawal' AND amount_minor // 50 > 0 GROUP BY person_id", "cash_movement")
+def cash4(v: Views) -> DataFrame:
+    w = v.cash_movement.where("kind = 'withdrawal'").select(F.col("id").alias("withdrawal_id"), "person_id", "currency", "amount_minor", F.lit("EUR").alias("charged_currency"), F.col("amount_minor").alias("charged_minor"), F.floor(F.col("amount_minor") / 50).alias("fee_minor"), F.lit("m1").alias("method_id"))
+    moved, rates, fees = cash.withdrawals(w)
+    a = moved.groupBy("person_id", "currency").agg(F.sum("amount_minor").alias("total")).select(F.lit("movement").alias("part"), "person_id", "currency", "total")
+    b = rates.groupBy("base", "quote").agg(F.count("*").alias("total")).select(F.lit("rate").alias("part"), F.col("base").alias("person_id"), F.col("quote").alias("currency"), "total")
+    c = fees.groupBy("payer", "currency").agg(F.sum("total_minor").alias("total")).select(F.lit("fee").alias("part"), F.col("payer").alias("person_id"), "currency", "total")
+    return a.unionByName(b).unionByName(c)
+
+
+@query("TL6_receipt_archive", "SELECT d.doc_id AS receipt_id, e.expense_id FROM documents d LEFT JOIN (SELECT expense_id % 500 AS receipt_id, arg_min(expense_id, (occurred_date, expense_id)) AS expense_id, arg_min(category_id, (occurred_date, expense_id)) AS t FROM expense WHERE category_id IS NOT NULL GROUP BY 1) e ON e.receipt_id = d.doc_id WHERE contains(lower(d.text), 'the') OR contains(lower(d.source), 'src1') OR contains(lower(e.t), 'the')", "expense")
+def tl6(v: Views) -> DataFrame:
+    d = v.table("documents").select(F.col("doc_id").alias("receipt_id"), F.col("source").alias("merchant"), F.col("text").alias("raw_text"))
+    e = v.expense.where("category_id IS NOT NULL").select((F.col("expense_id") % 500).alias("receipt_id"), "expense_id", F.col("category_id").alias("title"), F.col("occurred_date").alias("created_at"))
+    both = tl.receipt_archive(d, e, " THE ").unionByName(tl.receipt_archive(d, e, "src1"))
+    return both.select("receipt_id", "expense_id").distinct()
