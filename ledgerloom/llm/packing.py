@@ -18,8 +18,10 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Words whose ids a Python worker keeps; it starts anew beyond that.
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,35 +46,83 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
         return f"/opt/tokenizers/{name}"
 
 
+#: Texts of these characters alone are cut into the tokenizer's own pieces here: ASCII and
+#: the accented letters of Latin-1, which normalisation leaves as they are.
+PLAIN = re.compile(r"[\n\r\t -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \n\r\ta-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, piece by piece; pieces that come again are looked up.
 
-    The tokenizer drops white space and never joins what a space or line feed parts, so
-    a text's ids are those of its pieces in order; pieces that come again are looked up.
+    The tokenizer lower-cases, drops white space and encodes the matches of a pattern one
+    by one. For plain texts the same pattern is applied here; others are cut at spaces and
+    line feeds only, which no match crosses, and encoded between them.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = plain
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
+        self.start, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Pieces go many at a time, parted by spaces: each is one match of
+        the pattern, so its last id is the next one that ends a word."""
+        if not self.plain or any(" " in w or w == "" or "<|" in w or not PLAIN.fullmatch(w) for w in words):
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        flat = np.fromiter((x for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids), np.int64)
+        cut = [0, *(np.flatnonzero(self.ends_word[flat]) + 1).tolist()]
+        flat = flat.tolist()
+        out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        if len(out) != len(words):
+            raise ValueError("a piece is not one word of the tokenizer")
+        return out
 
     def learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.index[word] = len(self.flat)
-            self.flat.append(np.array(e.ids, np.uint32))
+        ids = self.ids_of(words)
+        n, size = len(self.index), np.array([len(i) for i in ids], np.int64)
+        while len(self.start) < n + len(ids):
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while len(self.flat) < self.used + size.sum():
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.size[n : n + len(ids)] = size
+        self.start[n : n + len(ids)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + size.sum()] = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+        self.used += int(size.sum())
+        self.index.update(zip(words, range(n, n + len(ids)), strict=True))
+
+    def parts(self, text: str) -> list[str]:
+        if self.plain and PLAIN.fullmatch(text) and "<|" not in text:
+            return PIECE.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [self.parts(t) for t in texts]
         if len(self.index) > CACHE:
-            self.index, self.flat = {}, []
-        new = {w for p in parts for w in p}.difference(self.index)
+            self.clear()
+        # the batch's distinct pieces first: most come many times
+        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        new = [w for w in kinds if w not in self.index]
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
+        at = np.array(list(map(self.index.__getitem__, kinds)), np.int64)[coded.indices.to_numpy()]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(size.sum()))]
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
         tail = [] if end_id is None else [np.array([end_id], np.uint32)]
-        look, flat = self.index, self.flat
-        return [np.concatenate([flat[look[w]] for w in p] + tail) for p in parts]
+        return [np.concatenate([ids[a:b], *tail]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -84,7 +134,8 @@ def encoder(path: str) -> WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordEncoder(path)
+        # the pattern is that of this vocabulary's tokenizer; others are cut at spaces
+        _encoders[path] = WordEncoder(path, plain=os.path.basename(path) == "word_bpe_49k.json")
     return _encoders[path]
 
 
@@ -95,14 +146,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            at = 0
+            at, texts = 0, b.column(2).to_pylist()
             while at < b.num_rows:
                 stop, size = at, 0
-                while stop < b.num_rows and size < 1 << 20:
-                    size += len(b.column(2)[stop].as_py() or "")
+                while stop < b.num_rows and size < 1 << 21:
+                    size += len(texts[stop] or "")
                     stop += 1
                 part = b.slice(at, stop - at)
-                ids = enc.encode([t or "" for t in part.column(2).to_pylist()], end_id)
+                ids = enc.encode([t or "" for t in texts[at:stop]], end_id)
                 wide = [bool(len(x) and x.max() > 65535) for x in ids]
                 blobs = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(wide), pa.array(blobs, pa.binary())], ["doc_id", "source", "n_tokens", "wide", "ids"])

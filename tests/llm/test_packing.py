@@ -60,5 +60,19 @@ def test_windows_follow_the_target_shares(spark):
     assert sum(sum(x.values()) for x in total.values()) == sum(5 + r[0] % 11 + 1 for r in rows)
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    import random
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    enc = packing.WordEncoder(packing.tokenizer_path(), plain=True)
+    rng = random.Random(4)
+    letters = "aAbZ09 '.,!\n\t\r-_|<>*Ééßüø÷×ÀÿÐ\u0301\u00a0\u2028Σ\x85"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["don't I'll WE'VE 's't", "a<|endoftext|>b <|startoftext|>", "É\u0301 e\u0301", "ΑΣ ΑΣ."]
+    for plain in (texts, texts[::-1]):
+        for t, got in zip(plain, enc.encode(plain, None)):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
