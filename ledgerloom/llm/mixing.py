@@ -121,8 +121,10 @@ def mix_sizes(sizes: DataFrame, targets: DataFrame | None = None, cap: float = C
     missing = rated.groupBy("source").agg((F.round(F.first("target")) - F.sum(F.col("whole") * F.col("size"))).cast("long").alias("missing"))
     n = rated.count()
     buckets = max(64, -(-n // rows_each))
-    # uniform in 0..1 where all documents of a source have one rate
-    near = F.least(F.lit(buckets - 1), F.floor(F.coalesce(F.col("turn") / (F.col("turn") + 1.0), F.lit(1.0)) * buckets))
+    # documents without a part come after all others, in any order, so a hash spreads them
+    near = F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)) + buckets).otherwise(
+        F.least(F.lit(buckets - 1), F.floor(F.col("turn") / (F.col("turn") + 1.0) * buckets)).cast("bigint")
+    )
     order = [F.col("turn").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("size")]
     able = F.when(F.col("turn").isNull(), 0).otherwise(F.col("size"))
     placed = running_start(rated.withColumn("able", able), ["source"], near, order, "able", "before")
