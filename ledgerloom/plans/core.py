@@ -444,7 +444,11 @@ def bal5(v: Views) -> DataFrame:
 
 @query("BAL6_flow_fallback")
 def bal6(v: Views) -> DataFrame:
-    return bal.flow_fallback(shares_in_base(v).where("base_minor IS NOT NULL").join(_fit(v), "expense_id", "left_anti").withColumn("base_minor", F.col("base_minor")), payments_in_base(v).join(_fit(v), "expense_id", "left_anti").join(shares_in_base(v).where("base_minor IS NOT NULL").select("expense_id").distinct(), "expense_id", "left_semi"))
+    """Expenses with a negative share, in their own currency."""
+    bad = all_shares(v).groupBy("expense_id").agg(F.min("share_minor").alias("low")).where("low < 0").select("expense_id")
+    share = all_shares(v).join(bad, "expense_id", "left_semi").withColumnRenamed("share_minor", "base_minor")
+    payment = v.expense_payment.join(bad, "expense_id", "left_semi").withColumnRenamed("amount_minor", "base_minor")
+    return bal.flow_fallback(share, payment)
 
 
 NET = FLOWS + """,
