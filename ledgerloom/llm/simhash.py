@@ -315,7 +315,6 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame
     Of rows that share a doc_id one stays. Rows without a doc_id are no duplicates of
     anything and stay. All columns stay.
     """
-    docs = materialize(docs, "to-thin")
     groups = materialize(connected_components(near_copy_links(docs, words, radius)).where("node <> root").select(F.col("node").alias("__gone")), "copies")
     kept = docs.where("doc_id is not null").join(groups, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
