@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 PACKED = "shard long, ids binary, nulls binary, sizes binary, body binary"
 
 

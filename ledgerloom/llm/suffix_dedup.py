@@ -137,7 +137,10 @@ class Windows:
         n = len(shard.buf)
         count = np.maximum(0, shard.sizes - length + 1)
         begin = shard.at[:-1]
-        # key of every window of the buffer, also those across documents, then the real ones
+        # key of every window of the buffer, also those across documents, then the real ones;
+        # a shard is far below 2 GB unless one document is not, so places are 32-bit numbers
+        if n >= 1 << 31:
+            raise ValueError("a document of 2 GB or more")
         grams = gram_hashes(shard.buf, (gram, length))
         h, self.hash50 = grams[gram], grams[length]
         span = length - gram + 1
@@ -154,9 +157,11 @@ class Windows:
             keys[at : at + len(part)] = part
         del h, grams
         self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        self.pos = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        self.pos = self.pos.astype(np.int64)
+        lead = (begin - np.concatenate([[0], np.cumsum(count)[:-1]])).astype(np.int32)
+        self.pos = np.repeat(lead, count)
+        self.pos += np.arange(len(self.pos), dtype=np.int32)
         k = keys[self.pos]
+        del keys
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (self.doc[1:] != self.doc[:-1])
         self.first = np.flatnonzero(new)  # window index of each run's first window
@@ -368,8 +373,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     """``docs`` with the repeated strings cut out of ``text``. A document of which no word
     is left goes; one that had none stays. Other columns stay as they are, ``n_chars``
     follows the text."""
-    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "to-cut")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
             shard, gone = _removed(row, length, gram)
@@ -387,4 +390,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     out = joined.where(stays).withColumn("text", F.when(F.col("__hash").isNull(), F.col("text")).otherwise(F.col("__left")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__hash").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select([c for c in docs.columns if c != "__row"])
+    return out.select(docs.columns)
