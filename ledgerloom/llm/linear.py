@@ -115,13 +115,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, l2: float = 0.0, l1: float = 0.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated proximal gradient on the mean log loss; ``y`` may be
     probabilities. Deterministic."""
-    lens = np.array([len(c) for c, _ in rows])
+    lens = np.array([len(c) for c, _ in rows], np.int64)
     col = np.concatenate([c for c, _ in rows]) if len(rows) else np.zeros(0, np.int64)
     val = np.concatenate([v for _, v in rows]) if len(rows) else np.zeros(0)
     row = np.repeat(np.arange(len(rows)), lens)
     n = max(1, len(rows))
-    used, col = np.unique(col, return_inverse=True)
-    col, row = col.astype(np.int32), row.astype(np.int32)
+    there = np.bincount(col, minlength=size) > 0
+    used = np.flatnonzero(there)
+    col, row = (np.cumsum(there, dtype=np.int32) - 1)[col], row.astype(np.int32)
     w, b = np.zeros(len(used)), 0.0
     if 0 < (m := float(np.mean(y)) if len(rows) else 0.5) < 1:
         b = np.log(m / (1 - m))

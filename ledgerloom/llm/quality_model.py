@@ -110,7 +110,7 @@ def train(docs: DataFrame, votes: DataFrame, sample: int = SAMPLE) -> WeakQualit
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c.astype("<i4").tobytes() for c, _ in rows]), pa.array([v.astype("<f4").tobytes() for _, v in rows])], ["pattern", "cols", "vals"])
 
     got = texts.select("pattern", "text").mapInArrow(run, "pattern long, cols binary, vals binary").toPandas().sort_values(["pattern", "cols"], kind="stable")
-    rows = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for c, v in zip(got["cols"], got["vals"], strict=True)]
+    rows = [(np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")) for c, v in zip(got["cols"], got["vals"], strict=True)]
     y = 1 - junk[got["pattern"].to_numpy(np.int64)]
     if len(rows) == 0 or y.min() > 0.5:
         return WeakQuality(model, np.zeros(1 << BITS), 4.0)

@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
     got = picked.mapInArrow(run, "doc_id long, good double, cols binary, vals binary").toPandas().sort_values("doc_id", kind="stable")
     y = got["good"].to_numpy(np.float64)
-    rows = [(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for c, v in zip(got["cols"], got["vals"], strict=True)]
+    rows = [(np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")) for c, v in zip(got["cols"], got["vals"], strict=True)]
     if len(np.unique(y)) < 2:
         return QualityModel(np.zeros(1 << bits), 0.0, 0.0, 40.0, bits)
     third = np.arange(len(y)) % 3 == 2
