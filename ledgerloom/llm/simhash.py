@@ -228,94 +228,305 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, text:
 
 # ------------------------------------------------------------------ near copies of whole texts
 SKETCH = 128
-#: Part of equal sketch cells from which two texts are near copies: 0.8 less two standard
-#: errors of the estimate.
-AGREE = 0.8 - 2 * (0.8 * 0.2 / SKETCH) ** 0.5
-
-
-def _word_prints(piece: Piece) -> list[np.ndarray]:
-    """Two independent SimHashes of each text's words, repeats counted."""
-    out = []
-    for seed in (1, 2):
-        h = finish(mix(piece.words, np.uint64(seed)))
-        out.append(np.array([_bits(h[a:b]) if b > a else 0 for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)], np.uint64))
-    return out
+#: Standard errors below 0.8 at which a sketch refuses a pair before its sets are compared.
+ERRORS = 5.0
+#: Documents of the sample that tells frequent shingles, at least, and what part of all.
+SAMPLE, SAMPLE_PART = 20_000, 64
+#: Shingles known as frequent, at most.
+FREQUENT = 1 << 16
+#: Members of a list of which all pairs are made at once; pairs a longer one makes a round.
+WIDE, ROUND = 64, 1 << 18
+#: Pairs of one text whose sets are compared in a round.
+TRIES = 4
 
 
 def _sketches(piece: Piece, words: int) -> np.ndarray:
     """(texts, SKETCH) bytes: in each cell the smallest hash of the shingles that fall into
-    it, as 1..255; 0 where none does. A text with fewer words is one shingle."""
-    h, first = piece.word_grams(words)
-    doc = piece.doc[first]
-    short = np.flatnonzero((np.diff(piece.first) < words) & (np.diff(piece.first) > 0))
-    whole = np.array([np.bitwise_xor.reduce(finish(mix(piece.words[piece.first[i] : piece.first[i + 1]], np.arange(piece.first[i + 1] - piece.first[i], dtype=np.uint64)))) for i in short], np.uint64)
-    h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
+    it, as 1..255; 0 where none does."""
+    h, doc = _shingles(piece, words)
     cell = doc * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
     low = np.full(piece.n * SKETCH, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(low, cell, finish(h))
     return np.where(low == np.iinfo(np.uint64).max, 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(piece.n, SKETCH)
 
 
+def _shingles(piece: Piece, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles and their texts. A text with fewer words is one shingle."""
+    h, first = piece.word_grams(words)
+    short = np.flatnonzero((np.diff(piece.first) < words) & (np.diff(piece.first) > 0))
+    whole = np.array([np.bitwise_xor.reduce(finish(mix(piece.words[piece.first[i] : piece.first[i + 1]], np.arange(piece.first[i + 1] - piece.first[i], dtype=np.uint64)))) for i in short], np.uint64)
+    return np.concatenate([h, whole]), np.concatenate([piece.doc[first], short])
+
+
+def _sets(piece: Piece, words: int) -> list[np.ndarray]:
+    """The sorted set of each text's shingles."""
+    h, doc = _shingles(piece, words)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
+    cut = np.searchsorted(doc, np.arange(piece.n + 1))
+    return [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _set_hash(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
+
+
+def _prefix(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones before frequent ones, of which two sets with a
+    similarity of 0.8 have at least one in common."""
+    if not len(s):
+        return s
+    weight = np.zeros(len(s), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+        weight = np.where(often[at] == s, rank[at], 0)
+    return s[np.lexsort((s, weight))][: len(s) - (4 * len(s) + 4) // 5 + 1]
+
+
+def _alike(a: bytes, b: bytes) -> bool:
+    """The exact similarity of two sorted sets is 0.8 or more."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 9 * both >= 4 * (len(x) + len(y))
+
+
 def _agree(a: bytes, b: bytes) -> bool:
+    """Two sketches don't differ clearly."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    some = (x > 0) | (y > 0)
-    return not some.any() or ((x == y) & some).sum() >= AGREE * some.sum()
+    some = int(((x > 0) | (y > 0)).sum())
+    return ((x == y) & (x > 0)).sum() >= 0.8 * some - ERRORS * (0.16 * some) ** 0.5
 
 
-def _checked(pairs: DataFrame) -> DataFrame:
-    """The rows (a, b) of ``pairs(a, b, sketch_a, sketch_b)`` whose sketches agree."""
+def _checked(pairs: DataFrame, columns: DataFrame, name: str, test) -> DataFrame:
+    """The rows of ``pairs(a, b)`` for which ``test`` holds of column ``name`` of both in
+    ``columns(eq, name)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fit = pa.array([_agree(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            fit = pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(fit)
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    left = columns.select(F.col("eq").alias("a"), F.col(name).alias("of_a"))
+    right = columns.select(F.col("eq").alias("b"), F.col(name).alias("of_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
 
+def _may(n_a, n_b, pos_a, pos_b) -> np.ndarray:
+    """Two sets whose first common shingle is at these positions may have a similarity of 0.8."""
+    return (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b)) & (9 * np.minimum(n_a - pos_a, n_b - pos_b) >= 4 * (n_a + n_b))
 
-def near_copy_links(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between doc_ids of near copies, for whole texts whose shares of common
-    ``words``-word shingles is about 0.8 or more.
 
-    A shingle SimHash moves by ten bits at that similarity, further than any ball that can
-    be listed; a SimHash of single words moves by about four. So two word SimHashes find
-    the candidates by ball hashing, each against the fingerprint's first document, and a
-    sketch of the shingles verifies them.
+def _list_pairs(eq: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, done: np.ndarray, wide: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Of one list: pairs (a, b) to compare now, which members have met all others, and
+    whether pairs are left for another round.
+
+    A member that has met all others needs nothing more, and neither do members that are
+    linked already. So the members outside the largest group come one after another and
+    meet all that are in other groups.
     """
+    open_ = np.flatnonzero(~done)
+    _, group, size = np.unique(root[open_], return_inverse=True, return_counts=True)
+    lead = int(np.argmax(size)) if len(size) else -1
+    turn = np.flatnonzero(group != lead)
+    turn = turn[np.lexsort((eq[open_][turn], size[group[turn]]))]
+    more = len(open_) > wide and len(turn) > (k := max(wide, most // max(1, len(open_))))
+    if more:
+        turn = turn[:k]
+    a, b = [], []
+    for t in turn.tolist():
+        i = open_[t]
+        other = open_[root[open_] != root[i]]
+        other = other[_may(n[other], n[i], pos[other], pos[i])]
+        a.append(np.minimum(eq[other], eq[i]))
+        b.append(np.maximum(eq[other], eq[i]))
+    done = done.copy()
+    done[open_[turn]] = True
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none), done, bool(more)
+
+
+LIST = "key long, eq long, n int, pos int, root long, done boolean"
+
+
+def _meet(lists: DataFrame, wide: int, most: int) -> DataFrame:
+    """Of ``lists`` (:data:`LIST`): rows with a key are members of lists that need another
+    round; rows without one are pairs (eq, root) to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in pieces(batches):
-            piece = Piece(texts, lower=True)
-            one, two = _word_prints(piece)
-            cells = _sketches(piece, words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([c.tobytes() for c in cells], pa.binary())], ["id", "fp1", "fp2", "sketch"])
+        held: list[list[np.ndarray]] = []  # the last list so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [b.num_rows]])
+            if held and held[0][0][0] != cols[0][0]:
+                yield from send(one(held))
+                held = []
+            if len(cut) == 2:
+                held.append([c.copy() for c in cols])
+                continue
+            if held:
+                held.append([c[: cut[1]] for c in cols])
+                yield from send(one(held))
+                cut = cut[1:]
+            held = [[c[cut[-2] :].copy() for c in cols]]
+            size, out = np.diff(cut)[:-1], []
+            for i in np.flatnonzero(size > wide).tolist():
+                out += one([[c[cut[i] : cut[i + 1]] for c in cols]])
+            # all short lists at once: row i with row i + d of the same list
+            end = np.repeat(cut[1:-1], np.where(size > wide, 0, size))
+            at = np.flatnonzero(np.repeat(size <= wide, size)) + cut[0]
+            for d in range(1, wide):
+                fit = at + d < end
+                at, end = at[fit], end[fit]
+                if not len(at):
+                    break
+                out += pairs_of(*(cols[k].astype(np.int64)[x] for k in (1, 2, 3) for x in (at, at + d)))
+            yield from send(out)
+        yield from send(one(held) if held else [])
+
+    def pairs_of(eq_a, eq_b, n_a, n_b, pos_a, pos_b) -> list:
+        fit = _may(n_a, n_b, pos_a, pos_b)
+        return pairs(np.minimum(eq_a, eq_b)[fit], np.maximum(eq_a, eq_b)[fit])
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> list:
+        zero = np.zeros(len(a), np.int64)
+        return [(zero > 0, zero, a, zero, zero, b, zero > 0)] if len(a) else []
+
+    def one(held: list[list[np.ndarray]]) -> list:
+        key, eq, n, pos, root, done = (np.concatenate(c) for c in zip(*held, strict=True)) if len(held) > 1 else held[0]
+        if len(eq) < 2:
+            return []
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        a, b, done, more = _list_pairs(eq, n, pos, root, done, wide, most)
+        out = pairs(a, b)
+        if more:
+            out.append((np.full(len(eq), True), key, eq, n, pos, root, done))
+        return out
+
+    def send(out: list) -> Iterator[pa.RecordBatch]:
+        if out:
+            some, key, eq, n, pos, root, done = (np.concatenate(c) for c in zip(*out, strict=True))
+            cols = [pa.array(key, pa.int64(), mask=~some), pa.array(eq), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(root), pa.array(done)]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "eq", "n", "pos", "root", "done"])
+
+    return lists.repartition("key").sortWithinPartitions("key").mapInArrow(run, LIST)
+
+
+def _frequent(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample, sorted, and their ranks by frequency. Which are known
+    bears on the length of lists alone; any order of shingles gives the same links."""
+    rows = slim.count()
+    part = max(SAMPLE / max(1, rows), 1 / SAMPLE_PART)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches):
+            found = np.concatenate(_sets(Piece(texts, lower=True), words))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["gram"])
+
+    sample = slim if part >= 1 else slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    counts = sample.mapInArrow(run, "gram long").groupBy("gram").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).toArrow()
+    gram = found.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], (len(gram) - np.arange(len(gram)))[order]
+
+
+def near_copy_links(docs: DataFrame, words: int = 5, wide: int = WIDE, most: int = ROUND) -> DataFrame:
+    """(a, b): links between doc_ids of near copies: whole texts whose sets of
+    ``words``-word shingles have a similarity (Jaccard) of 0.8 or more.
+
+    Every such pair that isn't joined by other links is found. Texts with one set meet by
+    its hash. Two sets with a similarity of 0.8 have a shingle in common among the first
+    fifth of each in any one order of all shingles, so sets meet in the lists of these.
+    Rare shingles come first, and a list's pairs are not made at once: members that are
+    linked need no pair (:func:`_list_pairs`). A sketch refuses pairs that differ clearly;
+    of all others the sets are compared.
+    """
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    prints = materialize(slim.mapInArrow(run, "id long, fp1 long, fp2 long, sketch binary"), "prints")
-    found = []
-    for name in ("fp1", "fp2"):
-        own = prints.select("id", F.col(name).alias("fp"), "sketch")
-        first = materialize(own.groupBy("fp").agg(F.min(F.struct("id", "sketch")).alias("f")).select("fp", "f.id", "f.sketch"), "first")
-        links = materialize(ball_links(first.select("fp"), radius), "ball-links")
-        left = first.select(F.col("fp").alias("x"), F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-        right = first.select(F.col("fp").alias("y"), F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-        found.append(_checked(links.toDF("x", "y").join(left, "x").join(right, "y")))
-        same = own.select("fp", F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-        found.append(_checked(same.join(left.withColumnRenamed("x", "fp"), "fp").where("a <> b")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    often, rank = _frequent(slim, words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in pieces(batches):
+            piece = Piece(texts, lower=True)
+            sets, cells = _sets(piece, words), _sketches(piece, words)
+            heads = [_prefix(s, often, rank).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+                ["id", "eq", "n", "sketch", "head"],
+            )
+
+    prints = materialize(slim.mapInArrow(run, "id long, eq long, n int, sketch binary, head array<long>"), "prints")
+    first = materialize(prints.groupBy("eq").agg(F.min("id").alias("low")), "first")
+    same = prints.select("id", "eq").join(first, "eq").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    own = materialize(prints.join(first.toDF("eq", "id"), ["eq", "id"], "left_semi").dropDuplicates(["eq"]), "own")
+    sketches = own.select("eq", "sketch")
+    lists = own.select("eq", "n", F.posexplode("head").alias("pos", "key")).select("key", "eq", "n", "pos", F.col("eq").alias("root"), F.lit(False).alias("done"))
+    links = None
+    while True:
+        met = materialize(_meet(lists, wide, most), "met")
+        pairs = met.where("key is null").select(F.col("eq").alias("a"), F.col("root").alias("b")).distinct()
+        alike = materialize(_checked(pairs, sketches, "sketch", _agree), "alike")
+        new = _verified(alike, first, slim, words)
+        if new is not None:
+            links = new if links is None else links.unionByName(new)
+        left = met.where("key is not null")
+        if left.isEmpty():
+            break
+        if links is None:
+            lists = left
+            continue
+        roots = connected_components(links).withColumnRenamed("root", "top")
+        lists = left.join(roots, F.col("eq") == F.col("node"), "left").select("key", "eq", "n", "pos", F.coalesce("top", "root").alias("root"), "done")
+    if links is None:
+        return same
+    left, right = first.toDF("a", "id_a"), first.toDF("b", "id_b")
+    return same.unionByName(links.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
+def _verified(alike: DataFrame, first: DataFrame, slim: DataFrame, words: int) -> DataFrame | None:
+    """Links (a, b) among the pairs ``alike`` of which the exact sets have a similarity of
+    0.8, or None. Pairs that other links join already are left out: each round compares
+    TRIES pairs of a text, until none is left."""
+    if alike.isEmpty():
+        return None
+    nodes = alike.select(F.explode(F.array("a", "b")).alias("eq")).distinct().join(first, "eq")
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for want, texts in pieces(batches):
+            sets = _sets(Piece(texts, lower=True), words)
+            # rows of one doc_id may have other texts
+            fit = [(w, s) for w, s in zip(want, sets, strict=True) if _set_hash(s) == w]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in fit], pa.int64()), pa.array([s.tobytes() for _, s in fit], pa.binary())], ["eq", "members"])
+
+    texts = slim.join(nodes, F.col("doc_id") == F.col("low")).select("eq", "text")
+    sets = materialize(texts.mapInArrow(run, "eq long, members binary").dropDuplicates(["eq"]), "sets")
+    links, left = None, alike
+    while True:
+        turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        left = materialize(left.withColumn("turn", turn), "left")
+        new = materialize(_checked(left.where(F.col("turn") <= TRIES).select("a", "b"), sets, "members", _alike), "verified")
+        links = new if links is None else links.unionByName(new)
+        left = left.where(F.col("turn") > TRIES).select("a", "b")
+        if left.isEmpty():
+            return links
+        roots = connected_components(links)
+        tops = [roots.toDF(x, f"top_{x}") for x in "ab"]
+        left = left.join(tops[0], "a", "left").join(tops[1], "b", "left")
+        left = left.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b")
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest
     (doc_id, text hash).
 
     Of rows that share a doc_id one stays. Rows without a doc_id are no duplicates of
     anything and stay. All columns stay.
     """
-    groups = materialize(connected_components(near_copy_links(docs, words, radius)).where("node <> root").select(F.col("node").alias("__gone")), "copies")
+    groups = materialize(connected_components(near_copy_links(docs, words)).where("node <> root").select(F.col("node").alias("__gone")), "copies")
     kept = docs.where("doc_id is not null").join(groups, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
     kept = kept.withColumn("__first", first).where("__first = 1").drop("__first")

@@ -92,3 +92,43 @@ def test_near_copies_of_five_word_shingles_are_found_and_others_left(spark):
     may = {k for p, j in alike.items() if j >= 0.65 for k in p}
     assert len(must - gone) <= 0.05 * len(must), (len(must), len(must - gone))
     assert gone <= may
+
+
+def _exact(rows):
+    """doc_id -> smallest doc_id over all pairs of a similarity of 0.8, by brute force."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    by, root = {}, list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in by.get(x, ())}:
+            both = len(s & sets[j])
+            if 10 * both >= 8 * (len(s) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+        for x in s:
+            by.setdefault(x, []).append(i)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_near_copies_chained_to_an_unrelated_smaller_text_are_found(spark):
+    # x has their words in another order and comes first; y and z are near copies
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(words[::-1])), (5, " ".join(words)), (7, " ".join(words[:-1] + ["other"]))]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 5]
+    for wide, most in ((64, 1 << 18), (2, 4)):
+        # long lists in several rounds give the same groups
+        rows = [(100 * g + i, " ".join(w[: 119 - i % 9] + [f"x{i % 9}"] * (i % 9))) for g in range(3) for w in [[words[k] for k in rng.permutation(120)]] for i in range(14)]
+        docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+        links = simhash.near_copy_links(docs, wide=wide, most=most)
+        got = {r.node: r.root for r in simhash.connected_components(links).collect()}
+        assert {i: got.get(i, i) for i, _ in rows} == _exact(rows)
