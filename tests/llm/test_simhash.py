@@ -118,6 +118,15 @@ def _exact(rows):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
+def _reordered(rng, words, n):
+    """Texts of the same words in other orders, each with a near copy: one word SimHash."""
+    rows = []
+    for i in range(n):
+        order = [words[k] for k in rng.permutation(len(words))]
+        rows += [(10 * i + 1, " ".join(order)), (10 * i + 2, " ".join([order[-1], *order[:-1]]))]
+    return rows
+
+
 def test_near_copies_chained_to_an_unrelated_smaller_text_are_found(spark):
     # x has their words in another order and comes first; y and z are near copies
     rng = np.random.default_rng(1)
@@ -132,3 +141,10 @@ def test_near_copies_chained_to_an_unrelated_smaller_text_are_found(spark):
         links = simhash.near_copy_links(docs, wide=wide, most=most)
         got = {r.node: r.root for r in simhash.connected_components(links).collect()}
         assert {i: got.get(i, i) for i, _ in rows} == _exact(rows)
+
+
+def test_near_copies_behind_another_text_with_the_same_words_are_found(spark):
+    rows = _reordered(np.random.default_rng(2), [f"w{i}" for i in range(100)], 6)
+    rows += [(i + 3, t) for i, t in rows[1::2]]  # exact copies as well
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 11, 21, 31, 41, 51]
