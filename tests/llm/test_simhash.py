@@ -148,3 +148,16 @@ def test_near_copies_behind_another_text_with_the_same_words_are_found(spark):
     rows += [(i + 3, t) for i, t in rows[1::2]]  # exact copies as well
     docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 11, 21, 31, 41, 51]
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    words = [f"v{i}" for i in range(404)]
+    # 400 shingles: 11 to 12 changed words of five shingles each leave less than 0.8
+    for k in range(5, 16):
+        changed = [f"c{k}" if i % 26 == 12 and i // 26 < k else w for i, w in enumerate(words)]
+        rows += [(10**6 + 2 * k, " ".join(f"{k}{w}" for w in words)), (10**6 + 2 * k + 1, " ".join(f"{k}{w}" for w in changed))]
+    want = _exact(rows)
+    kept = simhash.keep_one(spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS))
+    assert {r.doc_id for r in kept.collect()} == {i for i, low in want.items() if i == low}
