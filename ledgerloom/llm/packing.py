@@ -74,11 +74,21 @@ class WordEncoder:
         self.index: dict[str, int] = {}
         self.start, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
+    def is_piece(self, word: str) -> bool:
+        """The word is one match of the pattern. Words of texts cut at spaces may be several
+        (``foo,``) or none (a tab), and their capitals are not letters of the pattern."""
+        return self.plain and "<|" not in word and bool(PIECE.fullmatch(word) and PLAIN.fullmatch(word)) and word == word.lower()
+
     def ids_of(self, words: list[str]) -> list[list[int]]:
         """Ids of each word. Pieces go many at a time, parted by spaces: each is one match of
-        the pattern, so its last id is the next one that ends a word."""
-        if not self.plain or any(" " in w or w == "" or "<|" in w or not PLAIN.fullmatch(w) for w in words):
-            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        the pattern, so its last id is the next one that ends a word. Others go one by one."""
+        joined = [self.is_piece(w) for w in words]
+        pieces = iter(self._ids_of_pieces([w for w, fit in zip(words, joined, strict=True) if fit]))
+        single = [w for w, fit in zip(words, joined, strict=True) if not fit]
+        others = iter(self.tokenizer.encode_batch_fast(single, add_special_tokens=False) if single else [])
+        return [next(pieces) if fit else next(others).ids for fit in joined]
+
+    def _ids_of_pieces(self, words: list[str]) -> list[list[int]]:
         lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
         flat = np.fromiter((x for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids), np.int64)
         cut = [0, *(np.flatnonzero(self.ends_word[flat]) + 1).tolist()]

@@ -74,5 +74,14 @@ def test_encoder_gives_the_tokenizers_ids():
             assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_warm_encoder_gives_the_tokenizers_ids_of_words_that_are_several_pieces():
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    for second in ("foo, — bar", "it's — FOO! don't x1y2", "foo, — \t bar", "a\tb — É! 'S"):
+        enc = packing.WordEncoder(packing.tokenizer_path(), plain=True)
+        # the dash is known from the first batch; all new words of the second are plain
+        for text in ("one — two", second):
+            assert enc.encode([text], None)[0].tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
