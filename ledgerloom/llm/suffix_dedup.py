@@ -176,8 +176,16 @@ class Windows:
         size = self.count + self.length - 1
         if not len(start):
             return np.zeros(0, np.uint64)
-        # its first and last window cover a run's string, which is shorter than both
-        return finish(mix(self.hash50[start], self.hash50[start + size - self.length]) + size.astype(np.uint64))
+        last = start + size - self.length
+        out = mix(self.hash50[start], self.hash50[last]) + size.astype(np.uint64)
+        # two windows cover a string of up to twice their length; in periodic text a run may
+        # be longer, and the windows between go in too
+        at, long_ = start + self.length, np.flatnonzero(last > start + self.length)
+        while len(long_):
+            out[long_] = mix(out[long_], self.hash50[at[long_]])
+            at[long_] += self.length
+            long_ = long_[at[long_] < last[long_]]
+        return finish(out)
 
     def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (key, string) pairs sorted by key then string, and each run's place."""

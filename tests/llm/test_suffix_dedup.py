@@ -69,6 +69,36 @@ def test_matches_brute_force(spark, rows, size, monkeypatch):
     assert got == brute(rows)
 
 
+def _windows(text: bytes):
+    sizes = np.array([len(text)], "<i8")
+    return s.Windows(shards.Shard({"shard": 0, "ids": np.zeros(1, "<i8").tobytes(), "nulls": b"\0", "sizes": sizes.tobytes(), "body": text}))
+
+
+def test_periodic_texts_in_two_shards_that_differ_in_one_middle_byte(spark, monkeypatch):
+    monkeypatch.setattr(shards.pack_shards, "__defaults__", (1, 48 << 20))
+    # texts of which the period's own 24 bytes are the smallest string of every window
+    texts = [bytes([c]) * 200 + bytes([m]) + bytes([c]) * 200 for c in range(33, 127) for m in range(33, 127) if c != m]
+    low = min(range(33, 127), key=lambda c: int(s.gram_hashes(np.full(24, c, np.uint8), (24,))[24][0]))
+    one_run = [t for t in texts if t[0] == low and len(_windows(t).first) == 1]
+    assert len(one_run) > 2
+    rows = [(i, t.decode()) for i, t in enumerate(one_run[:5])]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_run_of_one_key_is_told_apart_by_its_middle():
+    def run(middle: bytes):
+        half = b"x" * 24 + b"0 0 0 1 " * 20
+        text = half + middle + half
+        w = _windows(text)
+        # as if one key were the smallest throughout
+        w.first, w.count = np.array([0]), np.array([len(text) - s.LENGTH + 1])
+        return w._strings()[0]
+
+    assert run(b"a") != run(b"b") and run(b"a") == run(b"a")
+    assert len({int(run(bytes([97 + i]) * 30)) for i in range(20)}) == 20
+
+
 def test_cut_repeats_keeps_columns_and_whole_characters(spark):
     same = "é" * 40
     rows = [(1, f"{same} one", "a"), (2, f"x{same}y two", "b"), (3, same, "c"), (4, None, "d"), (4, None, "d")]
