@@ -1,9 +1,10 @@
-"""Shards of documents that ask buckets of keys, and get answers back.
+"""Shards of documents that ask about keys, and get answers back.
 
 A shard is a run of documents of bounded bytes, kept as one row of a written table. It
-makes a sorted list of its distinct 64-bit keys, sends each bucket (a range of keys) its
-part once, and gets one answer for each key. So a key that a third of all rows share
-reaches its bucket once a shard, not once a row, and no group is ever expanded.
+asks once about each of its distinct keys, one row a key, so a key that a third of all
+documents share costs one row a shard and the rows grow with the input alone. Questions
+meet in a keyed window or aggregation of Spark's; only answers that tell a shard something
+it doesn't know go back, packed into one row a shard (:func:`gather`).
 """
 
 from __future__ import annotations
@@ -19,19 +20,15 @@ from .common import materialize
 
 SHARD_BYTES = 2 << 20
 PACKED = "shard long, ids binary, nulls binary, sizes binary, body binary"
+#: The rank of a null doc_id: above all others.
+LAST = np.iinfo(np.int64).max
 
 
-def pack_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: int = 48 << 20) -> DataFrame:
-    """One row per shard of ``docs(doc_id, text)``; shards are ranges of doc_id in order,
-    null ids last. Rows of one doc_id stay in one shard. ``shard`` is the shard's first
-    doc_id in an order of numbers: 2*rank of partition and place, unique and ascending.
-    """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
-    # equal texts of one doc_id are told apart by nothing; their order doesn't matter
-    ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.octet_length("text"), "text")
-    ranged = ranged.withColumn("part", F.spark_partition_id())
+def shard_rows(docs: DataFrame, schema: str, build: Callable[[np.ndarray, np.ndarray, list[bytes]], list], shard_bytes: int) -> DataFrame:
+    """One written row per shard of ``docs(doc_id, text)``: its number, then what ``build``
+    makes of (ids, flags of null ids, texts). Documents stay where they are read."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -39,31 +36,37 @@ def pack_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, range_bytes: in
         size, place, part = 0, 0, 0
 
         def out() -> pa.RecordBatch:
-            known = np.array([i if i is not None else 0 for i in ids], "<i8")
-            nulls = np.array([i is None for i in ids], np.uint8)
-            lens = np.array([len(t) for t in body], "<i8")
-            cols = [pa.array([part * (1 << 32) + place]), *[pa.array([x], pa.binary()) for x in (known.tobytes(), nulls.tobytes(), lens.tobytes(), b"".join(body))]]
-            return pa.RecordBatch.from_arrays(cols, ["shard", "ids", "nulls", "sizes", "body"])
+            known, nulls = np.array([i if i is not None else 0 for i in ids], np.int64), np.array([i is None for i in ids], bool)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + place]), *[pa.array([x], pa.binary()) for x in build(known, nulls, body)]], names)
 
         for b in batches:
             for i, t, p in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                i, part = i.as_py(), p.as_py()
-                if ids and size >= shard_bytes and i != ids[-1]:
-                    yield out()
-                    ids, body, size, place = [], [], 0, place + 1
+                part = p.as_py()
                 raw = t.as_buffer().to_pybytes()
-                ids.append(i)
+                ids.append(i.as_py())
                 body.append(raw)
                 size += len(raw) + 16
+                if size >= shard_bytes:
+                    yield out()
+                    ids, body, size, place = [], [], 0, place + 1
         if ids:
             yield out()
 
     # small row groups: a reader takes a whole one into memory
-    return materialize(ranged.mapInArrow(run, PACKED), "shards", {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"})
+    return materialize(slim.mapInArrow(run, schema), "shards", {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"})
+
+
+def pack_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Shards of whole texts (:class:`Shard` reads a row)."""
+
+    def build(ids: np.ndarray, nulls: np.ndarray, texts: list[bytes]) -> list:
+        return [ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts)]
+
+    return shard_rows(docs, PACKED, build, shard_bytes)
 
 
 class Shard:
-    """Documents of one packed row. ``rank``: dense rank of doc_id, null above all."""
+    """Documents of one packed row. ``rank``: the order of doc_id, null above all."""
 
     def __init__(self, row: dict) -> None:
         self.key = row["shard"]
@@ -72,13 +75,7 @@ class Shard:
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.buf = np.frombuffer(row["body"], np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        new = np.ones(len(self.ids), np.int64)
-        new[1:] = (self.ids[1:] != self.ids[:-1]) | (self.nulls[1:] != self.nulls[:-1])
-        self.rank = np.cumsum(new) - 1
-
-    def texts(self) -> list[bytes]:
-        raw = self.buf.tobytes()
-        return [raw[a:b] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
+        self.rank = np.where(self.nulls, LAST, self.ids)
 
 
 def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -88,83 +85,50 @@ def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: (v.as_buffer() if pa.types.is_binary(v.type) and v.is_valid else v.as_py()) for n, v in zip(b.schema.names, (b.column(k)[i] for k in range(b.num_columns)), strict=True)}
 
 
-def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of 2^bits key ranges begins in sorted ``keys``, and the end."""
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
+# ------------------------------------------------------------------ answers
+_KINDS = {"long": "<i8", "int": "<i4", "double": "<f8", "float": "<f4", "boolean": "u1", "tinyint": "i1"}
 
-def bucket_bits(total_bytes: int, each: int) -> int:
-    """Bits so that 2^bits buckets get about ``each`` bytes of text apiece."""
-    bits = 4
-    while bits < 30 and total_bytes > each << bits:
-        bits += 1
-    return bits
 
-
-ASK = "bucket int, shard long, ask binary"
-REPLY = "shard long, bucket int, reply binary"
-#: The shard of rows that hold a bucket's own report and answer no shard.
-REPORT = -1
-
-
-def ask_buckets(asks: DataFrame, answer: Callable[[list[tuple[int, bytes]]], list[bytes]], report: Callable[[list[tuple[int, bytes]]], bytes] | None = None) -> DataFrame:
-    """(shard, bucket, reply): ``answer`` gets all (shard, ask) of a bucket in the order of
-    shards and returns a reply for each; ``report`` may add one row of shard REPORT. Rows
-    of a bucket meet in one task; buckets are key ranges of bounded content."""
+def gather(answers: DataFrame, fields: dict[str, str], name: str) -> DataFrame:
+    """(shard, name): the rows of ``answers(shard, *fields)`` of each shard, column after
+    column in one binary; :func:`unpack` reads it. A shard's rows are bounded by its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for b in batches:
-            for bucket, shard, ask in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if bucket != now:
-                    if held:
-                        yield send(now, held)
-                    now, held = bucket, []
-                held.append((shard, ask))
-        if held:
-            yield send(now, held)
-
-    def send(bucket: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        replies = answer(held)
-        shards = [s for s, _ in held]
-        if report is not None:
-            replies, shards = [*replies, report(held)], [*shards, REPORT]
-        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([bucket] * len(shards), pa.int32()), pa.array(replies, pa.binary())], ["shard", "bucket", "reply"])
 
-    tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = asks.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard")
-    return materialize(sorted_.mapInArrow(run, REPLY), "replies")
+        def send() -> Iterator[pa.RecordBatch]:
+            if held:
+                raw = b"".join(np.concatenate([h[k] for h in held]).astype(_KINDS[kind]).tobytes() for k, kind in enumerate(fields.values()))
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([raw], pa.binary())], ["shard", name])
 
-
-def pack_report(**columns: np.ndarray) -> bytes:
-    """Columns of equal length as 64-bit numbers, one after another."""
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values())
-
-
-def reports(replies: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The rows of all reports; ``columns``: their names and kinds, long or double."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                n = len(raw) // 8 // len(columns)
-                cols = [pa.array(np.frombuffer(raw, "<i8" if kind == "long" else "<f8", n, 8 * n * i)) for i, kind in enumerate(columns.values())]
-                yield pa.RecordBatch.from_arrays(cols, list(columns))
-
-    return replies.where(F.col("shard") == REPORT).select("reply").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in columns.items()))
-
-
-def with_replies(packed: DataFrame, replies: dict[str, DataFrame]) -> DataFrame:
-    """``packed`` with one column per name: the replies to each shard, in bucket order; null
-    where there are none. :func:`joined_reply` makes one array of them."""
-    out = packed
-    for name, r in replies.items():
-        joined = r.where(F.col("shard") != REPORT).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("got"))
-        joined = joined.select("shard", F.col("got.reply").alias(name))
-        out = out.join(joined, "shard", "left")
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [b.num_rows]])
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if y <= x:
+                    continue
+                if cols[0][x] != now:
+                    yield from send()
+                    now, held = int(cols[0][x]), []
+                held.append([c[x:y].copy() for c in cols[1:]])
+        yield from send()
+
+    return answers.select("shard", *fields).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"shard long, {name} binary")
+
+
+def unpack(raw, fields: dict[str, str]) -> list[np.ndarray]:
+    """The columns of one row of :func:`gather`; empty ones for null."""
+    kinds = [np.dtype(_KINDS[k]) for k in fields.values()]
+    n = len(raw) // sum(k.itemsize for k in kinds) if raw is not None else 0
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at) if n else np.zeros(0, k))
+        at += n * k.itemsize
     return out
 
 
-def joined_reply(parts: list[bytes] | None, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), kind)
+def with_replies(packed: DataFrame, *replies: DataFrame) -> DataFrame:
+    """``packed`` with the columns of :func:`gather`; null where a shard has no answers."""
+    for r in replies:
+        packed = packed.join(r, "shard", "left")
+    return packed

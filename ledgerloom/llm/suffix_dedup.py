@@ -1,29 +1,30 @@
 """Removal of repeated byte strings by suffix arrays.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller
-doc_id. Documents lie in shards, in order of doc_id (:mod:`shards`).
+doc_id. Documents lie in shards of bounded bytes (:mod:`shards`), wherever they are read.
 
 1. Candidates. In every 50-byte window the smallest hash of its 24-byte strings is the
    window's key; equal windows have equal keys, and a run of windows that share a key is
-   one string. Shards send the distinct (key, hash of the run's string) pairs to buckets
-   and learn for each: the key is in no other shard (0), it is (1), or the very string is
-   in a lower shard (2): then its windows go at once, in all documents of the shard.
+   one string. Shards ask about their distinct (key, hash of the run's string) pairs, with
+   the smallest doc_id that has each, and learn the smallest doc_id of all and whether the
+   key has other strings elsewhere. A run with a smaller doc_id goes as a whole; one whose
+   key has this string alone stays as a whole. That is exact, and settles most windows.
 2. Suffix arrays. Over the windows that are left each shard builds a suffix array by
    Larsson-Sadakane refinement and Kasai's common prefixes; a class of suffixes that
-   share 50 bytes is one string, and its first document is its owner in the shard.
-3. Merging. Shards send each distinct string once, as its 64-bit hash, sorted; buckets
-   find every shard's strings in the merged list by binary search and answer whether a
-   lower shard has it.
+   share 50 bytes is one string, with the smallest doc_id that has it in the shard.
+3. Merging. Shards ask about each such string once, by two independent 64-bit hashes, and
+   learn the smallest doc_id of all; a shard finds the answers to its sorted classes by
+   binary search.
 
-What is shuffled: about 13 bytes for each 14 windows, then 8 for each distinct candidate
-window, one bit back for each, and the texts once a phase. Candidates are exact; strings
-are compared by 64-bit hashes across shards (a wrong match has a chance of about
-candidates^2 / 2^64).
+What is shuffled grows with the input: a row for each 14 windows, a row for each distinct
+string that is left, an answer where it tells something new, and the texts once a phase.
+Runs are compared by 128 bits (key and string) and strings by 128 bits, so a wrong match
+has a chance of about strings^2 / 2^128.
 
 Odd input: null text is empty; a null doc_id is larger than all others, and rows without
 one never lose bytes to each other; equal ids neither; repeated rows each get their row;
 texts shorter than 50 bytes lose nothing; an empty table gives no rows; extra columns are
-ignored by :func:`repeated` and kept by :func:`cut_repeats`.
+ignored by :func:`repeated` and kept by :func:`cut_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import finish, gram_hashes, materialize, mix
-from .shards import ASK, Shard, ask_buckets, bucket_bits, bucket_bounds, each_shard, joined_reply, pack_shards, with_replies
+from .common import finish, gram_hashes, materialize, mix, span_hashes
+from .shards import Shard, each_shard, gather, pack_shards, unpack, with_replies
 
 LENGTH = 50
 GRAM = 24
@@ -187,81 +188,45 @@ class Windows:
             long_ = long_[at[long_] < last[long_]]
         return finish(out)
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (key, string) pairs sorted by key then string, and each run's place."""
-        order = np.lexsort((self.string, self.key))
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (key, string) pairs, the smallest rank of each, and each run's pair."""
+        rank = self.shard.rank[self.run_doc]
+        order = np.lexsort((rank, self.string, self.key))
         k, s = self.key[order], self.string[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
         place = np.empty(len(k), np.int64)
         place[order] = np.cumsum(new) - 1
-        return k[new], s[new], place
-
-
-def answer_pairs(held: list[tuple[int, bytes]]) -> list[bytes]:
-    """For each shard's pairs: 0 the key is its own, 1 shared, 2 the string is below."""
-    counts = [len(x) // 16 for _, x in held]
-    flat = np.concatenate([np.frombuffer(x, np.uint64).reshape(2, -1) for _, x in held], axis=1)
-    key, string = flat
-    shard = np.repeat(np.arange(len(held)), counts)
-    order = np.lexsort((shard, string, key))
-    k, s, d = key[order], string[order], shard[order]
-    new_key = np.ones(len(k), bool)
-    new_key[1:] = k[1:] != k[:-1]
-    new_pair = new_key.copy()
-    new_pair[1:] |= s[1:] != s[:-1]
-    group = np.cumsum(new_key) - 1
-    starts = np.flatnonzero(new_key)
-    shared = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[group] if len(k) else np.zeros(0, bool)
-    out = np.zeros(len(k), np.uint8)
-    out[order] = np.where(~new_pair, 2, shared)
-    cut = np.cumsum([0, *counts])
-    return [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def answer_strings(held: list[tuple[int, bytes]]) -> list[bytes]:
-    """For each shard's sorted strings, one bit each: a lower shard has it."""
-    lists = [np.frombuffer(x, np.uint64) for _, x in held]
-    every = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    order = np.argsort(every, kind="stable")
-    merged, lowest = every[order], owner[order]
-    new = np.ones(len(merged), bool)
-    new[1:] = merged[1:] != merged[:-1]
-    merged, lowest = merged[new], lowest[new]
-    return [(lowest[np.searchsorted(merged, x)] < i).astype(np.uint8).tobytes() for i, x in enumerate(lists)]
+        return k[new], s[new], rank[order][new], place
+
+
+#: What a shard learns of its pairs, and of its strings: their index, the smallest rank of
+#: all that have them, and of pairs whether the key has other strings.
+RUNS = {"at": "int", "low": "long", "many": "boolean"}
+STRINGS = {"at": "int", "low": "long"}
 
 
 class Verdicts:
     """What a shard knows after phase 1: which windows go, which need the suffix array."""
 
-    def __init__(self, w: Windows, codes: np.ndarray) -> None:
+    def __init__(self, w: Windows, reply) -> None:
         self.w = w
-        key, _, place = w.asked()
-        code = codes[place]
-        gone = code == 2
-        # a key that two documents of the shard have needs a look as well
-        _, back = np.unique(w.key, return_inverse=True)
-        lo = np.full(back.max() + 1 if len(back) else 0, len(w.shard.rank), np.int64)
-        hi = np.full(len(lo), -1, np.int64)
-        rank = w.shard.rank[w.run_doc]
-        np.minimum.at(lo, back, rank)
-        np.maximum.at(hi, back, rank)
-        local = (lo != hi)[back] if len(back) else np.zeros(0, bool)
-        # windows below a string that went needn't be looked at; its first string must
-        self.cross = (code == 1) & ~gone
-        self.look = (self.cross | local) & ~gone
+        _, _, low, place = w.asked()
+        at, lowest, other = unpack(reply, RUNS)
+        low, many = low.copy(), np.zeros(len(low), bool)
+        low[at] = lowest
+        many[at] = other > 0
+        gone = low[place] < w.shard.rank[w.run_doc]
         self.gone = np.repeat(gone, w.count)
-        self.cross_window = np.repeat(self.cross, w.count)
-        self.look_window = np.flatnonzero(np.repeat(self.look, w.count))
+        self.look_window = np.flatnonzero(np.repeat(many[place] & ~gone, w.count))
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each window in ``look_window``: its class, a number by the order of strings;
-        for each class: the lowest rank of its documents."""
+        for each class: the smallest rank of its documents, and one of its windows."""
         w = self.w
         pos = w.pos[self.look_window]
         if not len(pos):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
         # the text under these windows, without the rest
         edge = np.zeros(len(w.shard.buf) + 1, np.int32)
         np.add.at(edge, pos, 1)
@@ -274,37 +239,28 @@ class Verdicts:
         rank = np.empty(len(text), np.int64)
         rank[order] = np.arange(len(text))
         label = np.cumsum(lcp < w.length)
-        found = label[rank[place]]
-        _, found = np.unique(found, return_inverse=True)
-        low = np.full(found.max() + 1, len(w.shard.rank), np.int64)
+        _, first, found = np.unique(label[rank[place]], return_index=True, return_inverse=True)
+        low = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(low, found, w.shard.rank[w.doc[self.look_window]])
-        return found, low
-
-
-def string_keys(w: Windows, windows: np.ndarray) -> np.ndarray:
-    """Hashes of the 50 bytes of the given windows."""
-    if not len(windows):
-        return np.zeros(0, np.uint64)
-    return w.hash50[w.pos[windows]]
-
+        return found, low, self.look_window[first]
 
-def sent_strings(v: Verdicts) -> np.ndarray:
-    """The shard's distinct strings that other shards may have, sorted."""
-    return np.unique(string_keys(v.w, np.flatnonzero(v.cross_window)))
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each class: two hashes of its 50 bytes, and its smallest rank in the shard."""
+        _, low, window = self.classes()
+        pos = self.w.pos[window].astype(np.int64)
+        return self.w.hash50[pos], span_hashes(self.w.shard.buf, pos, pos + self.w.length), low
 
 
-def removed_bytes(v: Verdicts, below: np.ndarray) -> np.ndarray:
-    """Flags of the shard's bytes that go. ``below``: bits for :func:`sent_strings`."""
+def removed_bytes(v: Verdicts, reply) -> np.ndarray:
+    """Flags of the shard's bytes that go. ``reply``: what was learnt of its strings."""
     w = v.w
     gone = v.gone.copy()
-    found, low = v.classes()
+    found, low, _ = v.classes()
     if len(found):
+        at, lowest = unpack(reply, STRINGS)
+        low = low.copy()
+        low[at] = np.minimum(low[at], lowest)
         gone[v.look_window] |= w.shard.rank[w.doc[v.look_window]] > low[found]
-    cross = np.flatnonzero(v.cross_window)
-    if len(cross):
-        keys = string_keys(w, cross)
-        sent = np.unique(keys)
-        gone[cross] |= below[np.searchsorted(sent, keys)] > 0
     edge = np.zeros(len(w.shard.buf) + 1, np.int32)
     hit = w.pos[gone]
     np.add.at(edge, hit, 1)
@@ -313,38 +269,41 @@ def removed_bytes(v: Verdicts, below: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ on DataFrames
+def _asks(shard: int, **columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    cols = {k: v.view(np.int64) if v.dtype == np.uint64 else v for k, v in columns.items()}
+    cols |= {"shard": np.full(n, shard, np.int64), "at": np.arange(n, dtype=np.int32)}
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
+
+
 def _phases(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Packed shards with the answers of both phases."""
     packed = pack_shards(docs)
-    total = packed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bits = bucket_bits(total, 2 << 20)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
-            key, string, _ = Windows(Shard(row), length, gram).asked()
-            cut = bucket_bounds(key, bits)
-            yield _asks(row["shard"], cut, lambda a, b: key[a:b].tobytes() + string[a:b].tobytes())  # noqa: B023
+            key, string, low, _ = Windows(Shard(row), length, gram).asked()
+            yield _asks(row["shard"], key=key, string=string, doc=low)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
-            v = Verdicts(Windows(Shard(row), length, gram), joined_reply(row["codes"], "u1"))
-            sent = sent_strings(v)
-            yield _asks(row["shard"], bucket_bounds(sent, bits), lambda a, b: sent[a:b].tobytes())  # noqa: B023
+            one, two, low = Verdicts(Windows(Shard(row), length, gram), row["runs"]).asked()
+            yield _asks(row["shard"], one=one, two=two, doc=low)
 
-    codes = ask_buckets(packed.mapInArrow(pairs, ASK), answer_pairs)
-    below = ask_buckets(with_replies(packed, {"codes": codes}).mapInArrow(strings, ASK), answer_strings)
-    return with_replies(packed, {"codes": codes, "below": below})
-
-
-def _asks(shard: int, cut: np.ndarray, part) -> pa.RecordBatch:
-    some = [i for i in range(len(cut) - 1) if cut[i] < cut[i + 1]]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), pa.array([part(cut[i], cut[i + 1]) for i in some], pa.binary())], ["bucket", "shard", "ask"])
+    # one shuffle and one sort serve both windows
+    asked = packed.mapInArrow(pairs, "key long, string long, doc long, shard long, at int").repartition("key").sortWithinPartitions("key", "string")
+    of_key = Window.partitionBy("key")
+    told = asked.withColumn("low", F.min("doc").over(Window.partitionBy("key", "string"))).withColumn("many", F.min("string").over(of_key) != F.max("string").over(of_key))
+    runs = materialize(gather(told.where("many or low < doc"), RUNS, "runs"), "runs")
+    asked = with_replies(packed, runs).mapInArrow(strings, "one long, two long, doc long, shard long, at int").repartition("one").sortWithinPartitions("one", "two")
+    told = asked.withColumn("low", F.min("doc").over(Window.partitionBy("one", "two"))).where("low < doc")
+    below = materialize(gather(told, STRINGS, "strings"), "strings")
+    return with_replies(packed, runs, below)
 
 
 def _removed(row: dict, length: int, gram: int) -> tuple[Shard, np.ndarray]:
     shard = Shard(row)
-    v = Verdicts(Windows(shard, length, gram), joined_reply(row["codes"], "u1"))
-    return shard, removed_bytes(v, joined_reply(row["below"], "u1"))
+    return shard, removed_bytes(Verdicts(Windows(shard, length, gram), row["runs"]), row["strings"])
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -381,21 +340,22 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     """``docs`` with the repeated strings cut out of ``text``. A document of which no word
     is left goes; one that had none stays. Other columns stay as they are, ``n_chars``
     follows the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
             shard, gone = _removed(row, length, gram)
             hit = [i for i in range(len(shard.ids)) if gone[shard.at[i] : shard.at[i + 1]].any()]
             texts = [kept_text(shard.buf[shard.at[i] : shard.at[i + 1]].tobytes(), gone[shard.at[i] : shard.at[i + 1]]) for i in hit]
             before = [hashlib.sha256(shard.buf[shard.at[i] : shard.at[i + 1]].tobytes()).hexdigest() for i in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.ids[hit], mask=shard.nulls[hit]), pa.array(before, pa.string()), pa.array(texts, pa.string())], ["__id", "__hash", "__left"])
-
-    # what is left of a text depends on (doc_id, text) alone
-    cut = _phases(docs, length, gram).mapInArrow(run, "__id long, __hash string, __left string").groupBy("__id", "__hash").agg(F.first("__left").alias("__left"))
-    cut = materialize(cut, "cut")
-    hashed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = hashed.join(cut, (F.col("__sha") == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    stays = F.col("__hash").isNull() | (F.length(F.trim(F.regexp_replace("__left", "[\\x09-\\x0D]", ""))) > 0)
-    out = joined.where(stays).withColumn("text", F.when(F.col("__hash").isNull(), F.col("text")).otherwise(F.col("__left")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hash").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ids[hit], mask=shard.nulls[hit]), pa.array(before, pa.string()), pa.array(texts, pa.string())], ["id", "hash", "left"])
+
+    # what is left of a text depends on (doc_id, text) alone; the row travels as one struct
+    cut = _phases(docs, length, gram).mapInArrow(run, "id long, hash string, left string").groupBy("id", "hash").agg(F.first("left").alias("left"))
+    cut = materialize(cut, "cut").alias("c")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("sha", F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)).alias("d")
+    joined = rows.join(cut, (F.col("d.sha") == F.col("c.hash")) & F.col("d.row.doc_id").cast("long").eqNullSafe(F.col("c.id")), "left")
+    same = F.col("c.hash").isNull()
+    out = joined.where(same | (F.length(F.trim(F.regexp_replace("c.left", "[\\x09-\\x0D]", ""))) > 0))
+    text = F.when(same, F.col("d.row.text")).otherwise(F.col("c.left"))
+    changed = {"text": text, "n_chars": F.when(same, F.col("d.row")["n_chars"]).otherwise(F.length(text)) if "n_chars" in docs.columns else None}
+    return out.select(*[(changed[c] if c in changed else F.col("d.row")[c]).cast(t).alias(c) for c, t in docs.dtypes])

@@ -63,7 +63,7 @@ def rows(spark):
 
 @pytest.mark.parametrize("size", [1 << 22, 3000])
 def test_matches_brute_force(spark, rows, size, monkeypatch):
-    monkeypatch.setattr(shards.pack_shards, "__defaults__", (size, 48 << 20))
+    monkeypatch.setattr(shards.pack_shards, "__defaults__", (size,))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("shard", s.F.lit("clash"))
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.repeated(docs).collect())
     assert got == brute(rows)
@@ -75,7 +75,7 @@ def _windows(text: bytes):
 
 
 def test_periodic_texts_in_two_shards_that_differ_in_one_middle_byte(spark, monkeypatch):
-    monkeypatch.setattr(shards.pack_shards, "__defaults__", (1, 48 << 20))
+    monkeypatch.setattr(shards.pack_shards, "__defaults__", (1,))
     # texts of which the period's own 24 bytes are the smallest string of every window
     texts = [bytes([c]) * 200 + bytes([m]) + bytes([c]) * 200 for c in range(33, 127) for m in range(33, 127) if c != m]
     low = min(range(33, 127), key=lambda c: int(s.gram_hashes(np.full(24, c, np.uint8), (24,))[24][0]))
