@@ -7,7 +7,6 @@ numpy arrays.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -24,10 +23,10 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 # ------------------------------------------------------------------ written tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -49,7 +48,19 @@ def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`materialize` that nothing is read from any more."""
+    for t in tables:
+        path = getattr(t, "written_to", None)
+        if path is not None:
+            jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def partitions_for(df: DataFrame, rows_each: int, rows: int) -> int:

@@ -1,10 +1,10 @@
 """Shards of documents that ask about keys, and get answers back.
 
 A shard is a run of documents of bounded bytes, kept as one row of a written table. It
-asks once about each of its distinct keys, one row a key, so a key that a third of all
-documents share costs one row a shard and the rows grow with the input alone. Questions
-meet in a keyed window or aggregation of Spark's; only answers that tell a shard something
-it doesn't know go back, packed into one row a shard (:func:`gather`).
+asks once about each of its distinct keys, so a key that a third of all documents share
+costs one question a shard. Questions of one range of keys travel in one message, and no
+empty message is sent: messages are never more than keys, which grow with the input. They
+meet by range of keys; only answers that tell a shard something new go back.
 """
 
 from __future__ import annotations
@@ -56,11 +56,20 @@ def shard_rows(docs: DataFrame, schema: str, build: Callable[[np.ndarray, np.nda
     return materialize(slim.mapInArrow(run, schema), "shards", {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"})
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed once, so that neither tables nor shuffles hold more."""
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def unsqueezed(raw, size: int) -> bytes:
+    return pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b""
+
+
 def pack_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of whole texts (:class:`Shard` reads a row)."""
 
     def build(ids: np.ndarray, nulls: np.ndarray, texts: list[bytes]) -> list:
-        return [ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts)]
+        return [ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), squeezed(b"".join(texts))]
 
     return shard_rows(docs, PACKED, build, shard_bytes)
 
@@ -73,8 +82,8 @@ class Shard:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.nulls = np.frombuffer(row["nulls"], np.uint8).astype(bool)
         self.sizes = np.frombuffer(row["sizes"], "<i8")
-        self.buf = np.frombuffer(row["body"], np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.buf = np.frombuffer(unsqueezed(row["body"], int(self.at[-1])), np.uint8)
         self.rank = np.where(self.nulls, LAST, self.ids)
 
 
@@ -85,39 +94,28 @@ def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: (v.as_buffer() if pa.types.is_binary(v.type) and v.is_valid else v.as_py()) for n, v in zip(b.schema.names, (b.column(k)[i] for k in range(b.num_columns)), strict=True)}
 
 
-# ------------------------------------------------------------------ answers
-_KINDS = {"long": "<i8", "int": "<i4", "double": "<f8", "float": "<f4", "boolean": "u1", "tinyint": "i1"}
+# ------------------------------------------------------------------ questions and answers
+_KINDS = {"key": "<u8", "long": "<i8", "int": "<i4", "double": "<f8", "boolean": "u1"}
+ASK = "bucket int, shard long, base int, rows binary"
+ANSWER = "shard long, rows binary, words long, tokens long"
+#: Bytes of text whose keys make up about one bucket.
+BUCKET_BYTES = 16 << 20
 
 
-def gather(answers: DataFrame, fields: dict[str, str], name: str) -> DataFrame:
-    """(shard, name): the rows of ``answers(shard, *fields)`` of each shard, column after
-    column in one binary; :func:`unpack` reads it. A shard's rows are bounded by its size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def send() -> Iterator[pa.RecordBatch]:
-            if held:
-                raw = b"".join(np.concatenate([h[k] for h in held]).astype(_KINDS[kind]).tobytes() for k, kind in enumerate(fields.values()))
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([raw], pa.binary())], ["shard", name])
+def bucket_bits(total_bytes: int, each: int = BUCKET_BYTES) -> int:
+    """Bits so that 2^bits ranges of keys get about ``each`` bytes of text apiece."""
+    bits = 4
+    while bits < 30 and total_bytes > each << bits:
+        bits += 1
+    return bits
 
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [b.num_rows]])
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if y <= x:
-                    continue
-                if cols[0][x] != now:
-                    yield from send()
-                    now, held = int(cols[0][x]), []
-                held.append([c[x:y].copy() for c in cols[1:]])
-        yield from send()
 
-    return answers.select("shard", *fields).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"shard long, {name} binary")
+def pack(fields: dict[str, str], columns: list[np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(c, _KINDS[k]).tobytes() for c, k in zip(columns, fields.values(), strict=True))
 
 
 def unpack(raw, fields: dict[str, str]) -> list[np.ndarray]:
-    """The columns of one row of :func:`gather`; empty ones for null."""
+    """The columns of :func:`pack`; empty ones for null."""
     kinds = [np.dtype(_KINDS[k]) for k in fields.values()]
     n = len(raw) // sum(k.itemsize for k in kinds) if raw is not None else 0
     out, at = [], 0
@@ -127,8 +125,79 @@ def unpack(raw, fields: dict[str, str]) -> list[np.ndarray]:
     return out
 
 
+def asks(shard: int, bits: int, fields: dict[str, str], *columns: np.ndarray) -> pa.RecordBatch:
+    """A shard's questions, sorted by their first column, a 64-bit key: one message for each
+    range of keys that has any, so there are never more messages than keys."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    cut = np.append(np.searchsorted(columns[0], edges), len(columns[0]))
+    some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+    rows = [pack(fields, [c[cut[i] : cut[i + 1]] for c in columns]) for i in some]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), pa.array(cut[some], pa.int32()), pa.array(rows, pa.binary())], ["bucket", "shard", "base", "rows"])
+
+
+def answered(asked: DataFrame, bits: int, fields: dict[str, str], answer: Callable, told: dict[str, str]) -> DataFrame:
+    """(shard, rows, words, tokens): ``answer`` gets the columns of all questions of a
+    bucket, in the order of shards, and returns which of them it answers, what it tells of
+    those (``told`` without its first field, the question's place in its shard), and two
+    numbers about the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                bucket = b.column(0)[i].as_py()
+                if bucket != now:
+                    if held:
+                        yield send(held)
+                    now, held = bucket, []
+                held.append((b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_buffer().to_pybytes()))
+        if held:
+            yield send(held)
+
+    def send(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        parts = [unpack(raw, fields) for _, _, raw in held]
+        size = np.array([len(p[0]) for p in parts])
+        begin = np.cumsum(size) - size
+        which, columns, words, tokens = answer([np.concatenate(c) for c in zip(*parts, strict=True)])
+        place = which - np.repeat(begin - [base for _, base, _ in held], size)[which]
+        cut = np.searchsorted(which, np.append(begin, size.sum()))
+        shards, rows = [], []
+        for (shard, _, _), a, b in zip(held, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b > a or not shards:  # the first carries the numbers
+                shards.append(shard)
+                rows.append(pack(told, [place[a:b], *[c[a:b] for c in columns]]))
+        rest = [0] * (len(shards) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(rows, pa.binary()), pa.array([words, *rest], pa.int64()), pa.array([tokens, *rest], pa.int64())], ["shard", "rows", "words", "tokens"])
+
+    # a task has one bucket or, where there are very many, up to 64 one after another
+    tasks = min(1 << bits, max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 64))
+    return asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, ANSWER)
+
+
+def gather(answers: DataFrame, told: dict[str, str], name: str) -> DataFrame:
+    """(shard, name): all that a shard was told, column after column in one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if held:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([pack(told, columns)], pa.binary())], ["shard", name])
+
+        for b in batches:
+            for shard, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if shard != now:
+                    yield from send()
+                    now, held = shard, []
+                held.append(unpack(raw.as_buffer().to_pybytes(), told))
+        yield from send()
+
+    return answers.where(F.length("rows") > 0).select("shard", "rows").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, f"shard long, {name} binary")
+
+
 def with_replies(packed: DataFrame, *replies: DataFrame) -> DataFrame:
-    """``packed`` with the columns of :func:`gather`; null where a shard has no answers."""
+    """``packed`` with the columns of :func:`gather`; null where a shard was told nothing."""
     for r in replies:
         packed = packed.join(r, "shard", "left")
     return packed

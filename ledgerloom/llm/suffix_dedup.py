@@ -16,7 +16,7 @@ doc_id. Documents lie in shards of bounded bytes (:mod:`shards`), wherever they
    learn the smallest doc_id of all; a shard finds the answers to its sorted classes by
    binary search.
 
-What is shuffled grows with the input: a row for each 14 windows, a row for each distinct
+What is shuffled grows with the input: 24 bytes for each 14 windows and for each distinct
 string that is left, an answer where it tells something new, and the texts once a phase.
 Runs are compared by 128 bits (key and string) and strings by 128 bits, so a wrong match
 has a chance of about strings^2 / 2^128.
@@ -34,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import finish, gram_hashes, materialize, mix, span_hashes
-from .shards import Shard, each_shard, gather, pack_shards, unpack, with_replies
+from .common import discard, finish, gram_hashes, materialize, mix, span_hashes
+from .shards import ASK, Shard, answered, asks, bucket_bits, each_shard, gather, pack_shards, unpack, with_replies
 
 LENGTH = 50
 GRAM = 24
@@ -200,10 +200,42 @@ class Windows:
         return k[new], s[new], rank[order][new], place
 
 
-#: What a shard learns of its pairs, and of its strings: their index, the smallest rank of
-#: all that have them, and of pairs whether the key has other strings.
-RUNS = {"at": "int", "low": "long", "many": "boolean"}
-STRINGS = {"at": "int", "low": "long"}
+#: What a shard asks and learns of its pairs: the smallest rank of all that have one, and
+#: whether the key has other strings. Of its strings: the smallest rank of all.
+ASK_RUNS, RUNS = {"key": "key", "string": "key", "low": "long"}, {"at": "int", "low": "long", "many": "boolean"}
+ASK_STRINGS, STRINGS = {"one": "key", "two": "key", "low": "long"}, {"at": "int", "low": "long"}
+
+
+def _lowest(one: np.ndarray, two: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each (one, two): the smallest ``low`` of all equal ones; the order that sorts them
+    and which places in it begin a new ``one``."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    new_one = np.ones(len(a), bool)
+    new_one[1:] = a[1:] != a[:-1]
+    new = new_one.copy()
+    new[1:] |= b[1:] != b[:-1]
+    starts = np.flatnonzero(new)
+    least = np.empty(len(a), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], starts), np.diff(np.append(starts, len(a)))) if len(a) else 0
+    return least, order, new_one
+
+
+def answer_runs(columns: list[np.ndarray]):
+    key, string, low = columns
+    least, order, new = _lowest(key, string, low)
+    starts = np.flatnonzero(new)
+    s = string[order]
+    many = np.empty(len(key), bool)
+    many[order] = np.repeat(np.minimum.reduceat(s, starts) != np.maximum.reduceat(s, starts), np.diff(np.append(starts, len(s))))
+    which = np.flatnonzero(many | (least < low))
+    return which, [least[which], many[which]], 0, 0
+
+
+def answer_strings(columns: list[np.ndarray]):
+    least, _, _ = _lowest(*columns)
+    which = np.flatnonzero(least < columns[2])
+    return which, [least[which]], 0, 0
 
 
 class Verdicts:
@@ -245,17 +277,25 @@ class Verdicts:
         return found, low, self.look_window[first]
 
     def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each class: two hashes of its 50 bytes, and its smallest rank in the shard."""
-        _, low, window = self.classes()
+        """Of each class, sorted: two hashes of its 50 bytes, and its smallest rank here."""
+        _, low, window = self.sorted_classes()
         pos = self.w.pos[window].astype(np.int64)
         return self.w.hash50[pos], span_hashes(self.w.shard.buf, pos, pos + self.w.length), low
 
+    def sorted_classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`classes`, numbered by the hash of their bytes."""
+        found, low, window = self.classes()
+        turn = np.argsort(self.w.hash50[self.w.pos[window]], kind="stable")
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        return place[found], low[turn], window[turn]
+
 
 def removed_bytes(v: Verdicts, reply) -> np.ndarray:
     """Flags of the shard's bytes that go. ``reply``: what was learnt of its strings."""
     w = v.w
     gone = v.gone.copy()
-    found, low, _ = v.classes()
+    found, low, _ = v.sorted_classes()
     if len(found):
         at, lowest = unpack(reply, STRINGS)
         low = low.copy()
@@ -269,35 +309,26 @@ def removed_bytes(v: Verdicts, reply) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ on DataFrames
-def _asks(shard: int, **columns: np.ndarray) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    cols = {k: v.view(np.int64) if v.dtype == np.uint64 else v for k, v in columns.items()}
-    cols |= {"shard": np.full(n, shard, np.int64), "at": np.arange(n, dtype=np.int32)}
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
-
-
 def _phases(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Packed shards with the answers of both phases."""
     packed = pack_shards(docs)
+    bits = bucket_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
             key, string, low, _ = Windows(Shard(row), length, gram).asked()
-            yield _asks(row["shard"], key=key, string=string, doc=low)
+            yield asks(row["shard"], bits, ASK_RUNS, key, string, low)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
-            one, two, low = Verdicts(Windows(Shard(row), length, gram), row["runs"]).asked()
-            yield _asks(row["shard"], one=one, two=two, doc=low)
-
-    # one shuffle and one sort serve both windows
-    asked = packed.mapInArrow(pairs, "key long, string long, doc long, shard long, at int").repartition("key").sortWithinPartitions("key", "string")
-    of_key = Window.partitionBy("key")
-    told = asked.withColumn("low", F.min("doc").over(Window.partitionBy("key", "string"))).withColumn("many", F.min("string").over(of_key) != F.max("string").over(of_key))
-    runs = materialize(gather(told.where("many or low < doc"), RUNS, "runs"), "runs")
-    asked = with_replies(packed, runs).mapInArrow(strings, "one long, two long, doc long, shard long, at int").repartition("one").sortWithinPartitions("one", "two")
-    told = asked.withColumn("low", F.min("doc").over(Window.partitionBy("one", "two"))).where("low < doc")
+            yield asks(row["shard"], bits, ASK_STRINGS, *Verdicts(Windows(Shard(row), length, gram), row["runs"]).asked())
+
+    told = materialize(answered(packed.mapInArrow(pairs, ASK), bits, ASK_RUNS, answer_runs, RUNS), "told")
+    runs = materialize(gather(told, RUNS, "runs"), "runs")
+    discard(told)
+    told = materialize(answered(with_replies(packed, runs).mapInArrow(strings, ASK), bits, ASK_STRINGS, answer_strings, STRINGS), "told")
     below = materialize(gather(told, STRINGS, "strings"), "strings")
+    discard(told)
     return with_replies(packed, runs, below)
 
 

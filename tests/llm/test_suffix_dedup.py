@@ -71,7 +71,7 @@ def test_matches_brute_force(spark, rows, size, monkeypatch):
 
 def _windows(text: bytes):
     sizes = np.array([len(text)], "<i8")
-    return s.Windows(shards.Shard({"shard": 0, "ids": np.zeros(1, "<i8").tobytes(), "nulls": b"\0", "sizes": sizes.tobytes(), "body": text}))
+    return s.Windows(shards.Shard({"shard": 0, "ids": np.zeros(1, "<i8").tobytes(), "nulls": b"\0", "sizes": sizes.tobytes(), "body": shards.squeezed(text)}))
 
 
 def test_periodic_texts_in_two_shards_that_differ_in_one_middle_byte(spark, monkeypatch):
