@@ -65,6 +65,17 @@ def unsqueezed(raw, size: int) -> bytes:
     return pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b""
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, lowest first, compressed."""
+    return squeezed(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unplanes(raw, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(unsqueezed(raw, n * width), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
+
+
 def pack_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of whole texts (:class:`Shard` reads a row)."""
 
@@ -98,8 +109,9 @@ def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 _KINDS = {"key": "<u8", "long": "<i8", "int": "<i4", "double": "<f8", "boolean": "u1"}
 ASK = "bucket int, shard long, base int, rows binary"
 ANSWER = "shard long, rows binary, words long, tokens long"
-#: Bytes of text whose keys make up about one bucket.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose keys make up about one bucket, and buckets of a task.
+BUCKET_BYTES = 4 << 20
+TOGETHER = 4
 
 
 def bucket_bits(total_bytes: int, each: int = BUCKET_BYTES) -> int:
@@ -169,8 +181,7 @@ def answered(asked: DataFrame, bits: int, fields: dict[str, str], answer: Callab
         rest = [0] * (len(shards) - 1)
         return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(rows, pa.binary()), pa.array([words, *rest], pa.int64()), pa.array([tokens, *rest], pa.int64())], ["shard", "rows", "words", "tokens"])
 
-    # a task has one bucket or, where there are very many, up to 64 one after another
-    tasks = min(1 << bits, max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 64))
+    tasks = max(1, (1 << bits) // TOGETHER)
     return asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, ANSWER)
 
 
