@@ -32,25 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs one re-read, not the stages before it. The
-    shuffle files of the write are given back as soon as it has ended.
+    shuffle files of the write are given back as soon as it has ended. With ``buckets``, a
+    number and a column, joins on that column don't shuffle the table again; it is then
+    known to the session's catalog until :func:`discard`.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    table = f"{name}-{uuid.uuid4().hex}"
+    path = os.path.join(shared_dir(spark), table)
     before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     for k, v in WHILE_WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.options(**(options or {})).parquet(path)
+        writer = df.write.options(**(options or {}))
+        if buckets:
+            table = table.replace("-", "_")
+            writer.format("parquet").option("path", path).bucketBy(*buckets).sortBy(buckets[1]).saveAsTable(table)
+        else:
+            writer.parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
+    out = spark.table(table) if buckets else spark.read.schema(df.schema).parquet(path)
+    out.written_to, out.known_as = path, table if buckets else None
+    return out
 
 
 def discard(*tables: DataFrame | None) -> None:
@@ -58,6 +66,8 @@ def discard(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "written_to", None)
         if path is not None:
+            if t.known_as:
+                t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.known_as}")
             jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)

@@ -24,7 +24,7 @@ PACKED = "shard long, ids binary, nulls binary, sizes binary, body binary"
 LAST = np.iinfo(np.int64).max
 
 
-def shard_rows(docs: DataFrame, schema: str, build: Callable[[np.ndarray, np.ndarray, list[bytes]], list], shard_bytes: int) -> DataFrame:
+def shard_rows(docs: DataFrame, schema: str, build: Callable[[np.ndarray, np.ndarray, list[bytes]], list], shard_bytes: int, total: int) -> DataFrame:
     """One written row per shard of ``docs(doc_id, text)``: its number, then what ``build``
     makes of (ids, flags of null ids, texts). Documents stay where they are read."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -52,8 +52,20 @@ def shard_rows(docs: DataFrame, schema: str, build: Callable[[np.ndarray, np.nda
         if ids:
             yield out()
 
-    # small row groups: a reader takes a whole one into memory
-    return materialize(slim.mapInArrow(run, schema), "shards", {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"})
+    return materialize(slim.mapInArrow(run, schema), "shards", SMALL_GROUPS, by_shard(total))
+
+
+#: A reader takes a whole row group into memory.
+SMALL_GROUPS = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def by_shard(total: int, each: int = 12 << 20) -> tuple[int, str]:
+    """How tables of shards are bucketed: answers come to them, they are not shuffled."""
+    return min(100_000, max(8, -(-total // each))), "shard"
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -76,13 +88,13 @@ def unplanes(raw, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
 
 
-def pack_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack_shards(docs: DataFrame, total: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of whole texts (:class:`Shard` reads a row)."""
 
     def build(ids: np.ndarray, nulls: np.ndarray, texts: list[bytes]) -> list:
         return [ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), squeezed(b"".join(texts))]
 
-    return shard_rows(docs, PACKED, build, shard_bytes)
+    return shard_rows(docs, PACKED, build, shard_bytes, total)
 
 
 class Shard:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, finish, gram_hashes, materialize, mix, span_hashes
-from .shards import ASK, Shard, answered, asks, bucket_bits, each_shard, gather, pack_shards, unpack, with_replies
+from .shards import ASK, Shard, answered, asks, bucket_bits, each_shard, gather, pack_shards, text_bytes, unpack, with_replies
 
 LENGTH = 50
 GRAM = 24
@@ -311,8 +311,8 @@ def removed_bytes(v: Verdicts, reply) -> np.ndarray:
 # ------------------------------------------------------------------ on DataFrames
 def _phases(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Packed shards with the answers of both phases."""
-    packed = pack_shards(docs)
-    bits = bucket_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    total = text_bytes(docs)
+    packed, bits = pack_shards(docs, total), bucket_bits(total)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_shard(batches):
