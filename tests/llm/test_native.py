@@ -1,5 +1,6 @@
 """Mixing and sharding."""
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -35,11 +36,29 @@ def test_tilts_with_prior_rates_meet_targets_under_the_cap(spark):
     sizes = spark.createDataFrame(rows, "source string, size long, prior double")
     whole = sum(s for k, s, _ in rows if k == "a")
     targets = spark.createDataFrame([("a", whole * 2.2), ("b", 40.0)], "source string, target double")
-    lam = {r.source: r.lam for r in mixing.tilts(sizes, targets).collect()}
-    import math
-
+    got = {r.source: r for r in mixing.tilts(sizes, targets).collect()}
     for k, want in (("a", whole * 2.2), ("b", 40.0)):
-        assert sum(s * min(3.0, q * math.exp(lam[k])) for x, s, q in rows if x == k) == pytest.approx(want, rel=1e-9)
+        assert sum(s * min(3.0, q * math.exp(got[k].lam * s)) for x, s, q in rows if x == k) == pytest.approx(want, rel=1e-9)
+        assert got[k].steps > 1
+
+
+def test_rates_are_the_closest_ones_in_relative_entropy(spark):
+    """Moving words between any two documents of a source, target kept, never lowers the
+    divergence; rates differ with the size."""
+    rows = [(i, ("word " * (1 + (i * 7) % 40)).strip(), "en", "ab"[i % 3 == 0], 1) for i in range(120)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    source = {r[0]: r[3] for r in rows}
+    cost = lambda r: r * math.log(r) - r + 1
+    for k in "ab":
+        own = [r for r in got if source[r.doc_id] == k]
+        assert sum(r.rate * r.size for r in own) == pytest.approx(own[0].target, rel=1e-9)
+        assert len({round(r.rate, 6) for r in own}) > 10
+        for a in own[:12]:
+            for b in own[12:24]:
+                for eps in (1e-4, -1e-4):
+                    x, y = a.rate + eps / a.size, b.rate - eps / b.size
+                    if max(x, y) <= 3:
+                        assert cost(x) + cost(y) >= cost(a.rate) + cost(b.rate) - 1e-12
 
 
 def test_mix_documents_takes_words_not_more(spark):
