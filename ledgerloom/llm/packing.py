@@ -1,15 +1,17 @@
 """Mixture-controlled packing of documents into fixed windows of tokens.
 
-Each source is a queue. In every round a source earns its share of a window (its
-quantum); a document is served in the round in which the earned tokens pass its start, so
-what a long document takes too much is a deficit that later rounds, windows and
-partitions pay back. Served documents are laid end to end and cut at window ends, so
-only the last window is padded. By default a source's share is its share of all tokens;
-other target shares hold until a source runs dry, then the others share its place.
-
-Nothing of this is sequential: the round of a document follows from the tokens before it
-in its queue, its place from a running sum in the order (round, source, queue). Both sums
-work on numbers only; token ids are written once, and move once to meet their places.
+Each source is a queue. Every window takes a source's quantum, its target share of the
+window; documents are cut where the quantum ends and go on in the source's part of the
+next window. What a window owes a queue, a part of a token, is a deficit that later windows
+pay back, whatever partition their documents lie in: after any number of windows a queue
+has had its share of all tokens to within one. A queue that runs dry gives its rest at
+once, and the others share its place. By default a source's target share is its share of
+all tokens, so that all run dry together; give ``shares`` for other proportions. Sources
+with less than ``POOL`` tokens a window share one queue, in which they are mixed by hash.
+
+Nothing of this is sequential: how many tokens of each queue lie before a place on the line
+of windows has a closed form (:class:`Rounds`), and a document's place in its queue is a
+running sum over numbers only. Token ids are written once, and move once to be cut.
 
 Odd input: null text is empty and is one token, the end mark; null and empty sources are
 queues of their own; a null doc_id is packed like others; repeated rows are packed each;
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from fractions import Fraction
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +36,17 @@ from .common import materialize, running_start
 
 WINDOW = 2048
 END_ID = 1
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Words whose ids a Python worker keeps; it starts anew beyond that.
 CACHE = 1_000_000
+#: Tokens of a window below which a source has no queue of its own; so there are at most
+#: WINDOW / POOL + 2 queues, however many sources.
+POOL = 8
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
 
 
 #: Texts of these characters alone are cut into the tokenizer's own pieces here: ASCII and
@@ -173,34 +176,109 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, source string, n_tokens long, wide boolean, ids binary")
 
 
-def places(queue: DataFrame, window: int = WINDOW, shares: DataFrame | None = None, rows_each: int = 20_000) -> DataFrame:
-    """(row, n_tokens, place) for ``queue(row, doc_id, source, n_tokens)``: where each
-    document begins on the line of all windows.
+class Rounds:
+    """How many tokens of each queue lie before any place on the line of windows.
 
-    ``shares(source, share)``: target shares of a window; a source without one, or without
-    any tokens, gets the share 0 and comes last.
+    The line is cut into phases with fixed weights of the queues that are left. In a phase
+    the tokens of the first i queues in its first y places are floor(y * weights of the
+    first i / all weights), so windows are full and a queue is never off by a token. A phase
+    ends at the last window's end before a queue would run dry; then comes the rest of that
+    queue, a phase of its own, which is less than its quantum and two tokens.
     """
-    n = queue.count()
-    buckets = max(64, -(-n // rows_each))
-    # a queue is in the order of a hash, so that its parts are alike and none is large
-    mixed = F.xxhash64("doc_id", "n_tokens")
-    order = [mixed, F.col("doc_id"), F.col("n_tokens"), F.col("row")]
-    started = running_start(queue, ["source"], F.pmod(F.shiftrightunsigned(mixed, 40), F.lit(buckets)), order=order, size="n_tokens", out="before")
-    whole = queue.groupBy("source").agg(F.sum("n_tokens").alias("total"))
+
+    def __init__(self, totals: list[int], weights: list[int], window: int) -> None:
+        self.window, self.total = window, sum(totals)
+        self.starts: list[int] = []
+        self.base: list[list[int]] = []  # by phase, tokens given of the first i queues
+        self.prefix: list[list[int]] = []  # by phase, weights of the first i queues
+        left, given, at = list(totals), [0] * len(totals), 0
+        live = [i for i, t in enumerate(totals) if t > 0]
+        weights = list(weights)
+
+        def phase(of: dict[int, int], size: int) -> None:
+            nonlocal at
+            prefix = [0, *accumulate(of.get(i, 0) for i in range(len(totals)))]
+            self.starts.append(at)
+            self.base.append([0, *accumulate(given)])
+            self.prefix.append(prefix)
+            for i in of:
+                n = size * prefix[i + 1] // prefix[-1] - size * prefix[i] // prefix[-1]
+                given[i] += n
+                left[i] -= n
+            at += size
+
+        while live:
+            if not any(weights[i] for i in live):  # no share asked for any: as they are
+                for i in live:
+                    weights[i] = left[i]
+            every = sum(weights[i] for i in live)
+            first = min((i for i in live if weights[i]), key=lambda i: (Fraction(left[i], weights[i]), i))
+            end = at + left[first] * every // weights[first]
+            if (full := end - end % window) > at:
+                phase({i: weights[i] for i in live if weights[i]}, full - at)
+            if left[first]:
+                phase({first: 1}, left[first])
+            live.remove(first)
+        # tokens of each queue before each phase, to look places up
+        self.before = [[b[i + 1] - b[i] for b in self.base] for i in range(len(totals))]
+
+    def first_queues(self, i: int, place: int) -> int:
+        """Tokens of the first i queues before ``place``."""
+        p = bisect_right(self.starts, place) - 1
+        prefix = self.prefix[p]
+        return self.base[p][i] + (place - self.starts[p]) * prefix[i] // prefix[-1]
+
+    def of_queue(self, i: int, place: int) -> int:
+        return self.first_queues(i + 1, place) - self.first_queues(i, place)
+
+    def pieces(self, queue: int, begin: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, window, offset) of the parts of a document that begins at
+        ``begin`` in its queue."""
+        p = bisect_right(self.before[queue], begin) - 1
+        weight = self.prefix[p][queue + 1] - self.prefix[p][queue]
+        w = (self.starts[p] + (begin - self.before[queue][p]) * self.prefix[p][-1] // max(1, weight)) // self.window
+        w = min(w, (self.total - 1) // self.window)
+        while w > 0 and self.of_queue(queue, w * self.window) > begin:
+            w -= 1
+        at, end = begin, begin + size
+        low, low_first = self.of_queue(queue, w * self.window), self.first_queues(queue, w * self.window)
+        while at < end:
+            place = min((w + 1) * self.window, self.total)
+            high, high_first = self.of_queue(queue, place), self.first_queues(queue, place)
+            if high > at:
+                n = min(high, end) - at
+                yield at - begin, n, w, high_first - low_first + at - low
+                at += n
+            low, low_first, w = high, high_first, w + 1
+
+
+def queued(tokens: DataFrame, window: int = WINDOW, shares: DataFrame | None = None, rows_each: int = 20_000) -> tuple[DataFrame, dict[tuple, int], Rounds]:
+    """Of ``tokens(row, doc_id, source, n_tokens)``: (row, kind, name, before), the queue of
+    each document and the tokens before it there; the queues' numbers; the rounds.
+
+    ``shares(source, share)``: target shares of a window; a source without one comes after
+    all that have one.
+    """
+    whole = tokens.groupBy("source").agg(F.sum("n_tokens").alias("total"))
     if shares is None:
-        every = queue.agg(F.sum("n_tokens").alias("all"))
-        plan = whole.crossJoin(F.broadcast(every)).select("source", (F.col("total") / F.col("all")).alias("share"))  # one row
+        every = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+        plan = whole.withColumn("share", F.col("total") / F.lit(float(max(1, every))))
     else:
-        plan = whole.alias("w").join(shares.alias("s"), F.expr("w.source <=> s.source"), "left").select("w.source", F.coalesce("s.share", F.lit(0.0)).alias("share"))
-    quantum = F.col("share") * F.lit(float(window))
-    turn = F.when(quantum > 0, F.floor(F.col("before") / quantum)).otherwise(F.lit((1 << 62) - 1)).cast("long")
-    served = started.alias("q").join(materialize(plan, "shares").alias("p"), F.expr("q.source <=> p.source")).select("q.row", "q.source", "q.before", "n_tokens", turn.alias("turn"))
-    # rounds are cut into ranges of about equal rows; the range's number is its place in order
-    parts = max(int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
-    ranged = served.repartitionByRange(parts, "turn", F.col("source").asc_nulls_last(), "before", "row").withColumn("range", F.spark_partition_id())
-    ranged = materialize(ranged.withColumn("line", F.lit(0)), "ranges")
-    order = [F.col("turn"), F.col("source").asc_nulls_last(), F.col("before"), F.col("row")]
-    return running_start(ranged, ["line"], F.col("range"), order, "n_tokens", "place").select("row", "n_tokens", "place")
+        plan = whole.alias("w").join(shares.alias("s"), F.expr("w.source <=> s.source"), "left").select("w.source", "total", F.coalesce("s.share", F.lit(0.0)).alias("share"))
+    kind = F.when(F.col("share") * window >= POOL, 0).when(F.col("share") > 0, 1).otherwise(2)
+    plan = materialize(plan.withColumn("kind", kind).withColumn("name", F.when(F.col("kind") == 0, F.col("source"))), "shares")
+    # at most window / POOL + 2 rows
+    rows = plan.groupBy("kind", "name").agg(F.sum("total").alias("total"), F.sum("share").alias("share")).orderBy("kind", F.col("name").asc_nulls_last()).collect()
+    index = {(r.kind, r.name): i for i, r in enumerate(rows)}
+    totals = [r.total for r in rows]
+    rounds = Rounds(totals, totals if shares is None else [round(r.share * (1 << 40)) for r in rows], window)
+    named = tokens.alias("t").join(plan.alias("p"), F.expr("t.source <=> p.source")).select("t.row", "t.doc_id", "t.n_tokens", "p.kind", "p.name")
+    # a queue is in the order of a hash, so that its parts are alike and none is large
+    named = named.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens"))
+    buckets = max(64, -(-tokens.count() // rows_each))
+    order = [F.col("mixed"), F.col("doc_id"), F.col("n_tokens"), F.col("row")]
+    started = running_start(named, ["kind", "name"], F.pmod(F.shiftrightunsigned("mixed", 40), F.lit(buckets)), order, "n_tokens", "before")
+    return started.select("row", "kind", "name", "before"), index, rounds
 
 
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shares: DataFrame | None = None, end_id: int = END_ID) -> DataFrame:
@@ -208,8 +286,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shares:
     ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path()
     tokens = materialize(tokenize(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    placed = materialize(places(tokens.select("row", "doc_id", "source", "n_tokens"), window, shares), "places")
-    joined = tokens.join(placed.select("row", "place"), "row").select("doc_id", "source", "n_tokens", "wide", "ids", "place")
+    started, index, rounds = queued(tokens.select("row", "doc_id", "source", "n_tokens"), window, shares)
+    joined = tokens.join(materialize(started, "queues"), "row").select("doc_id", "source", "n_tokens", "wide", "ids", "kind", "name", "before")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -217,16 +295,12 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shares:
         for b in batches:
             out: list[list] = [[] for _ in names]
             size = 0
-            for doc_id, source, n, wide, blob, place in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for doc_id, source, n, wide, blob, kind, name, before in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 ids = np.frombuffer(blob, "<u4" if wide else "<u2").astype("<u4")
-                at = 0
-                while at < n:
-                    offset = (place + at) % window
-                    length = min(n - at, window - offset)
-                    raw = ids[at : at + length].tobytes()
-                    for col, v in zip(out, (doc_id, source, at, length, raw, zlib.crc32(raw), n, (place + at) // window, offset), strict=True):
+                for start, length, sequence, offset in rounds.pieces(index[kind, name], before, n):
+                    raw = ids[start : start + length].tobytes()
+                    for col, v in zip(out, (doc_id, source, start, length, raw, zlib.crc32(raw), n, sequence, offset), strict=True):
                         col.append(v)
-                    at += length
                     size += len(raw)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)

@@ -47,17 +47,80 @@ def test_pieces_hold_every_id_once_and_leave_little_padding(spark):
     assert back == want
 
 
-def test_windows_follow_the_target_shares(spark):
-    rows = [(i, "word " * (5 + i % 11), "en", "ab"[i % 2] if i % 5 else "c", 1) for i in range(4000)]
-    shares = spark.createDataFrame([("a", 0.6), ("b", 0.3), ("c", 0.1)], "source string, share double")
-    got = packing.pack(spark.createDataFrame(rows, DOCS), shares=shares).collect()
+def _mix(got):
     total = defaultdict(lambda: defaultdict(int))
     for r in got:
         total[r.sequence_id][r.source] += r.length
-    for k in range(4):
-        assert abs(total[k]["a"] / 2048 - 0.6) < 0.05 and abs(total[k]["c"] / 2048 - 0.1) < 0.05
-    # a source that ran dry leaves its place to the others
-    assert sum(sum(x.values()) for x in total.values()) == sum(5 + r[0] % 11 + 1 for r in rows)
+    return total
+
+
+def test_windows_follow_the_target_shares(spark):
+    # texts of 5 words to many windows; c runs dry first, then a
+    rows = [(i, "word " * (5 + i % 11 if i % 50 else 9000), "en", "ab"[i % 2] if i % 5 else "c", 1) for i in range(1500)]
+    shares = {"a": 0.55, "b": 0.3, "c": 0.15}
+    got = packing.pack(spark.createDataFrame(rows, DOCS), shares=spark.createDataFrame(list(shares.items()), "source string, share double")).collect()
+    total, left = _mix(got), defaultdict(int)
+    for _, text, _, source, _ in rows:
+        left[source] += text.count("word") + 1
+    exact = phases = 0
+    for k in range(len(total) - 1):
+        live = {s: p for s, p in shares.items() if left[s] > 0}
+        want = {s: 2048 * p / sum(live.values()) for s, p in live.items()}
+        assert sum(total[k].values()) == 2048
+        if all(left[s] >= 2 * w + 2 for s, w in want.items()):
+            assert all(abs(total[k][s] - w) < 2 for s, w in want.items()), (k, dict(total[k]), want)
+            exact += 1
+        else:
+            phases += 1
+        for s, n in total[k].items():
+            left[s] -= n
+    assert exact > 50 and phases <= 8
+
+
+def test_every_window_of_whole_tables_has_each_sources_share(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    total, whole = _mix(got), defaultdict(int)
+    for r in got:
+        whole[r.source] += r.length
+    every = sum(whole.values())
+    had = defaultdict(int)
+    for k in range(len(total) - 1):
+        for s, n in whole.items():
+            had[s] += total[k][s]
+            # what is owed is less than a token at all times, so a window is off by less than two
+            assert abs(had[s] - 2048 * (k + 1) * n / every) < 1 and abs(total[k][s] - 2048 * n / every) < 2
+
+
+def test_many_small_sources_share_a_queue_and_no_share_comes_last(spark):
+    rows = [(i, "some words of a text " * (1 + i % 9), "en", f"s{i % 900}" if i % 3 else "big", 1) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(packing.queued(spark.createDataFrame([(i, i, r[3], 10) for i, r in enumerate(rows)], "row long, doc_id long, source string, n_tokens long"))[1]) == 2
+    total = _mix(got)
+    assert all(sum(x.values()) == 2048 for k, x in total.items() if k < len(total) - 1)
+    late = packing.pack(spark.createDataFrame(rows, DOCS), shares=spark.createDataFrame([("s1", 1.0)], "source string, share double")).collect()
+    assert min(r.sequence_id for r in late if r.source == "big") >= max(r.sequence_id for r in late if r.source == "s1")
+
+
+def test_rounds_give_every_token_once():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        k, window = rng.randrange(1, 6), rng.choice([4, 16, 64])
+        totals = [rng.choice([0, 1, 2, rng.randrange(1, 500)]) for _ in range(k)]
+        rounds = packing.Rounds(totals, [rng.choice([0, 1, 5, rng.randrange(1, 99)]) for _ in range(k)], window)
+        seen = set()
+        for q, t in enumerate(totals):
+            at = 0
+            while at < t:
+                n, done = min(t - at, rng.randrange(1, 90)), 0
+                for start, length, w, offset in rounds.pieces(q, at, n):
+                    assert start == done and length > 0 and offset + length <= window
+                    done += length
+                    seen |= {w * window + offset + i for i in range(length)}
+                assert done == n
+                at += n
+        assert seen == set(range(sum(totals)))
 
 
 def test_encoder_gives_the_tokenizers_ids():
