@@ -183,7 +183,8 @@ class Rounds:
     the tokens of the first i queues in its first y places are floor(y * weights of the
     first i / all weights), so windows are full and a queue is never off by a token. A phase
     ends at the last window's end before a queue would run dry; then comes the rest of that
-    queue, a phase of its own, which is less than its quantum and two tokens.
+    queue, a phase of its own, which is less than its quantum and two tokens. Weights must
+    give a queue a token of each window at least, or be 0: such queues come last.
     """
 
     def __init__(self, totals: list[int], weights: list[int], window: int) -> None:
@@ -208,9 +209,10 @@ class Rounds:
             at += size
 
         while live:
-            if not any(weights[i] for i in live):  # no share asked for any: as they are
-                for i in live:
-                    weights[i] = left[i]
+            if not any(weights[i] for i in live):  # no share asked for any: one after another
+                phase({live[0]: 1}, left[live[0]])
+                live.pop(0)
+                continue
             every = sum(weights[i] for i in live)
             first = min((i for i in live if weights[i]), key=lambda i: (Fraction(left[i], weights[i]), i))
             end = at + left[first] * every // weights[first]
@@ -271,7 +273,9 @@ def queued(tokens: DataFrame, window: int = WINDOW, shares: DataFrame | None = N
     rows = plan.groupBy("kind", "name").agg(F.sum("total").alias("total"), F.sum("share").alias("share")).orderBy("kind", F.col("name").asc_nulls_last()).collect()
     index = {(r.kind, r.name): i for i, r in enumerate(rows)}
     totals = [r.total for r in rows]
-    rounds = Rounds(totals, totals if shares is None else [round(r.share * (1 << 40)) for r in rows], window)
+    weights = totals if shares is None else [round(r.share * (1 << 40)) for r in rows]
+    # a pool of less than a token a window comes last
+    rounds = Rounds(totals, [w if r.share * window >= 1 else 0 for w, r in zip(weights, rows, strict=True)], window)
     named = tokens.alias("t").join(plan.alias("p"), F.expr("t.source <=> p.source")).select("t.row", "t.doc_id", "t.n_tokens", "p.kind", "p.name")
     # a queue is in the order of a hash, so that its parts are alike and none is large
     named = named.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens"))
