@@ -26,7 +26,7 @@ from .common import materialize
 from .linear import Piece, fit_logistic, fit_platt, pieces, rate_scores, sigmoid, sparse_rates
 
 BITS = 16
-SAMPLE = 1600
+SAMPLE = 2500
 #: P(good) from which a text is kept.
 KEEP_AT = 0.4
 MIN_WORDS = 10
@@ -86,7 +86,7 @@ def base_counts(piece: Piece, texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> QualityModel:
-    """Fit on at most ``sample`` labelled rows; their sparse features reach the driver."""
+    """Fit on at most ``sample`` labelled rows, in one task."""
     taught = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").cast("double").alias("good"))
     taught = materialize(taught.orderBy(F.xxhash64("__id"), "__id").limit(sample), "labels")
     # at most ``sample`` rows of two numbers go to every task; of rows with one id, one
@@ -103,9 +103,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
                     ["doc_id", "good", "cols", "vals"],
                 )
 
-    got = picked.mapInArrow(run, "doc_id long, good double, cols binary, vals binary").toPandas().sort_values("doc_id", kind="stable")
-    y = got["good"].to_numpy(np.float64)
-    rows = [(np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")) for c, v in zip(got["cols"], got["vals"], strict=True)]
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("good", pa.float64()), ("cols", pa.binary()), ("vals", pa.binary())])).sort_by("doc_id")
+        m = _fitted(got, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), *[pa.array([x], pa.float64()) for x in (m.bias, m.slope, m.shift)]], ["weights", "bias", "slope", "shift"])
+
+    # at most ``sample`` rows meet in one task, so that the driver sees the weights alone
+    got = picked.mapInArrow(run, "doc_id long, good double, cols binary, vals binary").repartition(1).mapInArrow(fit, "weights binary, bias double, slope double, shift double").first()
+    return QualityModel(np.frombuffer(got.weights, np.float64), got.bias, got.slope, got.shift, bits)
+
+
+def _fitted(got: pa.Table, bits: int) -> QualityModel:
+    y = got["good"].to_numpy()
+    rows = [(np.frombuffer(c.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")) for c, v in zip(got["cols"], got["vals"], strict=True)]
     if len(np.unique(y)) < 2:
         return QualityModel(np.zeros(1 << bits), 0.0, 0.0, 40.0, bits)
     third = np.arange(len(y)) % 3 == 2
@@ -127,17 +137,15 @@ def assess(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT) -> Da
             good = shared.value.probability(piece)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), *[pa.array(base[f]) for f in fields], pa.array(failed), pa.array(good), pa.array(~failed & (good >= keep_at))],
-                ["__key", *fields, "base_failed", "p_good", "kept"],
+                ["doc_id", *fields, "base_failed", "p_good", "kept"],
             )
 
-    kind = dict(docs.dtypes).get("__key", "bigint")
-    key = F.col("__key") if "__key" in docs.columns else F.col("doc_id").cast("long").alias("__key")
-    schema = f"__key {kind}, {', '.join(f'{f} long' for f in fields)}, base_failed boolean, p_good double, kept boolean"
-    return docs.select(key, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = f"doc_id long, {', '.join(f'{f} long' for f in fields)}, base_failed boolean, p_good double, kept boolean"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    return assess(docs, train(docs, labels, sample)).withColumnRenamed("__key", "doc_id")
+    return assess(docs, train(docs, labels, sample))
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

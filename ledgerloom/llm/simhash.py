@@ -526,8 +526,10 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     Of rows that share a doc_id one stays. Rows without a doc_id are no duplicates of
     anything and stay. All columns stay.
     """
-    groups = materialize(connected_components(near_copy_links(docs, words)).where("node <> root").select(F.col("node").alias("__gone")), "copies")
-    kept = docs.where("doc_id is not null").join(groups, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    kept = kept.withColumn("__first", first).where("__first = 1").drop("__first")
-    return kept.unionByName(docs.where("doc_id is null"))
+    groups = materialize(connected_components(near_copy_links(docs, words)).where("node <> root").select("node"), "copies").alias("g")
+    # the row travels as one struct
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    kept = rows.where("doc.doc_id is not null").join(groups, F.col("doc.doc_id").cast("long") == F.col("g.node"), "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc.doc_id").orderBy(F.xxhash64(F.coalesce("doc.text", F.lit("")))))
+    kept = kept.withColumn("turn", first).where("turn = 1").select("doc").unionByName(rows.where("doc.doc_id is null"))
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
