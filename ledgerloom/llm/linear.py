@@ -115,14 +115,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, l2: float = 0.0, l1: float = 0.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated proximal gradient on the mean log loss; ``y`` may be
     probabilities. Deterministic."""
-    lens = np.array([len(c) for c, _ in rows], np.int64)
-    col = np.concatenate([c for c, _ in rows]) if len(rows) else np.zeros(0, np.int64)
-    val = np.concatenate([v for _, v in rows]) if len(rows) else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), lens)
-    n = max(1, len(rows))
-    there = np.bincount(col, minlength=size) > 0
+    n, blocks = max(1, len(rows)), _row_blocks(rows)
+    there = np.zeros(size, bool)
+    for _, _, col, _ in blocks:
+        there[col] = True
     used = np.flatnonzero(there)
-    col, row = (np.cumsum(there, dtype=np.int32) - 1)[col], row.astype(np.int32)
+    place = np.cumsum(there, dtype=np.int32) - 1
+    blocks = [(first, row, place[col], val) for first, row, col, val in blocks]
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for first, row, col, val in blocks:
+            got = np.bincount(row, val * w[col])
+            out[first : first + len(got)] = got
+        return out
+
+    def sums(off: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(used))
+        for first, row, col, val in blocks:
+            out += np.bincount(col, val * off[first + row], minlength=len(used))
+        return out
+
     w, b = np.zeros(len(used)), 0.0
     if 0 < (m := float(np.mean(y)) if len(rows) else 0.5) < 1:
         b = np.log(m / (1 - m))
@@ -130,15 +143,13 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size:
     # the curvature is at most a quarter of the largest eigenvalue of X'X/n, by power steps
     probe, top = np.ones(len(used)), 1.0
     for _ in range(15):
-        z = np.bincount(row, val * probe[col], minlength=len(rows))
-        probe = np.bincount(col, val * z[row], minlength=len(used)) / n
+        probe = sums(scores(probe)) / n
         top = float(np.linalg.norm(probe)) or 1.0
         probe /= top
     rate = 1 / (0.25 * (top + 1) * 1.1 + l2)
     for _ in range(steps):
-        p = sigmoid(np.bincount(row, val * vw[col], minlength=len(rows)) + vb)
-        off = (p - y) / n
-        nw = vw - rate * (np.bincount(col, val * off[row], minlength=len(used)) + l2 * vw)
+        off = (sigmoid(scores(vw) + vb) - y) / n
+        nw = vw - rate * (sums(off) + l2 * vw)
         nw = np.sign(nw) * np.maximum(0, np.abs(nw) - rate * l1)
         nb = vb - rate * off.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -149,6 +160,20 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size:
     return full, float(b)
 
 
+def _row_blocks(rows: list[tuple[np.ndarray, np.ndarray]], limit: int = 1 << 18) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows from it on, features, values) of blocks of about ``limit`` entries,
+    so that no step needs more than a block beside the sample."""
+    out, held, size, first = [], [], 0, 0
+    for i, (c, _) in enumerate(rows):
+        held.append(i)
+        size += len(c)
+        if size >= limit or i == len(rows) - 1:
+            row = np.repeat(np.arange(len(held), dtype=np.int32), [len(rows[k][0]) for k in held])
+            out.append((first, row, np.concatenate([rows[k][0] for k in held]).astype(np.int32), np.concatenate([rows[k][1] for k in held]).astype(np.float32)))
+            held, size, first = [], 0, i + 1
+    return out
+
+
 def fit_platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """a, b with P(y=1) = sigmoid(a * score + b), by Newton on smoothed labels; a >= 0."""
     if len(score) == 0 or len(np.unique(y)) < 2:

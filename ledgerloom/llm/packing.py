@@ -37,7 +37,7 @@ from .common import materialize, running_start
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Tokens of a window below which a source has no queue of its own; so there are at most
 #: WINDOW / POOL + 2 queues, however many sources.
 POOL = 8
