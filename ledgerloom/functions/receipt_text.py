@@ -17,7 +17,7 @@ UNITS = ("stück", "stk", "st", "kg", "pcs", "pc")
 CASH = ("bar", "barzahlung", "bargeld", "gegeben", "bargegeben", "cash", "espèces", "especes", "efectivo", "contanti")
 CARD = ("karte", "kartenzahlung", "ec", "eckarte", "eccash", "girocard", "kreditkarte", "debitkarte", "visa", "mastercard", "maestro", "vpay", "amex", "card", "credit", "debit", "carte", "tarjeta", "carta")
 DEPOSIT = ("pfand", "deposit", "cauzione")
-RETURNED = ("leergut", "pfandrück", "pfandruck", "pfandbon", "pfandgutschrift", "gutschein", "gutschrift", "coupon", "rabatt", "discount", "クーポン", "割引", "値引")
+RETURNED = ("leergut", "pfandrück", "pfandruck", "pfandbon", "pfandgutschrift", "gutschein", "gutschrift", "coupon", "voucher", "rabatt", "nachlass", "preisvorteil", "discount", "クーポン", "割引", "値引")
 UNTIL = ("bis", "gültig", "mhd", "valid", "until", "expires")
 TILL_WORDS = {
     "de": ("summe", "zwischensumme", "gesamt", "mwst", "ust", "pfand", "leergut", "stk", "rückgeld", "gegeben", "zahlen", "betrag", "netto", "brutto", "kartenzahlung", "danke", "einkauf", "rabatt", "steuer", "bar", "zurück", "endbetrag", "stück"),
@@ -38,19 +38,31 @@ def price(token: Column, exponent: int) -> Column:
     no leading zeros; at most 15 digits, 7 in an ungrouped whole amount. With decimals a
     tax class of one or two capitals, or a star, may be glued on.
     """
-    t = F.regexp_replace(F.trim(token), r"^[*※](?=[0-9¥￥])", "")
-    if exponent:
-        t = F.when(t.rlike(r"[0-9-]\*?[A-Z]{0,2}$"), F.regexp_replace(t, r"(?<=[0-9-])\*?[A-Z]{0,2}$", "")).otherwise(t)
     outer = rf"^{SYMBOLS}*([-−]?){SYMBOLS}*([0-9][0-9.,]*[0-9]|[0-9]){SYMBOLS}*-?{SYMBOLS}*$"
-    body = F.regexp_extract(t, outer, 2)
     decimals = f"[.,][0-9]{{{exponent}}}"
-    shapes = [rf"^[0-9]+{decimals}$", rf"^[0-9]{{1,3}}(\.[0-9]{{3}})+,[0-9]{{{exponent}}}$", rf"^[0-9]{{1,3}}(,[0-9]{{3}})+\.[0-9]{{{exponent}}}$"] if exponent else [rf"^[0-9]{{1,{MAX_PLAIN_YEN}}}$", r"^[0-9]{1,3}(\.[0-9]{3})+$", r"^[0-9]{1,3}(,[0-9]{3})+$"]
-    fits = reduce(lambda a, b: a | b, [body.rlike(s) for s in shapes])
-    digits = F.regexp_replace(body, "[.,]", "")
-    whole = F.length(digits) - exponent
-    good = fits & (F.length(digits) <= MAX_DIGITS) & ~((whole > 1) & digits.startswith("0"))
-    minor = F.when(good, digits).cast("bigint")
-    return F.when(F.regexp_extract(t, outer, 1) != "", -minor).otherwise(minor)
+    shapes = [rf"[0-9]+{decimals}", rf"[0-9]{{1,3}}(?:\.[0-9]{{3}})+,[0-9]{{{exponent}}}", rf"[0-9]{{1,3}}(?:,[0-9]{{3}})+\.[0-9]{{{exponent}}}"] if exponent else [rf"[0-9]{{1,{MAX_PLAIN_YEN}}}", r"[0-9]{1,3}(?:\.[0-9]{3})+", r"[0-9]{1,3}(?:,[0-9]{3})+"]
+    fits = f"^(?:{'|'.join(shapes)})$"
+
+    def unglued(t: Column) -> Column:
+        return F.when(t.rlike(r"[0-9-]\*?[A-Z]{0,2}$"), F.regexp_replace(t, r"(?<=[0-9-])\*?[A-Z]{0,2}$", "")).otherwise(t)
+
+    def minor(body: Column) -> Column:
+        def of(digits: Column) -> Column:
+            good = body.rlike(fits) & (F.length(digits) <= MAX_DIGITS) & ~((F.length(digits) > exponent + 1) & digits.startswith("0"))
+            return F.when(good, digits.try_cast("bigint"))
+
+        return bound(F.regexp_replace(body, "[.,]", ""), of)
+
+    def signed(t: Column) -> Column:
+        return bound(minor(F.regexp_extract(t, outer, 2)), lambda m: F.when(F.regexp_extract(t, outer, 1) != "", -m).otherwise(m))
+
+    bare = F.regexp_replace(F.trim(token), r"^[*※](?=[0-9¥￥])", "")
+    return bound(bound(bare, unglued) if exponent else bare, signed)
+
+
+def bound(x: Column, f) -> Column:
+    """``f`` of ``x``, worked out once however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def quantity(token: Column) -> Column:
@@ -108,9 +120,11 @@ def purchase_date(text: Column, japanese: Column, month_first: Column) -> Column
 
 
 def purchase_time(text: Column) -> Column:
-    """The first HH:MM of a row that is no end of a range; 17時28分; none in opening hours."""
+    """The first HH:MM of a row that is no end of a range; 17時28分; none in opening hours.
+
+    The digits before the colon are an hour of one or two, or two after a year of two or four."""
     kanji = r"([0-9]{1,2})時\s*([0-9]{1,2})\s*分"
-    clock = r"(?<![0-9])(?<![-~〜～–]\s{0,3})(?:[0-9]{4}|[0-9]{2})?([0-9]{1,2})[:：]([0-9]{2})(?![0-9])(?::[0-9]{2}(?![0-9]))?(?!\s*[-~〜～–])"
+    clock = r"(?<![0-9])(?<![-~〜～–]\s{0,3})(?:(?:[0-9]{4}|[0-9]{2})(?=[0-9]{2}[:：]))?([0-9]{1,2})[:：]([0-9]{2})(?![0-9])(?::[0-9]{2}(?![0-9]))?(?!\s*[-~〜～–])"
     def build(pattern: str):
         def f(m: Column) -> Column:
             h, n = F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)
@@ -187,14 +201,3 @@ def total_check(items: DataFrame, header: DataFrame) -> DataFrame:
     s = items.groupBy("receipt_id").agg(F.sum("total_minor").alias("items"))
     off = F.col("total") - F.coalesce("items", F.lit(0))
     return header.join(s, "receipt_id", "left").select("receipt_id", F.when(F.col("total").isNull(), "no_total").when(off == 0, "matches").otherwise("differs").alias("check"), F.when(F.col("total").isNotNull(), off).alias("off"))
-
-
-def attach(items: DataFrame) -> DataFrame:
-    """Add ``attached``: a deposit or discount directly below, or two rows below, the line
-    that it belongs to, in an unbroken run."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("receipt_id").orderBy("row_no")
-    extra = F.col("kind").isin("deposit", "discount")
-    article = F.last(F.when(~extra, F.col("row_no")), ignorenulls=True).over(w)
-    return items.withColumn("attached", extra & F.coalesce(F.col("row_no") - F.lag("row_no").over(w) <= 2, F.lit(False)) & article.isNotNull())

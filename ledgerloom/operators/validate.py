@@ -60,7 +60,7 @@ def valid_period(start: Column, end: Column) -> Column:
 
 
 def settlements(settlement: DataFrame, group: DataFrame) -> DataFrame:
-    df = settlement.join(F.broadcast(group.select("group_id", "base_currency")), "group_id")
+    df = settlement.join(group.select("group_id", "base_currency"), "group_id")
     rules = [("same_person", F.col("from_person") == F.col("to_person")), ("amount", F.col("amount_minor") <= 0), ("time", ~valid_occurred_at(F.col("occurred_at"))), ("currency", F.col("currency") != F.col("base_currency"))]
     return df.select("settlement_id", first_broken(rules).alias("rule"))
 

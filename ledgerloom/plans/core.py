@@ -161,7 +161,7 @@ def fx6(v: Views) -> DataFrame:
 
 @query("FX7_charge_currency", "SELECT p.expense_id, p.person_id, coalesce(m.fixed_currency, 'EUR') AS charge_currency FROM expense_payment p LEFT JOIN method m ON m.method_id = p.payment_method_id", "expense_payment method")
 def fx7(v: Views) -> DataFrame:
-    m = F.broadcast(v.method.select(F.col("method_id").alias("payment_method_id"), "fixed_currency"))
+    m = v.method.select(F.col("method_id").alias("payment_method_id"), "fixed_currency")
     return v.expense_payment.join(m, "payment_method_id", "left").select("expense_id", "person_id", F.coalesce("fixed_currency", F.lit("EUR")).alias("charge_currency"))
 
 
@@ -471,7 +471,7 @@ def bal8(v: Views) -> DataFrame:
 
 @query("BAL9_person_totals", "SELECT person_id, g.base_currency, sum(balance)::BIGINT AS balance, count(*) AS groups FROM balance JOIN grp g USING (group_id) GROUP BY 1, 2", ALL_VIEWS, BALANCE)
 def bal9(v: Views) -> DataFrame:
-    return group_balances(v).join(F.broadcast(v.grp), "group_id").groupBy("person_id", "base_currency").agg(F.sum("balance").alias("balance"), F.count("*").alias("groups"))
+    return group_balances(v).join(v.grp, "group_id").groupBy("person_id", "base_currency").agg(F.sum("balance").alias("balance"), F.count("*").alias("groups"))
 
 
 @query("BAL10_group_list", "SELECT m.group_id, count(*) AS members, string_agg(m.person_id, ',' ORDER BY m.person_id) AS people, sum(CASE WHEN m.idx = 0 THEN coalesce(b.balance, 0) END)::BIGINT AS own_balance FROM member m LEFT JOIN balance b USING (group_id, person_id) GROUP BY 1", ALL_VIEWS, BALANCE)

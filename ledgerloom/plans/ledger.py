@@ -222,7 +222,7 @@ def win6(v: Views) -> DataFrame:
 
 @query("CASH1_ledger", "SELECT person_id, currency, kind, count(*) AS n, sum(amount_minor)::BIGINT AS total FROM (SELECT person_id, currency, kind, amount_minor FROM cash_movement UNION ALL SELECT person_id, currency, 'payment', -amount_minor FROM expense_payment JOIN expense USING (expense_id) WHERE payment_method_id = 'm2') GROUP BY 1, 2, 3", "cash_movement expense expense_payment")
 def cash1(v: Views) -> DataFrame:
-    by_cash = v.expense_payment.join(F.broadcast(v.method.where("kind = 'cash'").select(F.col("method_id").alias("payment_method_id"))), "payment_method_id", "left_semi")
+    by_cash = v.expense_payment.join(v.method.where("kind = 'cash'").select(F.col("method_id").alias("payment_method_id")), "payment_method_id", "left_semi")
     paid = by_cash.join(v.expense.select("expense_id", "currency", tl.instant(F.col("occurred_at")).alias("occurred_ts")), "expense_id").withColumn("id", F.col("expense_id"))
     return cash.ledger(v.cash_movement, paid).groupBy("person_id", "currency", "kind").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("total"))
 
@@ -264,13 +264,13 @@ def jn1(v: Views) -> DataFrame:
 
 @query("JN2_naming", "SELECT x.expense_id, x.person_id, m.name AS method FROM expense_payment x LEFT JOIN method m ON m.method_id = x.payment_method_id", "expense_payment method")
 def jn2(v: Views) -> DataFrame:
-    return v.expense_payment.join(F.broadcast(v.method.select(F.col("method_id").alias("payment_method_id"), F.col("name").alias("method"))), "payment_method_id", "left").select("expense_id", "person_id", "method")
+    return v.expense_payment.join(v.method.select(F.col("method_id").alias("payment_method_id"), F.col("name").alias("method")), "payment_method_id", "left").select("expense_id", "person_id", "method")
 
 
 @query("JN3_live_parent", "SELECT e.expense_id FROM expense e LEFT JOIN grp g ON g.group_id = CASE WHEN e.expense_id % 13 = 0 THEN NULL ELSE e.group_id END WHERE e.expense_id % 13 = 0 OR NOT g.archived", "expense grp")
 def jn3(v: Views) -> DataFrame:
     e = v.expense.select("expense_id", F.when(F.col("expense_id") % 13 != 0, F.col("group_id")).alias("group_id"))
-    return e.join(F.broadcast(v.grp.select("group_id", "archived")), "group_id", "left").where("group_id IS NULL OR NOT archived").select("expense_id")
+    return e.join(v.grp.select("group_id", "archived"), "group_id", "left").where("group_id IS NULL OR NOT archived").select("expense_id")
 
 
 @query("JN4_semi", "SELECT m.group_id, m.person_id FROM member m WHERE EXISTS (SELECT 1 FROM person p WHERE p.person_id = m.person_id AND NOT p.deleted)", "member person")
@@ -289,9 +289,9 @@ def jn6(v: Views) -> DataFrame:
     return v.line_item.join(v.expense.where("placed = 'F'"), "expense_id", "left_semi").select("expense_id", "position")
 
 
-@query("JN9_anti", "SELECT m.group_id, m.person_id FROM member m WHERE NOT EXISTS (SELECT 1 FROM expense e WHERE e.payer = m.person_id)", "member expense")
+@query("JN9_anti", "SELECT m.group_id, m.person_id FROM member m WHERE NOT EXISTS (SELECT 1 FROM expense e WHERE e.payer = m.person_id AND e.currency = 'KWD')", "member expense")
 def jn9(v: Views) -> DataFrame:
-    return v.member.join(v.expense.select(F.col("payer").alias("person_id")), "person_id", "left_anti").select("group_id", "person_id")
+    return v.member.join(v.expense.where("currency = 'KWD'").select(F.col("payer").alias("person_id")), "person_id", "left_anti").select("group_id", "person_id")
 
 
 @query("JN10_full_outer", "SELECT coalesce(a.person_id, b.person_id) AS person_id, a.n AS paid_n, b.n AS cash_n FROM (SELECT payer AS person_id, count(*) AS n FROM expense GROUP BY 1) a FULL JOIN (SELECT person_id, count(*) AS n FROM cash_movement GROUP BY 1) b ON a.person_id = b.person_id", "expense cash_movement")
@@ -310,7 +310,7 @@ LAST = "last AS (SELECT person_id, arg_max(payment_method_id, expense_id) AS met
 
 
 def _last_method(v: Views) -> DataFrame:
-    live = v.expense_payment.join(F.broadcast(v.method.where("NOT archived").select(F.col("method_id").alias("payment_method_id"))), "payment_method_id", "left_semi")
+    live = v.expense_payment.join(v.method.where("NOT archived").select(F.col("method_id").alias("payment_method_id")), "payment_method_id", "left_semi")
     return live.groupBy("person_id").agg(F.max_by("payment_method_id", "expense_id").alias("method"))
 
 
@@ -393,9 +393,10 @@ def set2(v: Views) -> DataFrame:
     return _items(v).groupBy("item_type").agg(F.count("*").alias("n"), F.sum("total_minor").alias("total"))
 
 
-@query("SET3_difference", "SELECT DISTINCT p_name AS source_text FROM part EXCEPT SELECT source_text FROM translation WHERE from_user", "translation")
+@query("SET3_difference", "SELECT DISTINCT p_name || ' ' || p_partkey % 40 AS source_text FROM part EXCEPT SELECT source_text || ' ' || updated_at % 40 FROM translation WHERE from_user", "translation")
 def set3(v: Views) -> DataFrame:
-    return v.table("part").select(F.col("p_name").alias("source_text")).distinct().join(v.translation.where("from_user").select("source_text").distinct(), "source_text", "left_anti")
+    name = lambda text, number: F.concat(text, F.lit(" "), (F.col(number) % 40).cast("string")).alias("source_text")
+    return v.table("part").select(name("p_name", "p_partkey")).distinct().join(v.translation.where("from_user").select(name("source_text", "updated_at")).distinct(), "source_text", "left_anti")
 
 
 @query("SET4_overlap", "SELECT item_type, item_id FROM items WHERE NOT list_has_any(people, ['00000001', '00000002'])", TLV, ITEMS)
@@ -417,13 +418,13 @@ def flt1(v: Views) -> DataFrame:
 
 @query("FLT2_active_methods", "SELECT x.person_id, count(*) AS n FROM expense_payment x JOIN method m ON m.method_id = x.payment_method_id WHERE NOT m.archived GROUP BY 1", "expense_payment method")
 def flt2(v: Views) -> DataFrame:
-    m = F.broadcast(v.method.where("NOT archived").select(F.col("method_id").alias("payment_method_id")))
+    m = v.method.where("NOT archived").select(F.col("method_id").alias("payment_method_id"))
     return v.expense_payment.join(m, "payment_method_id", "left_semi").groupBy("person_id").agg(F.count("*").alias("n"))
 
 
 @query("FLT3_unarchived", "SELECT e.expense_id FROM expense e JOIN grp g USING (group_id) WHERE NOT g.archived", "expense grp")
 def flt3(v: Views) -> DataFrame:
-    return v.expense.join(F.broadcast(v.grp.where("NOT archived")), "group_id", "left_semi").select("expense_id")
+    return v.expense.join(v.grp.where("NOT archived"), "group_id", "left_semi").select("expense_id")
 
 
 @query("FLT4_live_members", "SELECT m.group_id, m.person_id FROM member m JOIN person p USING (person_id) WHERE NOT p.deleted AND m.idx % 10 <> 9", "member person")
@@ -433,12 +434,12 @@ def flt4(v: Views) -> DataFrame:
 
 @query("FLT5_base_currency", "SELECT e.expense_id FROM expense e JOIN grp g ON g.group_id = e.group_id AND g.base_currency = e.currency", "expense grp")
 def flt5(v: Views) -> DataFrame:
-    return v.expense.join(F.broadcast(v.grp.select("group_id", F.col("base_currency").alias("currency"))), ["group_id", "currency"], "left_semi").select("expense_id")
+    return v.expense.join(v.grp.select("group_id", F.col("base_currency").alias("currency")), ["group_id", "currency"], "left_semi").select("expense_id")
 
 
-@query("FLT6_open_receipts", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT expense_id FROM expense)", "expense")
+@query("FLT6_open_receipts", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT expense_id * 2 FROM expense)", "expense")
 def flt6(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id").join(v.expense.select(F.col("expense_id").alias("doc_id")), "doc_id", "left_anti")
+    return v.table("documents").select("doc_id").join(v.expense.select((F.col("expense_id") * 2).alias("doc_id")), "doc_id", "left_anti")
 
 
 @query("FLT7_withdrawal_cards", "SELECT m.method_id, count(x.expense_id) AS n FROM method m LEFT JOIN expense_payment x ON x.payment_method_id = m.method_id WHERE NOT m.archived AND m.kind <> 'cash' GROUP BY 1", "method expense_payment")
@@ -555,9 +556,9 @@ def tm2(v: Views) -> DataFrame:
     return translation.upsert(t.where("updated_at % 2 = 0"), t.where("updated_at % 2 = 1")).select("source_lang", "source_text", "translated_text", "from_user")
 
 
-@query("TM3_missing", "SELECT DISTINCT a.source_lang, a.source_text FROM ask a WHERE a.source_lang IS NOT NULL AND a.source_text NOT IN (SELECT source_text FROM translation WHERE from_user)", "line_item translation", ASK)
+@query("TM3_missing", "SELECT DISTINCT a.source_lang, a.source_text FROM ask a WHERE a.source_lang IS NOT NULL AND a.source_text NOT IN (SELECT source_text FROM translation WHERE updated_at % 50 = 0)", "line_item translation", ASK)
 def tm3(v: Views) -> DataFrame:
-    return translation.missing(_ask(v), v.translation.where("from_user"), "en")
+    return translation.missing(_ask(v), v.translation.where("updated_at % 50 = 0"), "en")
 
 
 @query("TM4_corrections", "SELECT source_lang, source_text, CASE WHEN updated_at % 4 = 2 THEN 'better ' ELSE '' END || translated_text AS translated_text FROM translation WHERE updated_at % 4 = 2", "translation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import receipt_text as rt
@@ -82,15 +82,18 @@ def _rows(v: Views) -> DataFrame:
     return v.table("documents").select(F.col("doc_id").alias("receipt_id"), F.explode(F.split("text", "\n")).alias("text"))
 
 
-@query("RC4_price", "SELECT expense_id, total_minor AS minor FROM expense WHERE currency <> 'KWD'", "expense")
+@query("RC4_price", "SELECT expense_id, total_minor AS minor FROM expense", "expense")
 def rc4(v: Views) -> DataFrame:
     m, k = F.col("total_minor"), F.col("expense_id") % 6
-    two = amount_text(m, F.lit(2), ",")
-    grouped = F.concat(F.regexp_replace(F.regexp_extract(two, r"^\d+", 0), r"(?<=\d)(?=(\d{3})+$)", "."), F.regexp_extract(two, ",.*", 0))
-    text = F.when(k == 0, two).when(k == 1, grouped).when(k == 2, F.concat(F.lit("€"), grouped)).when(k == 3, F.concat(two, F.lit("-A"))).when(k == 4, F.concat(two, F.lit("*B"))).otherwise(F.concat(two, F.lit("EUR")))
-    whole = F.regexp_replace(m.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
-    e = v.expense.where("currency <> 'KWD'")
-    return e.select("expense_id", F.when(F.col("currency") == "JPY", rt.price(F.concat(F.lit("*¥"), whole), 0)).otherwise(rt.price(text, 2)).alias("minor"))
+    grouped = lambda t, mark: F.regexp_replace(t, r"(?<=\d)(?=(\d{3})+$)", mark)
+
+    def printed(two: Column) -> Column:
+        whole = F.concat(grouped(F.regexp_extract(two, r"^\d+", 0), "."), F.regexp_extract(two, ",.*", 0))
+        return F.when(k == 0, two).when(k == 1, whole).when(k == 2, F.concat(F.lit("€"), whole)).when(k == 3, F.concat(two, F.lit("-A"))).when(k == 4, F.concat(two, F.lit("*B"))).otherwise(F.concat(two, F.lit("EUR")))
+
+    three = F.when(k % 2 == 0, amount_text(m, F.lit(3), ",")).otherwise(F.concat(F.lit("KWD"), amount_text(m, F.lit(3), ".")))
+    by = F.when(F.col("currency") == "JPY", rt.price(F.concat(F.lit("*¥"), grouped(m.cast("string"), ",")), 0)).when(F.col("currency") == "KWD", rt.price(three, 3))
+    return v.expense.select("expense_id", by.otherwise(rt.price(rt.bound(amount_text(m, F.lit(2), ","), printed), 2)).alias("minor"))
 
 
 @query("RC5_quantity", "SELECT expense_id, position, CASE WHEN position % 3 = 2 THEN NULL ELSE quantity::DECIMAL(18,9) END AS quantity FROM line_item", "line_item")
@@ -100,9 +103,10 @@ def rc5(v: Views) -> DataFrame:
     return v.line_item.select("expense_id", "position", rt.quantity(text).alias("quantity"))
 
 
-@query("RC13_item_kind", "SELECT expense_id, position, CASE WHEN position % 6 = 5 THEN 'tax' WHEN total_minor < 0 THEN 'discount' WHEN position % 2 = 0 THEN 'deposit' ELSE 'article' END AS kind FROM line_item", "line_item")
+@query("RC13_item_kind", "SELECT expense_id, position, CASE WHEN position % 6 = 5 THEN 'tax' WHEN total_minor < 0 THEN 'discount' WHEN position % 2 = 0 AND NOT regexp_matches(lower(w), 'leergut|pfandrück|pfandruck|pfandbon|pfandgutschrift|gutschein|gutschrift|coupon|voucher|rabatt|nachlass|preisvorteil|discount') THEN 'deposit' ELSE 'article' END AS kind FROM (SELECT *, ['Voucher', 'Nachlass', 'Preisvorteil', 'Gutschein', 'Rabatt', 'Kasten', 'Flasche'][1 + expense_id % 7] AS w FROM line_item)", "line_item")
 def rc13(v: Views) -> DataFrame:
-    text = F.when(F.col("position") % 2 == 0, F.concat(F.lit("PFAND "), "text")).otherwise(F.concat(F.col("text"), F.lit(" Pfand")))
+    word = F.element_at(F.array(*[F.lit(w) for w in ("Voucher", "Nachlass", "Preisvorteil", "Gutschein", "Rabatt", "Kasten", "Flasche")]), (1 + F.col("expense_id") % 7).cast("int"))
+    text = F.when(F.col("position") % 2 == 0, F.concat(F.lit("PFAND "), "text", F.lit(" "), word)).otherwise(F.concat("text", F.lit(" Pfand "), word))
     return v.line_item.select("expense_id", "position", rt.item_kind(text, F.col("total_minor"), F.col("position") % 6 == 5).alias("kind"))
 
 
@@ -112,11 +116,11 @@ def rc16(v: Views) -> DataFrame:
     return rt.total_check(v.line_item.withColumnRenamed("expense_id", "receipt_id"), header)
 
 
-@query("RC17_vat_rate", "SELECT expense_id, (expense_id % 30)::DECIMAL(12,6) AS rate FROM expense WHERE expense_id % 30 > 0", "expense")
+@query("RC17_vat_rate", "SELECT expense_id, CASE WHEN expense_id % 30 > 0 THEN (expense_id % 30)::DECIMAL(12,6) END AS rate FROM expense", "expense")
 def rc17(v: Views) -> DataFrame:
     n = F.col("expense_id") % 30
     text = F.concat(F.lit("MwSt 0% 100 % A="), n.cast("string"), F.when(F.col("expense_id") % 2 == 0, ",00").otherwise(""), F.when(F.col("expense_id") % 3 == 0, " ").otherwise(""), F.lit("% 3,82"))
-    return v.expense.where("expense_id % 30 > 0").select("expense_id", rt.vat_rate(text).alias("rate"))
+    return v.expense.select("expense_id", rt.vat_rate(text).alias("rate"))
 
 
 @query("RC18_date", "SELECT expense_id, CASE WHEN year(d) >= 2000 THEN d END AS day FROM (SELECT expense_id, (occurred_date + 1500)::DATE AS d FROM expense)", "expense")
@@ -126,10 +130,12 @@ def rc18(v: Views) -> DataFrame:
     return v.expense.select("expense_id", rt.purchase_date(text, F.lit(False), F.lit(False)).alias("day"))
 
 
-@query("RC19_time", "SELECT expense_id, CASE WHEN expense_id % 3 = 2 THEN NULL ELSE occurred_at[12:16] END AS at FROM expense", "expense")
+@query("RC19_time", "SELECT expense_id, CASE WHEN expense_id % 6 IN (2, 4, 5) THEN NULL ELSE occurred_at[12:16] END AS at FROM expense", "expense")
 def rc19(v: Views) -> DataFrame:
-    t, k = F.substring("occurred_at", 12, 5), F.col("expense_id") % 3
-    text = F.when(k == 0, F.concat(t, F.lit(":33 Uhr"))).when(k == 1, F.concat(F.lit("01.02.2020"), t)).otherwise(F.concat(F.lit("offen "), t, F.lit(" - 24:00")))
+    t, k = F.substring("occurred_at", 12, 5), F.col("expense_id") % 6
+    # runs of three and five digits before the colon are no time
+    odd = F.when(k == 4, F.concat(F.lit("No 1"), t)).when(k == 5, F.concat(F.lit("No 123"), t))
+    text = F.coalesce(odd, F.when(k == 0, F.concat(t, F.lit(":33 Uhr"))).when(k == 1, F.concat(F.lit("01.02.2020"), t)).when(k == 3, F.concat(F.lit("01.02.20"), t)).otherwise(F.concat(F.lit("offen "), t, F.lit(" - 24:00"))))
     return v.expense.select("expense_id", rt.purchase_time(text).alias("at"))
 
 

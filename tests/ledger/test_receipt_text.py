@@ -60,3 +60,19 @@ def test_kinds_and_rates(spark):
     rates = [("MwSt 19% 3,82", 19.0), ("1=19,00%", 19.0), ("7 %", 7.0), ("100%", None), ("none", None)]
     got = spark.createDataFrame(rates, "t string, want double").select("want", rt.vat_rate(F.col("t")).cast("double").alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_digit_runs_that_are_no_time_and_returns_that_name_a_deposit(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import receipt_text as rt
+
+    texts = {"123:45": None, "12345:10": None, "1234567:10": None, "9:05": "09:05", "17:01": "17:01", "202017:01": "17:01", "2017:01": "17:01"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.at for r in rows.select("t", rt.purchase_time(F.col("t")).alias("at")).collect()} == texts
+    kinds = {"Pfand Voucher": "article", "Pfand Nachlass": "article", "Pfand Preisvorteil": "article", "Pfand Kasten": "deposit", "Pfandbon": "article"}
+    rows = spark.createDataFrame([(t,) for t in kinds], "t string")
+    assert {r.t: r.kind for r in rows.select("t", rt.item_kind(F.col("t"), F.lit(25), F.lit(False)).alias("kind")).collect()} == kinds
+    prices = {"KWD1.234": 1234, "12,500": 12500, "1.234,500": 1234500, "12,50": None, "0,001": 1, "00,001": None}
+    rows = spark.createDataFrame([(t,) for t in prices], "t string")
+    assert {r.t: r.m for r in rows.select("t", rt.price(F.col("t"), 3).alias("m")).collect()} == prices
