@@ -117,10 +117,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct("node", F.least("root", "near").alias("root")), F.struct(F.col("root").alias("node"), F.least("root", "near").alias("root")))).alias("o")
         )
         hooked = materialize(offers.groupBy("o.node").agg(F.min("o.root").alias("root")), "roots")
+        discard(roots)
         above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
         roots = materialize(hooked.join(above, "root").select("node", F.least("root", "top").alias("root")), "roots")
+        discard(hooked)
         state = roots.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()[0]
         if state == seen:
+            discard(links)
             return roots
         seen = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, finish, materialize, mix
+from .common import connected_components, discard, finish, materialize, mix
 from .linear import Piece, pieces
 
 RADIUS = 2  # links at 4 or fewer differing bits
@@ -234,10 +234,13 @@ ERRORS = 5.0
 SAMPLE, SAMPLE_PART = 20_000, 64
 #: Shingles known as frequent, at most.
 FREQUENT = 1 << 16
-#: Members of a list of which all pairs are made at once; pairs a longer one makes a round.
+#: Members of a list of which all pairs are made at once; pairs a longer one makes in the
+#: first round.
 WIDE, ROUND = 64, 1 << 18
-#: Pairs of one text whose sets are compared in a round.
+#: Pairs of one text whose sets are compared in the first round. Both bounds grow by GROWTH
+#: a round, so that rounds are few however large a group is.
 TRIES = 4
+GROWTH = 8
 
 
 def _sketches(piece: Piece, words: int) -> np.ndarray:
@@ -468,11 +471,13 @@ def near_copy_links(docs: DataFrame, words: int = 5, wide: int = WIDE, most: int
     links = None
     while True:
         met = materialize(_meet(lists, wide, most), "met")
+        most *= GROWTH
         pairs = met.where("key is null").select(F.col("eq").alias("a"), F.col("root").alias("b")).distinct()
         alike = materialize(_checked(pairs, sketches, "sketch", _agree), "alike")
         new = _verified(alike, first, slim, words)
+        discard(alike)
         if new is not None:
-            links = new if links is None else links.unionByName(new)
+            links = new if links is None else _joined(links, new)
         left = met.where("key is not null")
         if left.isEmpty():
             break
@@ -487,6 +492,13 @@ def near_copy_links(docs: DataFrame, words: int = 5, wide: int = WIDE, most: int
     return same.unionByName(links.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
+def _joined(links: DataFrame, new: DataFrame) -> DataFrame:
+    """One written table of both, so that plans don't grow with the rounds."""
+    both = materialize(links.unionByName(new), "verified")
+    discard(links, new)
+    return both
+
+
 def _verified(alike: DataFrame, first: DataFrame, slim: DataFrame, words: int) -> DataFrame | None:
     """Links (a, b) among the pairs ``alike`` of which the exact sets have a similarity of
     0.8, or None. Pairs that other links join already are left out: each round compares
@@ -504,14 +516,16 @@ def _verified(alike: DataFrame, first: DataFrame, slim: DataFrame, words: int) -
 
     texts = slim.join(nodes, F.col("doc_id") == F.col("low")).select("eq", "text")
     sets = materialize(texts.mapInArrow(run, "eq long, members binary").dropDuplicates(["eq"]), "sets")
-    links, left = None, alike
+    links, left, tries = None, alike, TRIES
     while True:
         turn = F.row_number().over(Window.partitionBy("b").orderBy("a"))
         left = materialize(left.withColumn("turn", turn), "left")
-        new = materialize(_checked(left.where(F.col("turn") <= TRIES).select("a", "b"), sets, "members", _alike), "verified")
-        links = new if links is None else links.unionByName(new)
-        left = left.where(F.col("turn") > TRIES).select("a", "b")
+        new = materialize(_checked(left.where(F.col("turn") <= tries).select("a", "b"), sets, "members", _alike), "verified")
+        links = new if links is None else _joined(links, new)
+        left = left.where(F.col("turn") > tries).select("a", "b")
+        tries *= GROWTH
         if left.isEmpty():
+            discard(sets)
             return links
         roots = connected_components(links)
         tops = [roots.toDF(x, f"top_{x}") for x in "ab"]
