@@ -118,7 +118,7 @@ def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 # ------------------------------------------------------------------ questions and answers
-_KINDS = {"key": "<u8", "long": "<i8", "int": "<i4", "double": "<f8", "boolean": "u1"}
+_KINDS = {"key": "<u8", "long": "<i8", "int": "<i4", "double": "<f8", "float": "<f4", "boolean": "u1"}
 ASK = "bucket int, shard long, base int, rows binary"
 ANSWER = "shard long, rows binary, words long, tokens long"
 #: Bytes of text whose keys make up about one bucket, and buckets of a task.
@@ -135,17 +135,28 @@ def bucket_bits(total_bytes: int, each: int = BUCKET_BYTES) -> int:
 
 
 def pack(fields: dict[str, str], columns: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(c, _KINDS[k]).tobytes() for c, k in zip(columns, fields.values(), strict=True))
+    """Columns byte by byte, lowest first, compressed as one, after how many rows they have;
+    nothing for none. Keys of one range share their high bytes, counts have few low ones."""
+    n = len(columns[0])
+    if not n:
+        return b""
+    flat = [np.ascontiguousarray(np.ascontiguousarray(c, _KINDS[k]).view(np.uint8).reshape(n, -1).T).tobytes() for c, k in zip(columns, fields.values(), strict=True)]
+    return n.to_bytes(4, "little") + squeezed(b"".join(flat))
 
 
 def unpack(raw, fields: dict[str, str]) -> list[np.ndarray]:
     """The columns of :func:`pack`; empty ones for null."""
     kinds = [np.dtype(_KINDS[k]) for k in fields.values()]
-    n = len(raw) // sum(k.itemsize for k in kinds) if raw is not None else 0
+    if raw is None or not len(raw):
+        return [np.zeros(0, k) for k in kinds]
+    raw = memoryview(raw)
+    n = int.from_bytes(raw[:4], "little")
+    flat = np.frombuffer(unsqueezed(raw[4:], n * sum(k.itemsize for k in kinds)), np.uint8)
     out, at = [], 0
     for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at) if n else np.zeros(0, k))
-        at += n * k.itemsize
+        end = at + n * k.itemsize
+        out.append(np.ascontiguousarray(flat[at:end].reshape(k.itemsize, n).T).view(k).ravel())
+        at = end
     return out
 
 
