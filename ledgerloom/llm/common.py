@@ -7,7 +7,9 @@ numpy arrays.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,8 +25,13 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 # ------------------------------------------------------------------ written tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine takes a folder of its own; any other must
+    name one."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
     if not found:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
