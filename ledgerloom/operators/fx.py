@@ -20,9 +20,10 @@ HISTORY = 400
 
 def clean(raw: DataFrame, currency: DataFrame) -> DataFrame:
     """Usable rates of ``raw(date, base, quote, rate)``: known currencies, base <> quote, a
-    real date, a rate above 0; codes in upper case."""
+    real date, a rate above 0; codes in upper case. Further columns stay with their rate."""
+    more = [c for c in raw.columns if c not in ("date", "base", "quote", "rate", "rate_date")]
     codes = F.broadcast(currency.select("code"))
-    df = raw.select(F.upper(F.trim("base")).alias("base"), F.upper(F.trim("quote")).alias("quote"), F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd").alias("rate_date"), F.col("rate").try_cast("decimal(38,18)").alias("rate"))
+    df = raw.select(F.upper(F.trim("base")).alias("base"), F.upper(F.trim("quote")).alias("quote"), F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd").alias("rate_date"), F.col("rate").try_cast("decimal(38,18)").alias("rate"), *more)
     df = df.where("base <> quote AND rate_date IS NOT NULL AND rate > 0")
     return df.join(codes.withColumnRenamed("code", "base"), "base", "left_semi").join(codes.withColumnRenamed("code", "quote"), "quote", "left_semi")
 

@@ -42,8 +42,12 @@ def fragments_json(receipts: DataFrame, column: str = "ocr_boxes") -> DataFrame:
 
 def truth_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(receipt_id, currency, total, date, time, store, items) from key/value lines."""
-    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.tsv$", 1).alias("receipt_id"), F.split("value", "\t", 2).alias("kv"), F.monotonically_increasing_id().alias("at"))
-    kv = lines.select("receipt_id", "at", F.get("kv", F.lit(0)).alias("k"), F.get("kv", F.lit(1)).alias("v"))
+    return truth_text(spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.tsv$", 1).alias("receipt_id"), "value", F.monotonically_increasing_id().alias("at")))
+
+
+def truth_text(lines: DataFrame) -> DataFrame:
+    """The same from (receipt_id, at, value): lines in the order of ``at``."""
+    kv = lines.select("receipt_id", "at", F.split("value", "\t", 2).alias("kv")).select("receipt_id", "at", F.get("kv", F.lit(0)).alias("k"), F.get("kv", F.lit(1)).alias("v"))
     one = lambda key: F.max(F.when(F.col("k") == key, F.col("v"))).alias(key)
     items = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == "item", F.struct("at", "v")))), lambda x: x["v"]).alias("items")
     return kv.groupBy("receipt_id").agg(*[one(k) for k in ("currency", "total", "tax", "date", "time", "store")], items)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import amount_text, money_text
@@ -10,6 +14,17 @@ from ..functions.money import amount_text, money_text
 BOM = "﻿"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a session of one machine
+    that has none takes a folder of its own."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def archive_rates(rates: DataFrame, path: str, source: str, fetched_at_ms: int) -> None:
     """Append one fetch; earlier fetches stay. A fetch that is already there is not written
     twice."""

@@ -14,9 +14,8 @@ def stream_rates(feed: DataFrame, currency: DataFrame, path: str, checkpoint: st
     the archive. A batch that is run again replaces its own files, so nothing doubles."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = clean(batch.select("date", "base", "quote", "rate"), currency)
-        keyed = good.join(batch.select(F.upper("base").alias("base"), F.upper("quote").alias("quote"), F.try_to_date(F.col("date"), "yyyy-MM-dd").alias("rate_date"), "fetched_at", "source").distinct(), ["base", "quote", "rate_date"])
-        rows = keyed.withColumn("id", F.concat_ws("-", "source", F.col("fetched_at").cast("string"), "base", "quote", F.col("rate_date").cast("string")))
+        good = clean(batch.select("date", "base", "quote", "rate", "fetched_at", "source"), currency)
+        rows = good.withColumn("id", F.concat_ws("-", "source", F.col("fetched_at").cast("string"), "base", "quote", F.col("rate_date").cast("string")))
         rows.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
