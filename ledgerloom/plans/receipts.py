@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import receipt_marks as marks
 from ..functions.money import amount_text
+from ..operators import receipt_quality as quality
 from ..operators import receipt_rows
 from .registry import query
 from .views import Views
@@ -101,3 +102,34 @@ def rc20(v: Views) -> DataFrame:
     rows = F.when(k == 0, said[0]).when(k == 1, said[1]).when(k == 2, said[2]).otherwise(F.array(phone, F.lit("Klein"), F.concat(F.lit("Großer "), name), F.lit("Danke"), F.lit("Brot 1,99"), F.lit("Riesig")))
     df = v.table("customer").select(F.col("c_custkey").alias("receipt_id"), F.posexplode(rows).alias("row_no", "text"))
     return marks.merchants(df.withColumn("height", F.when(F.col("text").rlike("^(Gro|Ries|Danke)"), 40).otherwise(20)).withColumn("other", ~F.col("text").rlike("1,99")))
+
+
+@query("RC26_quality_report", """SELECT * FROM (
+SELECT 'total right' AS measure, count(*) FILTER (WHERE expense_id % 5 > 1) AS right, count(*) AS total FROM expense UNION ALL SELECT 'date right', count(*) FILTER (WHERE expense_id % 3 > 0), count(*) FROM expense
+UNION ALL SELECT 'time right', 0, 0 UNION ALL SELECT 'store right', count(*), count(*) FROM expense UNION ALL SELECT 'tax right', 0, 0 UNION ALL SELECT 'items add up', count(*) FILTER (WHERE expense_id % 2 = 0), count(*) FROM expense
+UNION ALL SELECT 'items found', count(*) FILTER (WHERE position % 4 > 0), count(*) FROM line_item UNION ALL SELECT 'items right', count(*) FILTER (WHERE position % 4 > 0), count(*) FROM line_item
+UNION ALL SELECT 'total not found', count(*) FILTER (WHERE expense_id % 5 = 0), NULL FROM expense UNION ALL SELECT 'total wrong', count(*) FILTER (WHERE expense_id % 5 = 1), NULL FROM expense
+UNION ALL SELECT 'items missed', count(DISTINCT expense_id), NULL FROM line_item WHERE position % 4 = 0 UNION ALL SELECT 'extra items', count(DISTINCT expense_id), NULL FROM line_item WHERE position % 4 = 0)""", "expense line_item")
+def rc26(v: Views) -> DataFrame:
+    e, p = F.col("expense_id"), F.col("position")
+    truth = v.expense.select(e.alias("receipt_id"), F.col("total_minor").alias("total"), F.col("occurred_date").cast("string").alias("date"), F.lit("").alias("time"), F.lit("Haus Hornung").alias("store"), F.lit(0).cast("bigint").alias("tax"))
+    parsed = v.expense.select(e.alias("receipt_id"), F.when(e % 5 == 1, F.col("total_minor") + 1).when(e % 5 > 1, F.col("total_minor")).alias("total"), F.when(e % 2 == 0, "matches").otherwise("differs").alias("check"), F.when(e % 3 > 0, F.col("occurred_date").cast("string")).alias("date"), F.lit(None).cast("string").alias("time"), F.lit("Hornung").alias("store"), F.lit(None).cast("bigint").alias("tax"))
+    price = 1000 + p
+    known = v.line_item.select(e.alias("receipt_id"), p.alias("item_no"), price.cast("bigint").alias("price"))
+    # every fourth price is misread, every second of the others stands as the unit price
+    total = F.when(p % 4 == 0, -price).when(p % 2 == 0, 2 * price + 100_000).otherwise(price)
+    read = v.line_item.select(e.alias("receipt_id"), p.alias("item_no"), F.lit("article").alias("kind"), total.cast("bigint").alias("total_minor"), F.when((p % 2 == 0) & (p % 4 > 0), price).cast("bigint").alias("unit_minor"))
+    return quality.quality_report(quality.receipt_scores(truth, known, parsed, read))
+
+
+@query("RC27_recognition", "SELECT CASE WHEN e.expense_id % 2 = 0 THEN 'one' ELSE 'two' END AS engine, CASE WHEN e.expense_id % 3 = 0 THEN 'ja' ELSE 'de' END AS lang, sum(coalesce(i.r, 0))::BIGINT AS items_right, sum(coalesce(i.k, 0))::BIGINT AS n_items, count(*) FILTER (WHERE e.expense_id % 5 > 0 AND i.k IS NOT NULL) AS totals_right, count(*) FILTER (WHERE e.expense_id % 7 > 0 OR i.k IS NOT NULL) AS n_totals FROM expense e LEFT JOIN (SELECT expense_id, count(*) AS k, count(*) FILTER (WHERE position % 4 > 0) AS r FROM line_item GROUP BY 1) i ON i.expense_id = e.expense_id GROUP BY 1, 2", "expense line_item")
+def rc27(v: Views) -> DataFrame:
+    e, p = F.col("expense_id"), F.col("position")
+    price = F.concat((p + 10).cast("string"), F.lit(",95"))
+    items = v.line_item.select(e.alias("receipt_id"), p.alias("item_no"), F.concat("text", F.lit(" im Glas")).alias("name"), price.alias("price"))
+    lines = v.line_item.select(e.alias("receipt_id"), p.alias("row_no"), F.concat("text", F.lit(" im Glas "), F.when(p % 4 == 0, "?").otherwise(F.concat(F.regexp_replace(price, ",", ", "), F.lit(" A")))).alias("text"))
+    sums = v.line_item.select(e.alias("receipt_id")).distinct().select("receipt_id", F.lit(0).alias("row_no"), F.when(F.col("receipt_id") % 5 > 0, "SUMME ¥1,234円").otherwise("SUMME").alias("text"))
+    lined = v.line_item.select(e.alias("receipt_id"), F.lit(True).alias("lined")).distinct()
+    header = v.expense.select(e.alias("receipt_id"), F.when(e % 2 == 0, "one").otherwise("two").alias("engine"), F.when(e % 3 == 0, "ja").otherwise("de").alias("lang")).join(lined, "receipt_id", "left")
+    header = header.select("receipt_id", "engine", "lang", F.when((F.col("receipt_id") % 7 > 0) | F.col("lined"), "1,234").alias("total"))
+    return quality.recognition_score(lines.unionByName(sums), items, header).drop("name_similarity")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.functions import receipt_marks as m
+from ledgerloom.operators import receipt_quality as quality
 from ledgerloom.operators import receipt_rows
 
 SF = "/root/testdata/sf0.001"
@@ -65,7 +66,7 @@ def _rows(df, names):
     return sorted(tuple(str(r[n]) for n in names) for r in df)
 
 
-@pytest.mark.parametrize("name", ["RC1_printed_rows", "RC3_text_rows", "RC6_marks", "RC7_context", "RC8_row_keyword", "RC12_returns", "RC20_merchant"])
+@pytest.mark.parametrize("name", ["RC1_printed_rows", "RC3_text_rows", "RC6_marks", "RC7_context", "RC8_row_keyword", "RC12_returns", "RC20_merchant", "RC26_quality_report", "RC27_recognition"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "orders", "lineitem", "part", "nation"):
@@ -73,3 +74,21 @@ def test_query_equals_sql(spark, name):
     want = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in want.description]
     assert _rows(entry.queries()[name](spark, SF).collect(), names) == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
+def test_matching_and_scores():
+    # a price goes to the first free total, then to the first free unit price
+    assert quality.matched([300, 300, 680, 5], [(300, None), (680, 300), (680, None)]) == 3
+    assert quality.matched([], [(1, 1)]) == 0
+    assert quality.shows_price("Brot 9, 99 A", "9,99") and quality.shows_price("合計 ¥1,234円", "1,234") and quality.shows_price("EUR9,99", "9,99")
+    assert not quality.shows_price("Brot 19,99", "9,99") and not quality.shows_price("", "9,99")
+    assert quality.similarity("Ｂｒｏｔ 1", "brot1") == 1 and quality.name_similarity("Brot", []) == 0
+
+
+def test_receipt_that_was_not_read(spark):
+    truth = spark.createDataFrame([(1, 980, "2020-01-02", None, "", 0), (2, None, "", "", None, 5)], "receipt_id long, total long, date string, time string, store string, tax long")
+    known = spark.createDataFrame([(1, 0, 300), (1, 1, 680)], "receipt_id long, item_no long, price long")
+    parsed = spark.createDataFrame([(2, 5, "matches", None, None, None, 5)], "receipt_id long, total long, check string, date string, time string, store string, tax long")
+    none = spark.createDataFrame([], "receipt_id long, item_no long, kind string, total_minor long, unit_minor long")
+    got = {r.measure: (r.right, r.total) for r in quality.quality_report(quality.receipt_scores(truth, known, parsed, none)).collect()}
+    assert got == {"total right": (0, 1), "date right": (0, 1), "time right": (0, 0), "store right": (0, 0), "tax right": (1, 1), "items add up": (1, 2), "items found": (0, 2), "items right": (0, 0), "total not found": (1, None), "items missed": (1, None)}
