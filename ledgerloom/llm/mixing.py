@@ -78,8 +78,8 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float = CAP, max_steps: int
     high = F.when(F.col("target") < F.col("base"), 0.0).otherwise(F.log(F.lit(cap) / F.col("least")) / F.col("short"))
     state = targets.alias("t").join(top.alias("p"), F.expr("t.source <=> p.source")).select("t.source", "target", low.alias("low"), high.alias("high"), ((F.col("target") <= 0) | (F.col("target") >= F.lit(cap) * F.col("whole") * (1 - 1e-12))).alias("done"))
     state = state.withColumn("lam", F.lit(0.0)).withColumn("steps", F.lit(0))
+    state = materialize(state, "tilts")
     for _ in range(max_steps):
-        state = materialize(state, "tilts")
         rate = F.col("prior") * F.exp(F.col("lam") * F.col("size"))
         exact = lambda x: F.sum(x.cast("decimal(38,12)"))
         sums = (
@@ -96,11 +96,13 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float = CAP, max_steps: int
             "source", "target", "low", "high", settled.alias("done"),
             F.when(settled, F.col("lam")).when(F.coalesce(inside, F.lit(False)), step).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), F.when(settled, F.col("steps")).otherwise(F.col("steps") + 1).alias("steps"),
         )
-        if not joined.select(F.max((~settled).cast("int"))).first()[0]:
+        new = materialize(after, "tilts")
+        discard(state)
+        state = new
+        if not state.select(F.max((~F.col("done")).cast("int"))).first()[0]:
             # a null lambda: all at the cap, or nothing wanted
             plan = targets.alias("t").join(top.alias("p"), F.expr("t.source <=> p.source")).select(F.col("t.source").alias("of"), (F.col("target") >= F.lit(cap) * F.col("whole") * (1 - 1e-12)).alias("full"))
             return state.join(plan, F.expr("source <=> of")).select("source", F.when(~F.col("full") & (F.col("target") > 0), F.col("lam")).alias("lam"), "full", "steps")
-        state = after
     raise RuntimeError(f"the dual did not settle in {max_steps} steps")
 
 
