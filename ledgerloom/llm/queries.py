@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, suffix_tree, toxicity
+from . import media, mixing, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_model": op2_quality_model,
@@ -65,5 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_media": op10_media,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL, "op12_url_filter": url_filter.judge_sql()}
