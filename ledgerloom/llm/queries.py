@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, whitening
+from . import collocations, media, mixing, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -73,7 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_media": op10_media,
+    "op11_collocations": op11_collocations,
     "op12_url_filter": op12_url_filter,
     "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL, "op12_url_filter": url_filter.judge_sql()}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.MIX_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL, "op12_url_filter": url_filter.judge_sql()}
