@@ -45,7 +45,7 @@ TOP, SHARE = 2000, 80
 #: Score of a phrase whose parts never stand elsewhere.
 SCALE = 2_000_000
 #: Bytes of text in a row of numbers, and rows of a batch of counts.
-CHUNK, OUT = 16 << 20, 200_000
+CHUNK, OUT = 8 << 20, 100_000
 #: A bit field has 2**BITS bits (8 MB), whatever the corpus.
 BITS = 26
 #: The threshold starts at the score in place FIRST * top and goes on to STEP times as many.
@@ -171,67 +171,77 @@ class Look(NamedTuple):
     field: str
 
 
+def _phrases_of(row: dict, m: int, ways: list[list[Look]], fields: dict[str, np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct phrases of m words in a row that pass, and how often each stands there."""
+    words, codes = _read(row)
+    none = pa.array([], pa.string()), np.zeros(0, np.int64)
+
+    def passed(h: np.ndarray, field: str) -> np.ndarray:
+        bit = finish(h) >> np.uint64(64 - BITS)
+        return (fields[field][bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    ends = np.frombuffer(row["ends"], np.int32).astype(np.int64)
+    of_word = span_hashes(np.frombuffer(row["words"], np.uint8), np.concatenate([[0], ends])[:-1], ends)
+    known = np.concatenate([[False], passed(mix(_of_lang(row["lang"], len(words)), of_word), "words")])
+    codes = np.where(known[codes], codes, 0)
+    codes = codes[(codes > 0) | (np.concatenate([[1], codes[:-1]]) > 0)]
+    if len(codes) < m:
+        return none
+    of_word = np.concatenate([np.zeros(1, np.uint64), of_word])
+    whole = {1: codes > 0}
+    for k in range(2, m + 1):
+        whole[k] = whole[k - 1][:-1] & whole[1][k - 1 :]
+    places = np.flatnonzero(whole[m])
+    seen: dict[tuple[int, str], np.ndarray] = {}
+
+    def look(x: Look) -> np.ndarray:
+        """At ``places``: the words there are in the field."""
+        if (x.size, x.field) not in seen:
+            near = np.zeros(len(codes) + m, bool)
+            at = np.flatnonzero(whole[x.size])
+            h = _of_lang(row["lang"], len(at))
+            for i in range(x.size):
+                h = mix(h, of_word[codes[at + i]])
+            near[at] = passed(h, x.field)
+            seen[x.size, x.field] = near
+        return seen[x.size, x.field][places + x.at]
+
+    keep = np.zeros(len(places), bool)
+    for way in ways:
+        keep |= np.logical_and.reduce([look(x) for x in way]) if way else True
+    places = places[keep]
+    if not len(places):
+        return none
+    # exact numbers of the distinct phrases: by the number so far and the next word
+    key = codes[places].astype(np.int64)
+    for i in range(1, m):
+        if i > 1:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key *= len(words) + 1
+        key += codes[places + i]
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    first = places[first]
+    parts = [words.take(pa.array(codes[first + i] - 1)).cast(pa.string()) for i in range(m)]
+    return pc.binary_join_element_wise(*parts, " "), n
+
+
 def count_phrases(rows: DataFrame, m: int, ways: list[list[Look]], fields: dict[str, np.ndarray]) -> DataFrame:
     """(lang, phrase, f): exact counts, of ``LEAST`` and more, of all phrases of m words that
     pass all looks of one of the ``ways``. Words outside the field ``words`` end a piece."""
-    sent = {k: rows.sparkSession.sparkContext.broadcast(v) for k, v in fields.items()}
+    used = {"words", *(x.field for way in ways for x in way)}
+    sent = {k: rows.sparkSession.sparkContext.broadcast(fields[k]) for k in used}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_hand = {k: v.value for k, v in sent.items()}
         for b in batches:
-            for row in b.to_pylist():
-                words, codes = _read(row)
-                if len(words) == 0:
-                    continue
-                spelled = np.frombuffer(row["words"], np.uint8)
-                ends = np.frombuffer(row["ends"], np.int32).astype(np.int64)
-                of_word = span_hashes(spelled, np.concatenate([[0], ends[:-1]]), ends)
-
-                def passed(h: np.ndarray, field: str) -> np.ndarray:
-                    bit = finish(h) >> np.uint64(64 - BITS)
-                    return (sent[field].value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-                known = np.concatenate([[False], passed(mix(_of_lang(row["lang"], len(words)), of_word), "words")])
-                codes = np.where(known[codes], codes, 0)
-                codes = codes[(codes > 0) | (np.concatenate([[1], codes[:-1]]) > 0)]
-                if len(codes) < m:
-                    continue
-                of_word = np.concatenate([np.zeros(1, np.uint64), of_word])[codes]
-                whole = {1: codes > 0}
-                for k in range(2, m + 1):
-                    whole[k] = whole[k - 1][:-1] & whole[1][k - 1 :]
-                places = np.flatnonzero(whole[m])
-                seen: dict[tuple[int, str], np.ndarray] = {}
-
-                def look(x: Look) -> np.ndarray:
-                    """At ``places``: the words there are in the field."""
-                    if (x.size, x.field) not in seen:
-                        near = np.zeros(len(codes) + m, bool)
-                        at = np.flatnonzero(whole[x.size])
-                        h = mix(_of_lang(row["lang"], len(at)), of_word[at])
-                        for i in range(1, x.size):
-                            h = mix(h, of_word[at + i])
-                        near[at] = passed(h, x.field)
-                        seen[x.size, x.field] = near
-                    return seen[x.size, x.field][places + x.at]
-
-                keep = np.zeros(len(places), bool)
-                for way in ways:
-                    keep |= np.logical_and.reduce([look(x) for x in way]) if way else True
-                places = places[keep]
-                if not len(places):
-                    continue
-                # exact numbers of the distinct phrases: by the number so far and the next word
-                key = codes[places].astype(np.int64)
-                for i in range(1, m):
-                    if i > 1:
-                        key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-                    key = key * (len(words) + 1) + codes[places + i]
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                first = places[first]
-                parts = [words.take(pa.array(codes[first + i] - 1)).cast(pa.string()) for i in range(m)]
-                yield from _counts(row["lang"], pc.binary_join_element_wise(*parts, " "), n)
-
-    return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
+            for i in range(b.num_rows):
+                row = {k: c[i].as_py() if k == "lang" else c[i].as_buffer() for k, c in zip(b.schema.names, b.columns, strict=True)}
+                yield from _counts(row["lang"], *_phrases_of(row, m, ways, at_hand))
+
+    # a row of texts sends a phrase once, with its count there: there is little for a task to
+    # add up before the shuffle, and a table of all its phrases would fill its memory
+    found = rows.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
 
 
 # ------------------------------------------------------------------ scores and bounds
