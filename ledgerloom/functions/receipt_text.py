@@ -83,7 +83,7 @@ def keyword(token: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def _valid(year: Column, month: Column, day: Column) -> Column:
@@ -134,10 +134,17 @@ def purchase_time(text: Column) -> Column:
     return F.when(~text.contains("営業"), found)
 
 
+def names_any(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a word of ``text``, letters only, contains one of ``parts``."""
+    either = "|".join(parts)
+    return F.coalesce(F.exists(F.transform(words(text), keyword), lambda w: w.rlike(either)), F.lit(False))
+
+
 def item_kind(text: Column, minor: Column, tax: Column) -> Column:
-    named = lambda t, parts: reduce(lambda a, b: a | b, [F.lower(t).contains(p) for p in parts])
-    first = F.get(words(text), F.lit(0))
-    return F.when(tax, "tax").when(minor < 0, "discount").when(F.coalesce(named(first, DEPOSIT), F.lit(False)) & ~named(text, RETURNED), "deposit").otherwise("article")
+    """tax, discount (less than nothing), deposit (its first word says so and no word names
+    something given back) or article; words are compared by their letters."""
+    first = F.coalesce(F.get(words(text), F.lit(0)), F.lit(""))
+    return F.when(tax, "tax").when(minor < 0, "discount").when(names_any(first, DEPOSIT) & ~names_any(text, RETURNED), "deposit").otherwise("article")
 
 
 def vat_rate(text: Column) -> Column:

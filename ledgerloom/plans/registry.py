@@ -20,6 +20,10 @@ def query(name: str, sql: str | None = None, views: str = "", ctes: str = "") ->
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
             head = duck_with(*views.split()) if views else ""
+            if sql.startswith("WITH RECURSIVE"):
+                # the views stand where the statement names them
+                ORACLES[name] = sql.replace("{line_item}", head.removeprefix("WITH ").strip())
+                return f
             if ctes:
                 head = f"{head},\n{ctes}" if head else f"WITH {ctes}"
             ORACLES[name] = f"{head}\n{sql}"
