@@ -29,7 +29,13 @@ def archive_rates(rates: DataFrame, path: str, source: str, fetched_at_ms: int)
     """Append one fetch; earlier fetches stay. A fetch that is already there is not written
     twice."""
     df = rates.select(F.concat_ws("-", F.lit(source), F.lit(fetched_at_ms).cast("string"), "base", "quote", F.col("rate_date").cast("string")).alias("id"), "base", "quote", "rate", "rate_date", F.lit(fetched_at_ms).cast("bigint").alias("fetched_at"), F.lit(source).alias("source"))
-    df.dropDuplicates(["id"]).write.mode("append").partitionBy("rate_date").parquet(path)
+    df = df.dropDuplicates(["id"])
+    spark = rates.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        there = spark.read.parquet(path).where((F.col("source") == source) & (F.col("fetched_at") == fetched_at_ms))
+        df = df.join(there.select("id"), "id", "left_anti").select(*df.columns)
+    df.write.mode("append").partitionBy("rate_date").parquet(path)
 
 
 def text_cell(text: Column) -> Column:

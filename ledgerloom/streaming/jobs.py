@@ -11,12 +11,17 @@ from ..operators.fx import both_directions, clean, convert_expenses
 
 def stream_rates(feed: DataFrame, currency: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch of ``feed(date, base, quote, rate, fetched_at, source)`` to
-    the archive. A batch that is run again replaces its own files, so nothing doubles."""
+    the archive. A batch that is run again replaces its own files, and a row (source, fetch,
+    pair, day) that an earlier batch has is not written again, so nothing doubles, also after
+    a restart from the checkpoint."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good = clean(batch.select("date", "base", "quote", "rate", "fetched_at", "source"), currency)
         rows = good.withColumn("id", F.concat_ws("-", "source", F.col("fetched_at").cast("string"), "base", "quote", F.col("rate_date").cast("string")))
-        rows.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = rows.dropDuplicates(["id"])
+        if batch_id:  # batch 0 has always been written before, if only as an empty table
+            rows = rows.join(batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id).select("id"), "id", "left_anti").select(*rows.columns)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -37,6 +42,22 @@ def stream_cash_balances(movements: DataFrame) -> DataFrame:
     return movements.groupBy("person_id", "currency").agg(F.sum("amount_minor").alias("balance"))
 
 
+def stream_balances_to(movements: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running balances of ``movements(person_id, currency, amount_minor)`` in update mode: each
+    batch writes the balances it changed; :func:`latest_balances` reads the last of each key.
+    The sums live in the state store, so a restart goes on where the stream stopped."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream_cash_balances(movements).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_balances(written: DataFrame) -> DataFrame:
+    """(person_id, currency, balance) of all batches that :func:`stream_balances_to` wrote."""
+    return written.groupBy("person_id", "currency").agg(F.max_by("balance", "batch").alias("balance"))
+
+
 def refresh_due(last_fetch_ms: Column, now_ms: Column, eager: Column) -> Column:
     """Whether rates should be fetched: none yet, or older than a day (an hour at the start)."""
     age = F.when(eager, 3_600_000).otherwise(24 * 3_600_000)

@@ -13,17 +13,12 @@ SF = "/root/testdata/sf0.001"
 BOX = "receipt_id long, idx long, left long, top long, right long, bottom long, text string"
 # receipt: boxes in reading order of the engine, rows expected
 PRINTED = {
-    1: ([(1837, 1195, 2085, 1292, "3,99 A"), (511, 1110, 1236, 1204, "Dattelcherrytomaten"), (1841, 1112, 2081, 1205, "1,49 A"), (511, 1196, 1271, 1290, "Grüne Oliven o. Kern")], ["Dattelcherrytomaten 1,49 A", "Grüne Oliven o. Kern 3,99 A"]),
-    2: ([(0, 100, 300, 140, "Brot"), (600, 112, 700, 152, "2,49"), (0, 150, 300, 190, "Milch")], ["Brot 2,49", "Milch"]),
-    3: ([(0, 100, 300, 150, "Leergut A"), (600, 108, 700, 158, "-1,25"), (600, 140, 700, 190, "-9,83"), (0, 152, 300, 202, "Leergut B")], ["Leergut A -1,25", "Leergut B -9,83"]),
-    4: (
-        [
-            (982, 1344, 1304, 1416, "2,319 EUR/Liter"), (1655, 1362, 1837, 1437, "2,95 EUR"), (980, 1380, 1519, 1467, "Red Bull A"), (1653, 1413, 1839, 1496, "0,25 EUR"), (981, 1448, 1259, 1518, "Pfand 25 Cent"),
-            (1108, 2914, 1487, 2993, "Girocard"), (1659, 2942, 1882, 3005, "23,21 EUR"), (995, 3029, 1227, 3132, "TOTAL"), (1468, 3036, 1928, 3186, "23,21 EUR"), (969, 3183, 1277, 3246, "MWST 19,00% A"),
-            (1693, 3217, 1898, 3288, "3,71 EUR"), (970, 3243, 1096, 3302, "NETTO"), (1673, 3276, 1899, 3350, "23,21 EUR"),
-        ],
-        ["2,319 EUR/Liter", "Red Bull A 2,95 EUR", "Pfand 25 Cent 0,25 EUR", "Girocard 23,21 EUR", "TOTAL 23,21 EUR", "MWST 19,00% A 3,71 EUR", "NETTO 23,21 EUR"],
-    ),
+    1: ([(905, 605, 1043, 660, "2,79 A"), (250, 560, 620, 608, "Tomaten rund"), (908, 562, 1040, 610, "1,29 A"), (250, 606, 640, 655, "Oliven schwarz")], ["Tomaten rund 1,29 A", "Oliven schwarz 2,79 A"]),
+    2: ([(10, 200, 280, 246, "Laib"), (570, 214, 660, 258, "2,49"), (10, 258, 290, 302, "Rahm")], ["Laib 2,49", "Rahm"]),
+    # two prices that overlap stay in rows of their own
+    3: ([(5, 300, 250, 348, "Kiste A"), (500, 309, 590, 357, "-1,25"), (500, 338, 590, 386, "-9,83"), (5, 350, 250, 398, "Kiste B")], ["Kiste A -1,25", "Kiste B -9,83"]),
+    # the price column is lifted by 36, nearer to the name above
+    4: ([(0, 70 * k - 36, 400, 70 * k + 36, f"Ware {w}") for k, w in enumerate("abcdefg")] + [(700, 70 * k - 36 - 37, 830, 70 * k - 36 + 37, f"{k},00") for k in range(1, 7)], ["Ware a", *(f"Ware {w} {k},00" for k, w in enumerate("bcdefg", 1))]),
     5: ([(600, 100, 700, 140, "2,49"), (0, 150, 300, 190, "Milch"), (0, 100, 300, 140, "Brot")], ["Brot 2,49", "Milch"]),
     6: ([(0, 0, 10, 10, "  "), (0, 20, 10, 30, "A"), (0, 40, 10, 50, None)], ["A"]),
     7: ([(0, 10, 5, 10, "a"), (6, 10, 9, 10, "b")], ["a", "b"]),
@@ -38,7 +33,7 @@ def test_printed_rows(spark):
         got.setdefault(r.receipt_id, []).append(r.text)
     assert got == {r: rows for r, (_, rows) in PRINTED.items()}
     first = receipt_rows.text_rows(df).where("receipt_id = 1 and row_no = 0").first()
-    assert (first.left, first.top, first.right, first.bottom) == (511, 1110, 2081, 1205)
+    assert (first.left, first.top, first.right, first.bottom) == (250, 560, 1040, 610)
     places = sorted((r.row_no, r.place, r.idx) for r in receipt_rows.printed_rows(df).where("receipt_id = 5").collect())
     assert places == [(0, 0, 2), (0, 1, 0), (1, 0, 1)]
     assert receipt_rows.text_rows(spark.createDataFrame([], BOX)).count() == 0

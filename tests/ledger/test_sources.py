@@ -71,3 +71,30 @@ def test_streams_equal_batches(spark, tmp_path):
     q = jobs.stream_cash_balances(moves).writeStream.outputMode("complete").format("memory").queryName("balances").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.person_id, r.balance) for r in spark.table("balances").collect()] == [("a", 3)]
+
+
+def test_nothing_doubles_across_batches_and_restarts(spark, tmp_path):
+    kind = "date string, base string, quote string, rate string, fetched_at long, source string"
+    row = ("2024-05-01", "EUR", "usd", "1.08", 7, "main")
+    path, at, feed = (str(tmp_path / n) for n in ("archive", "offsets", "feed"))
+    for extra in (("2024-05-01", "EUR", "jpy", "160", 7, "main"), ("2024-05-02", "EUR", "usd", "1.09", 8, "main"), row):
+        spark.createDataFrame([row, extra], kind).coalesce(1).write.mode("append").json(feed)
+        jobs.stream_rates(spark.readStream.schema(kind).json(feed), currency(spark), path, at).awaitTermination()  # stops and starts again
+    back = spark.read.parquet(path)
+    assert back.count() == back.select("id").distinct().count() == 3
+    rates = spark.createDataFrame([("EUR", "USD", dt.date(2024, 5, 1), 1)], "base string, quote string, rate_date date, rate int")
+    for fetch in (1, 1, 2):
+        writers.archive_rates(rates, str(tmp_path / "fetches"), "main", fetch)
+    assert spark.read.parquet(str(tmp_path / "fetches")).count() == 2
+
+
+def test_balances_go_on_after_a_restart(spark, tmp_path):
+    feed, out, at = (str(tmp_path / n) for n in ("moves", "out", "offsets"))
+    kind = "person_id string, currency string, amount_minor long"
+    sums = {}
+    for part in ([("a", "EUR", 5), ("b", "EUR", 7)], [("a", "EUR", -2), ("a", "USD", 1)], [("b", "EUR", 3)]):
+        spark.createDataFrame(part, kind).write.mode("append").json(feed)
+        jobs.stream_balances_to(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(feed), out, at).awaitTermination()
+        for p, c, m in part:
+            sums[p, c] = sums.get((p, c), 0) + m
+        assert {(r.person_id, r.currency): r.balance for r in jobs.latest_balances(spark.read.parquet(out)).collect()} == sums
