@@ -33,9 +33,9 @@ CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"
 
 
 # ------------------------------------------------------------------ writing
-def _box(kind: bytes, *parts: bytes) -> bytes:
+def _box(kind: bytes, *parts: bytes, wide: bool = False) -> bytes:
     body = b"".join(parts)
-    if len(body) + 8 < 1 << 32:
+    if not wide and len(body) + 8 < 1 << 32:
         return struct.pack(">I4s", len(body) + 8, kind) + body
     return struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
 
@@ -79,14 +79,18 @@ def wrap(payload: bytes) -> bytes:
         return _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))
 
     start = len(head) + len(moov(0)) + (16 if wide else 8)
-    return b"".join([head, moov(start), _box(b"mdat", payload)])
+    return b"".join([head, moov(start), _box(b"mdat", payload, wide=wide)])
 
 
 # ------------------------------------------------------------------ reading
-def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, outer boxes first."""
-    at = start
-    while at + 8 <= end:
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, bool, int, int]]:
+    """(kind, in a track, body start, body end) of every box, outer boxes first, however deep
+    they are nested."""
+    open_ = [(start, end, False)]
+    while open_:
+        at, end, tracked = open_.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1:
@@ -97,11 +101,10 @@ def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ())
         stop = end if size == 0 else at + size
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} leaves its parent")
-        here = (*path, kind)
-        yield here, body, stop
+        yield kind, tracked, body, stop
+        open_.append((stop, end, tracked))
         if kind in CONTAINERS:
-            yield from boxes(data, body, stop, here)
-        at = stop
+            open_.append((body, stop, tracked or kind == b"trak"))
 
 
 class Track:
@@ -116,7 +119,9 @@ class Track:
         self.keys: np.ndarray | None = None
         self.deltas: np.ndarray = np.zeros((0, 2), np.int64)
 
-    def table(self, at: int, count: int, width: int, kind: str) -> np.ndarray:
+    def table(self, at: int, end: int, count: int, width: int, kind: str) -> np.ndarray:
+        if at + count * width * np.dtype(kind).itemsize > end:
+            raise ValueError("a table is longer than its box")
         return np.frombuffer(self.data, kind, count * width, at).astype(np.int64).reshape(count, width)
 
     def take(self, name: bytes, at: int, end: int) -> None:
@@ -132,17 +137,19 @@ class Track:
             self.codec = bytes(self.data[at + 12 : at + 16]).decode("latin-1")
         elif name == b"stsz":
             fixed, n = u32(at + 4), u32(at + 8)
-            self.sizes = np.full(n, fixed, np.int64) if fixed else self.table(at + 12, n, 1, ">u4")[:, 0]
+            if fixed * n > len(self.data):
+                raise ValueError("more samples than the file has bytes")
+            self.sizes = np.full(n, fixed, np.int64) if fixed else self.table(at + 12, end, n, 1, ">u4")[:, 0]
         elif name == b"stco":
-            self.offsets = self.table(at + 8, u32(at + 4), 1, ">u4")[:, 0]
+            self.offsets = self.table(at + 8, end, u32(at + 4), 1, ">u4")[:, 0]
         elif name == b"co64":
-            self.offsets = self.table(at + 8, u32(at + 4), 1, ">u8")[:, 0]
+            self.offsets = self.table(at + 8, end, u32(at + 4), 1, ">u8")[:, 0]
         elif name == b"stsc":
-            self.runs = self.table(at + 8, u32(at + 4), 3, ">u4")
+            self.runs = self.table(at + 8, end, u32(at + 4), 3, ">u4")
         elif name == b"stss":
-            self.keys = self.table(at + 8, u32(at + 4), 1, ">u4")[:, 0]
+            self.keys = self.table(at + 8, end, u32(at + 4), 1, ">u4")[:, 0]
         elif name == b"stts":
-            self.deltas = self.table(at + 8, u32(at + 4), 2, ">u4")
+            self.deltas = self.table(at + 8, end, u32(at + 4), 2, ">u4")
 
     def ranges(self) -> np.ndarray:
         """(start, end) of every sample in the file."""
@@ -150,12 +157,15 @@ class Track:
         if not n or not len(self.runs) or not len(self.offsets):
             return np.zeros((0, 2), np.int64)
         first = np.append(self.runs[:, 0] - 1, len(self.offsets))
+        if first[0] != 0 or (np.diff(first) < 0).any():
+            raise ValueError("runs of chunks out of order")
         per_chunk = np.repeat(self.runs[:, 1], np.diff(first))
-        chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-        if len(chunk) < n:
+        ends = np.cumsum(per_chunk)
+        if not len(ends) or ends[-1] < n:
             raise ValueError("fewer chunk places than samples")
+        chunk = np.searchsorted(ends, np.arange(n), side="right")
         before = np.cumsum(self.sizes) - self.sizes
-        lead = np.cumsum(per_chunk) - per_chunk
+        lead = ends - per_chunk
         start = self.offsets[chunk] + before - before[np.minimum(lead[chunk], n - 1)]
         out = np.stack([start, start + self.sizes], axis=1)
         if len(out) and (out.min() < 0 or out.max() > len(self.data)):
@@ -175,11 +185,11 @@ class Track:
 def tracks(data: bytes | memoryview) -> list[Track]:
     view = memoryview(data)
     out: list[Track] = []
-    for path, at, end in boxes(view, 0, len(view)):
-        if path[-1] == b"trak":
+    for kind, tracked, at, end in boxes(view, 0, len(view)):
+        if kind == b"trak":
             out.append(Track(view))
-        elif out and b"trak" in path:
-            out[-1].take(path[-1], at, end)
+        elif out and tracked:
+            out[-1].take(kind, at, end)
     return out
 
 
@@ -195,12 +205,15 @@ def read_payload(data: bytes | memoryview) -> bytes:
 
 
 def feature(data: bytes | memoryview) -> str:
-    """Codec, kind, duration, samples, and the keyframes' number, first and last byte range
-    and CRC of all ranges, of the first track."""
+    """Codec, kind, duration, samples, and the keyframes' number, first and last byte range,
+    CRC of all ranges and CRC of the bytes in them, of the first track."""
     t = tracks(data)[0]
     keys = t.keyframes()
+    inside, view = 0, memoryview(data)
+    for a, b in keys.tolist():
+        inside = zlib.crc32(view[a:b], inside)
     edge = lambda i: f"{keys[i, 0]}-{keys[i, 1]}" if len(keys) else "-"
-    return f"codec={t.codec.strip()};kind={t.kind};seconds={t.duration():.6f};samples={len(t.sizes)};keyframes={len(keys)};first={edge(0)};last={edge(-1)};ranges={zlib.crc32(keys.astype('<i8').tobytes())}"
+    return f"codec={t.codec.strip()};kind={t.kind};seconds={t.duration():.6f};samples={len(t.sizes)};keyframes={len(keys)};first={edge(0)};last={edge(-1)};ranges={zlib.crc32(keys.astype('<i8').tobytes())};bytes={inside}"
 
 
 # ------------------------------------------------------------------ on DataFrames

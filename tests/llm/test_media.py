@@ -70,3 +70,25 @@ def test_describe_keeps_columns_and_names_errors(spark):
     starts = np.array(got[1].tracks[0].key_starts)
     assert (np.diff(starts) == 64 * 576).all()
     assert all(got[i].error for i in (2, 3, 4))
+
+
+def test_odd_boxes_are_errors_and_no_crash(spark):
+    nested = b""
+    for _ in range(3000):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+    stored = media.wrap(media.pad(b"abc\n" * 500))
+    at = stored.index(b"stsz")
+    many = stored[: at + 8] + struct.pack(">II", 1, 2**32 - 1) + stored[at + 16 :]
+    longer = stored[: at + 8] + struct.pack(">II", 0, 2**31) + stored[at + 16 :]
+    at = stored.index(b"stsc")
+    runs = stored[: at + 12] + struct.pack(">II", 2**31, 2**32 - 1) + stored[at + 20 :]
+    rows = [(i, x) for i, x in enumerate((nested, many, longer, runs, stored))]
+    got = {r.i: r for r in media.describe(spark.createDataFrame(rows, "i int, content binary")).collect()}
+    assert [bool(got[i].error) for i in range(5)] == [True, True, True, True, False]
+    assert got[0].error == "no track" and got[4].tracks[0].samples == 4
+
+
+def test_features_follow_the_content():
+    of = lambda t: media.feature(media.wrap(media.pad(t)))
+    assert of(b"abc") != of(b"xyz") and of(b"abc") == of(b"abc")
+    assert of(b"a" * 2000) != of(b"a" * 100 + b"\n" + b"a" * 1899)
