@@ -13,8 +13,9 @@ doc_id. Documents lie in shards of bounded bytes (:mod:`shards`), wherever they
    Larsson-Sadakane refinement and Kasai's common prefixes; a class of suffixes that
    share 50 bytes is one string, with the smallest doc_id that has it in the shard.
 3. Merging. Shards ask about each such string once, by two independent 64-bit hashes, and
-   learn the smallest doc_id of all; a shard finds the answers to its sorted classes by
-   binary search.
+   learn the smallest doc_id of all; answers come with the places of their questions. This
+   departs from a merge of sorted classes by binary search over their bytes: strings of
+   different shards are compared by hashes alone.
 
 What is shuffled grows with the input: 24 bytes for each 14 windows and for each distinct
 string that is left, an answer where it tells something new, and the texts once a phase.
