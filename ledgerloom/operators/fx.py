@@ -139,31 +139,51 @@ def convert_expenses(expense: DataFrame, legs: DataFrame, currency: DataFrame, b
 
 
 def history(archive: DataFrame, base: str, quote: str, cap: int = HISTORY) -> DataFrame:
-    """Newest days first, at most ``cap`` lines: the pair's own rates (one per day and
-    source; manual and cross rows each), else EUR crosses on days when a leg changed."""
-    num = archive.withColumn("num", rate_num(F.col("rate")))
-    own = num.where(((F.col("base") == base) & (F.col("quote") == quote)) | ((F.col("base") == quote) & (F.col("quote") == base)))
-    single = own.where(F.col("source").isin(*NOT_LOOKED_UP))
-    daily = newest_per_day(own.where(~F.col("source").isin(*NOT_LOOKED_UP)))
-    forward = F.col("base") == base
+    """:func:`histories` of one pair."""
+    pair = archive.sparkSession.range(1).select(F.lit(base).alias("from_cur"), F.lit(quote).alias("to_cur"))
+    return histories(archive, pair, cap).drop("from_cur", "to_cur")
+
+
+def histories(archive: DataFrame, pairs: DataFrame, cap: int = HISTORY) -> DataFrame:
+    """Rate histories of all ``pairs(from_cur, to_cur)`` at once, newest days first, at most
+    ``cap`` lines each: from_cur, to_cur, line, rate_date, fetched_at, source, num, den, legs.
+    A pair of one currency has no lines.
+
+    A pair's own rates are its provider rates, the newest per day and source, and each manual
+    and cross row. A pair without provider rates and without EUR has crosses besides, one per
+    day a leg changed: the two change streams are merged by a window over the pair. Of a leg
+    only its newest ``cap`` + 1 days can reach the list, so no more go into the merge.
+    """
+    pairs = pairs.where("from_cur <> to_cur").distinct()
     scale = F.lit(RATE_SCALE).cast("decimal(20,0)")
-    shape = lambda df: df.select("rate_date", "fetched_at", "source", F.when(forward, F.col("num")).otherwise(scale).cast("decimal(38,0)").alias("num"), F.when(forward, scale).otherwise(F.col("num")).cast("decimal(38,0)").alias("den"), F.array("id").alias("legs"))
-    lines = shape(daily.unionByName(single))
-    if PIVOT not in (base, quote):
-        legs = both_directions(archive)
-        days = legs.where(((F.col("base") == base) & (F.col("quote") == PIVOT)) | ((F.col("base") == PIVOT) & (F.col("quote") == quote))).select(F.col("rate_date").alias("day")).distinct()
-        sources = archive.select("id", F.col("source"))
-        a = rate_on(days.withColumn("from_cur", F.lit(base)).withColumn("to_cur", F.lit(PIVOT)), legs).join(sources, "id").select("day", *[F.col(c).alias(f"a_{c}") for c in ("num", "den", "id", "rate_date", "fetched_at", "source")])
-        b = rate_on(days.withColumn("from_cur", F.lit(PIVOT)).withColumn("to_cur", F.lit(quote)), legs).join(sources, "id").select("day", *[F.col(c).alias(f"b_{c}") for c in ("num", "den", "id", "rate_date", "fetched_at", "source")])
-        crossed = a.join(b, "day").select(
-            F.greatest("a_rate_date", "b_rate_date").alias("rate_date"), F.least("a_fetched_at", "b_fetched_at").alias("fetched_at"),
-            F.when(F.col("a_source") == F.col("b_source"), F.col("a_source")).otherwise(F.concat("a_source", F.lit(" + "), "b_source")).alias("source"),
-            (F.col("a_num").cast("decimal(19,0)") * F.col("b_num").cast("decimal(19,0)")).cast("decimal(38,0)").alias("num"), (F.col("a_den").cast("decimal(19,0)") * F.col("b_den").cast("decimal(19,0)")).cast("decimal(38,0)").alias("den"), F.array("a_id", "b_id").alias("legs"),
-        ).dropDuplicates(["legs"])
-        none = daily.limit(1).select(F.lit(1).alias("__own"))
-        lines = lines.unionByName(crossed.join(none, F.lit(True), "left_anti"))
-    ranked = lines.withColumn("line", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rate_date"), F.desc("fetched_at"), F.desc(F.concat_ws("+", "legs")))))
-    return ranked.where(F.col("line") <= cap)
+    wide = lambda c: c.cast("decimal(38,0)")
+    rows = archive.withColumn("n", rate_num(F.col("rate"))).where("n IS NOT NULL")
+    rest = ["rate_date", "fetched_at", "source", "id"]
+    turned = rows.select(F.col("base").alias("from_cur"), F.col("quote").alias("to_cur"), *rest, wide(F.col("n")).alias("num"), wide(scale).alias("den")).unionByName(
+        rows.select(F.col("quote").alias("from_cur"), F.col("base").alias("to_cur"), *rest, wide(scale).alias("num"), wide(F.col("n")).alias("den")))
+    mine = turned.join(pairs, ["from_cur", "to_cur"], "left_semi")
+    provided = ~F.col("source").isin(*NOT_LOOKED_UP)
+    daily = Window.partitionBy("from_cur", "to_cur", "rate_date", "source").orderBy(F.desc("fetched_at"), F.desc("id"))
+    newest = mine.where(provided).withColumn("__n", F.row_number().over(daily)).where("__n = 1").drop("__n")
+    own = newest.unionByName(mine.where(~provided)).withColumn("legs", F.array("id")).drop("id")
+
+    has = turned.where(provided).select("from_cur", "to_cur").distinct()
+    crossed = pairs.where((F.col("from_cur") != PIVOT) & (F.col("to_cur") != PIVOT)).join(has, ["from_cur", "to_cur"], "left_anti")
+    leg = newest_per_day(turned.where(provided).withColumnsRenamed({"from_cur": "base", "to_cur": "quote"}), by_source=False)
+    leg = leg.where((F.col("base") == PIVOT) | (F.col("quote") == PIVOT)).withColumn("__n", F.row_number().over(Window.partitionBy("base", "quote").orderBy(F.desc("rate_date")))).where(F.col("__n") <= cap + 1)
+    packed = F.struct("id", "rate_date", "fetched_at", "source", "num", "den")
+    into = leg.where(F.col("quote") == PIVOT).select(F.col("base").alias("from_cur"), F.col("rate_date").alias("day"), packed.alias("a"))
+    out = leg.where(F.col("base") == PIVOT).select(F.col("quote").alias("to_cur"), F.col("rate_date").alias("day"), packed.alias("b"))
+    changes = crossed.join(into, "from_cur").unionByName(crossed.join(out, "to_cur"), allowMissingColumns=True)
+    asof = Window.partitionBy("from_cur", "to_cur").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = changes.select("from_cur", "to_cur", F.last("a", ignorenulls=True).over(asof).alias("a"), F.last("b", ignorenulls=True).over(asof).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    met = met.withColumn("legs", F.array("a.id", "b.id")).dropDuplicates(["from_cur", "to_cur", "legs"])
+    product = lambda c: wide(F.col(f"a.{c}").cast("decimal(19,0)") * F.col(f"b.{c}").cast("decimal(19,0)"))
+    lines = met.select(
+        "from_cur", "to_cur", F.greatest("a.rate_date", "b.rate_date").alias("rate_date"), F.least("a.fetched_at", "b.fetched_at").alias("fetched_at"),
+        F.when(F.col("a.source") == F.col("b.source"), F.col("a.source")).otherwise(F.concat("a.source", F.lit(" + "), "b.source")).alias("source"), product("num").alias("num"), product("den").alias("den"), "legs")
+    ranked = Window.partitionBy("from_cur", "to_cur").orderBy(F.desc("rate_date"), F.desc("fetched_at"), F.desc(F.concat_ws("+", "legs")))
+    return own.unionByName(lines).withColumn("line", F.row_number().over(ranked)).where(F.col("line") <= cap)
 
 
 def fill_from_fallback(primary: DataFrame, fallback: DataFrame, archive: DataFrame, primary_source: str, primary_failed: bool) -> DataFrame:

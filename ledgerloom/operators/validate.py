@@ -75,6 +75,19 @@ def strangers(payment: DataFrame, expense: DataFrame, member: DataFrame) -> Data
     return payment.join(expense.select("expense_id", "group_id"), "expense_id").join(member, ["group_id", "person_id"], "left_anti").select("expense_id", "person_id")
 
 
+def missing_reference(df: DataFrame, target: DataFrame, column: str, target_column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` names nothing in ``target``; NULL names nothing and
+    needs nothing, so it passes."""
+    live = target.select(F.col(target_column).alias(column))
+    return df.where(F.col(column).isNotNull()).join(live, column, "left_anti")
+
+
+def receipts_held_twice(expense: DataFrame) -> DataFrame:
+    """(receipt_id, held): receipts that more than one live expense holds. ``expense``:
+    (expense_id, receipt_id), live ones."""
+    return expense.where("receipt_id IS NOT NULL").groupBy("receipt_id").agg(F.countDistinct("expense_id").alias("held")).where("held > 1")
+
+
 def valid_digits(kind: Column, digits: Column) -> Column:
     d = blank_to_null(digits)
     return d.isNull() | ((kind == "card") & d.rlike("^[0-9]{4}$"))

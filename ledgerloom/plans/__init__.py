@@ -3,7 +3,7 @@
 
 def all_queries() -> tuple[dict, dict]:
     """(queries by name, SQL by name)."""
-    from . import core, feeds, ledger, receipt_items, receipts, text  # noqa: F401
+    from . import core, feeds, ledger, methods, receipt_items, receipts, text  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

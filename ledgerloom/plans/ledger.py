@@ -10,6 +10,7 @@ from ..operators import breakdown as bd
 from ..operators import cash, fx, translation
 from ..operators import timeline as tl
 from ..operators import validate as val
+from ..operators.numbering import lines_by_bucket, lines_of_all
 from .core import ALL_VIEWS, BASED, IN_BASE, RATE, SHARES, all_shares, based, legs, payments_in_base
 from .registry import half_even_sql, query
 from .views import Views
@@ -172,8 +173,9 @@ def tl5(v: Views) -> DataFrame:
 @query("TL7_method_statement", "SELECT payment_method_id, expense_id, person_id, amount_minor, row_number() OVER (PARTITION BY payment_method_id ORDER BY occurred_at[:19]::TIMESTAMP - to_hours(occurred_at[22:22]::INT) DESC, expense_id DESC, person_id DESC) AS line FROM expense_payment JOIN expense USING (expense_id) WHERE payment_method_id IS NOT NULL", "expense expense_payment")
 def tl7(v: Views) -> DataFrame:
     df = v.expense_payment.where("payment_method_id IS NOT NULL").join(v.expense.select("expense_id", tl.instant(F.col("occurred_at")).alias("at")), "expense_id")
-    w = Window.partitionBy("payment_method_id").orderBy(F.desc("at"), F.desc("expense_id"), F.desc("person_id"))
-    return df.select("payment_method_id", "expense_id", "person_id", "amount_minor", F.row_number().over(w).alias("line"))
+    hour = -F.floor(F.unix_seconds("at") / 3600)
+    df = df.select("payment_method_id", "expense_id", "person_id", "amount_minor", "at")
+    return lines_by_bucket(df, ["payment_method_id"], hour, [F.desc("at"), F.desc("expense_id"), F.desc("person_id")]).drop("at")
 
 
 @query("TOP1_latest_expenses", "SELECT expense_id, total_minor FROM expense ORDER BY occurred_date DESC, expense_id DESC LIMIT 10", "expense")
@@ -375,12 +377,12 @@ def srt5(v: Views) -> DataFrame:
 @query("SRT6_methods", "SELECT m.method_id, n.n AS uses, row_number() OVER (ORDER BY m.archived, m.name) AS line FROM method m LEFT JOIN (SELECT payment_method_id, count(*) AS n FROM expense_payment GROUP BY 1) n ON n.payment_method_id = m.method_id", "method expense_payment")
 def srt6(v: Views) -> DataFrame:
     n = v.expense_payment.groupBy(F.col("payment_method_id").alias("method_id")).agg(F.count("*").alias("uses"))
-    return v.method.join(n, "method_id", "left").select("method_id", "uses", F.row_number().over(Window.orderBy("archived", "name")).alias("line"))
+    return lines_of_all(v.method.join(n, "method_id", "left"), [F.col("archived"), F.col("name"), F.col("method_id")]).select("method_id", "uses", "line")
 
 
 @query("SRT7_groups", "SELECT group_id, row_number() OVER (ORDER BY group_id DESC) AS line FROM (SELECT DISTINCT group_id FROM expense)", "expense")
 def srt7(v: Views) -> DataFrame:
-    return v.expense.select("group_id").distinct().select("group_id", F.row_number().over(Window.orderBy(F.desc("group_id"))).alias("line"))
+    return lines_of_all(v.expense.select("group_id").distinct(), [F.desc("group_id")]).select("group_id", "line")
 
 
 @query("SET1_union", "SELECT expense_id, person_id FROM expense_share UNION SELECT expense_id, person_id FROM line_item_assignment", "expense_share line_item_assignment")

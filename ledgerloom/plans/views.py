@@ -82,6 +82,16 @@ SELECT event_id AS id, lpad(cast(user_id AS varchar(20)), 8, '0') AS person_id,
 FROM events""",
     "method": """
 SELECT * FROM (VALUES ('m1', 'card', 'Visa', 1.75, 50, 'EUR', false), ('m2', 'cash', 'Cash', NULL, NULL, NULL, false), ('m3', 'card', 'Old', 2.00, 0, 'USD', true)) AS t(method_id, kind, name, foreign_percent, fixed_minor, fixed_currency, archived)""",
+    "wallet": f"""
+SELECT concat('w', {PERSON.format('c_custkey')}) AS method_id, CASE c_custkey % 3 WHEN 0 THEN 'cash' ELSE 'card' END AS kind, concat(c_mktsegment, ' ', cast(c_custkey % 4 AS varchar(20))) AS name,
+       CASE WHEN c_custkey % 29 = 4 THEN NULL ELSE {PERSON.format('c_custkey - c_custkey % 4')} END AS owner, c_custkey % 5 = 2 AS archived, c_custkey % 23 = 6 AS deleted FROM customer""",
+    "category": """
+SELECT p_partkey AS category_id, p_name AS name, p_size % 7 AS sort_order, p_partkey % 3 = 0 AS is_default, p_partkey % 13 = 4 AS deleted FROM part""",
+    "withdrawal": """
+SELECT c.id, c.person_id, c.currency, c.amount_minor, c.occurred_ts, CASE c.id % 3 WHEN 0 THEN 'm2' ELSE 'm1' END AS payment_method_id, r.id AS fx_rate_id
+FROM [cash_movement] c LEFT JOIN (SELECT id, quote, row_number() OVER (PARTITION BY quote ORDER BY id) - 1 AS nth FROM [exchange_rate] x) r
+ON r.nth = c.id % 40 AND c.id % 4 <> 1 AND r.quote = CASE WHEN c.currency = 'EUR' OR c.id % 8 = 3 THEN 'USD' ELSE c.currency END
+WHERE c.kind = 'withdrawal'""",
     "translation": """
 SELECT source_lang, target_lang, source_text, translated_text, from_user, updated_at FROM (
   SELECT CASE WHEN p_partkey % 5 < 3 THEN 'de' WHEN p_partkey % 5 = 3 THEN 'fr' ELSE 'und' END AS source_lang, 'en' AS target_lang, p_name AS source_text, concat(p_type, '-', cast(p_partkey AS varchar(20))) AS translated_text, p_partkey % 3 = 0 AS from_user, p_partkey AS updated_at,

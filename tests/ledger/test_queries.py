@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["MON1_from_major", "FX3_chain", "FX9_money_text", "FXR4_rate_near", "FXR6_resolve", "FXR7_crossed_history", "FXR8_convert_expenses", "SPL2_rescale", "SPL9_itemised", "SPL15_split_line", "BAL2_summary", "BAL5_expense_flows", "AGG1_by_category", "AGG5_arcs", "TL1_timeline", "TL3_search", "CASH2_counterpart", "WIN6_count_corrections", "JN10_full_outer", "SET5_toggle", "VAL1_payments", "TM1_lookup", "SRC2_rate_rows", "SRC5_fragments_tsv", "SRC7_truth", "SRC8_records", "ST1_rate_ingest", "ST2_live_conversion", "JN7_self_join", "JN8_as_of", "JN12_shared_elements", "WIN4_nearest_above", "ST3_cash_balances", "SNK1_archive", "RC9_lines", "RC10_receipts", "RC11_added_tax", "RC12_yen_marks", "RC12_counts_as_yen", "RC12_misread_price", "RC12_above_date", "RC13_item_kind", "RC14_attach", "RC15_lone_amounts", "RC17_vat_lines"]
+CHOSEN = ["MON1_from_major", "FX3_chain", "FX9_money_text", "FXR4_rate_near", "FXR6_resolve", "FXR7_crossed_history", "FXR8_convert_expenses", "SPL2_rescale", "SPL9_itemised", "SPL15_split_line", "BAL2_summary", "BAL5_expense_flows", "AGG1_by_category", "AGG5_arcs", "TL1_timeline", "TL3_search", "CASH2_counterpart", "WIN6_count_corrections", "JN10_full_outer", "SET5_toggle", "VAL1_payments", "TM1_lookup", "SRC2_rate_rows", "SRC5_fragments_tsv", "SRC7_truth", "SRC8_records", "ST1_rate_ingest", "ST2_live_conversion", "JN7_self_join", "JN8_as_of", "JN12_shared_elements", "WIN4_nearest_above", "ST3_cash_balances", "SNK1_archive", "RC9_lines", "RC10_receipts", "RC11_added_tax", "RC12_yen_marks", "RC12_counts_as_yen", "RC12_misread_price", "RC12_above_date", "RC13_item_kind", "RC14_attach", "RC15_lone_amounts", "RC17_vat_lines", "FLT2_own_methods", "FLT7_card_fits", "FLT3_active_group", "SRT6_methods", "SRT6_all_methods", "SRT7_categories", "WIN3_method_by_kind", "WIN10_time_of_dated_row", "TL7_method_statement", "TL7_method_payments", "FXR7_history", "FXR7_all_pairs", "VAL7_foreign_participants", "VAL7_dead_categories", "VAL7_receipts_held_twice"]
 
 
 @pytest.fixture(scope="module")
