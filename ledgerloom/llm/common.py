@@ -104,6 +104,19 @@ def running_start(df: DataFrame, group: list[str], bucket: Column, order: list[C
     return joined.withColumn(out, F.col(base) + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop(b, base)
 
 
+def range_start(df: DataFrame, order: list[Column], size: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``size`` over all rows that come earlier in ``order``, which must
+    tell rows apart. Ranges of the order, which Spark draws evenly, are written once with their
+    numbers; their sums are few rows, and a range is one task's work."""
+    rows = df.count()
+    ranged = df.repartitionByRange(partitions_for(df, 200_000, rows), *order).withColumn("__range", F.spark_partition_id())
+    written = materialize(ranged, "ranges")
+    per = written.groupBy("__range").agg(F.sum(size).alias("__sum"))
+    per = per.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return written.join(per, "__range").withColumn(out, F.col("__base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("__range", "__base")
+
+
 # ------------------------------------------------------------------ connected components
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges(a, b)`` can reach.

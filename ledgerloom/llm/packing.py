@@ -6,8 +6,13 @@ next window. What a window owes a queue, a part of a token, is a deficit that la
 pay back, whatever partition their documents lie in: after any number of windows a queue
 has had its share of all tokens to within one. A queue that runs dry gives its rest at
 once, and the others share its place. By default a source's target share is its share of
-all tokens, so that all run dry together; give ``shares`` for other proportions. Sources
-with less than ``POOL`` tokens a window share one queue, in which they are mixed by hash.
+all tokens, so that all run dry together; give ``shares`` for other proportions.
+
+However many sources there are, each has its deficit. Sources of less than ``POOL`` tokens a
+window take turns in one queue, which has all their shares: their documents are cut into runs
+of ``RUN`` tokens, and a run's turn is the tokens its source has had by its middle, over the
+source's share. So a window isn't cut into pieces of a token or two, and what a small source
+is owed is never more than a few runs.
 
 Nothing of this is sequential: how many tokens of each queue lie before a place on the line
 of windows has a closed form (:class:`Rounds`), and a document's place in its queue is a
@@ -32,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, running_start
+from .common import materialize, range_start, running_start
 
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python worker keeps; it starts anew beyond that.
 CACHE = 400_000
-#: Tokens of a window below which a source has no queue of its own; so there are at most
+#: Tokens of a window below which sources take turns in one queue; so there are at most
 #: WINDOW / POOL + 2 queues, however many sources.
 POOL = 8
+#: Tokens of a small source's turn.
+RUN = 32
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -255,8 +262,9 @@ class Rounds:
 
 
 def queued(tokens: DataFrame, window: int = WINDOW, shares: DataFrame | None = None, rows_each: int = 20_000) -> tuple[DataFrame, dict[tuple, int], Rounds]:
-    """Of ``tokens(row, doc_id, source, n_tokens)``: (row, kind, name, before), the queue of
-    each document and the tokens before it there; the queues' numbers; the rounds.
+    """Of ``tokens(row, doc_id, source, n_tokens)``: (row, kind, name, at, size, before), the
+    queue of each document, or of each run of a small source's documents, and the tokens
+    before it there; the queues' numbers; the rounds.
 
     ``shares(source, share)``: target shares of a window; a source without one comes after
     all that have one.
@@ -268,21 +276,35 @@ def queued(tokens: DataFrame, window: int = WINDOW, shares: DataFrame | None = N
     else:
         plan = whole.alias("w").join(shares.alias("s"), F.expr("w.source <=> s.source"), "left").select("w.source", "total", F.coalesce("s.share", F.lit(0.0)).alias("share"))
     kind = F.when(F.col("share") * window >= POOL, 0).when(F.col("share") > 0, 1).otherwise(2)
-    plan = materialize(plan.withColumn("kind", kind).withColumn("name", F.when(F.col("kind") == 0, F.col("source"))), "shares")
+    plan = materialize(plan.withColumn("kind", kind), "shares")
+    small = plan.where("kind = 1").agg(F.sum("share")).first()[0] or 0.0
+    if 0 < small * window < 1:
+        # the small ones have no token of each window: the smallest queue takes turns with them
+        least = plan.where("kind = 0").agg(F.min(F.struct("share", "source"))).first()[0]
+        if least is not None:
+            plan = plan.withColumn("kind", F.when(F.col("source").eqNullSafe(F.lit(least.source)), 1).otherwise(F.col("kind")))
+    plan = plan.withColumn("name", F.when(F.col("kind") == 0, F.col("source")))
     # at most window / POOL + 2 rows
     rows = plan.groupBy("kind", "name").agg(F.sum("total").alias("total"), F.sum("share").alias("share")).orderBy("kind", F.col("name").asc_nulls_last()).collect()
     index = {(r.kind, r.name): i for i, r in enumerate(rows)}
     totals = [r.total for r in rows]
     weights = totals if shares is None else [round(r.share * (1 << 40)) for r in rows]
-    # a pool of less than a token a window comes last
+    # shares that are less than a token a window all in all come last
     rounds = Rounds(totals, [w if r.share * window >= 1 else 0 for w, r in zip(weights, rows, strict=True)], window)
-    named = tokens.alias("t").join(plan.alias("p"), F.expr("t.source <=> p.source")).select("t.row", "t.doc_id", "t.n_tokens", "p.kind", "p.name")
+    named = tokens.alias("t").join(plan.alias("p"), F.expr("t.source <=> p.source")).select("t.row", "t.doc_id", "t.source", "t.n_tokens", "p.kind", "p.name", "p.share")
     # a queue is in the order of a hash, so that its parts are alike and none is large
-    named = named.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens"))
+    named = named.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens", "row"))
     buckets = max(64, -(-tokens.count() // rows_each))
     order = [F.col("mixed"), F.col("doc_id"), F.col("n_tokens"), F.col("row")]
-    started = running_start(named, ["kind", "name"], F.pmod(F.shiftrightunsigned("mixed", 40), F.lit(buckets)), order, "n_tokens", "before")
-    return started.select("row", "kind", "name", "before"), index, rounds
+    by_hash = F.pmod(F.shiftrightunsigned("mixed", 40), F.lit(buckets))
+    plain = running_start(named.where("kind <> 1"), ["kind", "name"], by_hash, order, "n_tokens", "before").select("row", "kind", "name", F.lit(0).cast("long").alias("at"), F.col("n_tokens").alias("size"), "before")
+    if (1, None) not in index:
+        return plain, index, rounds
+    runs = running_start(named.where("kind = 1"), ["source"], by_hash, order, "n_tokens", "had")
+    runs = runs.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(RUN).cast("long")))).withColumn("size", F.least(F.lit(RUN).cast("long"), F.col("n_tokens") - F.col("at")))
+    runs = runs.withColumn("turn", (F.col("had") + F.col("at") + F.col("size") / 2) / F.col("share")).select("row", "kind", "name", "at", "size", "turn", "mixed")
+    turns = range_start(runs, [F.col("turn"), F.col("mixed"), F.col("row"), F.col("at")], "size", "before")
+    return plain.unionByName(turns.select(*plain.columns)), index, rounds
 
 
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shares: DataFrame | None = None, end_id: int = END_ID) -> DataFrame:
@@ -291,24 +313,28 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shares:
     path = path or tokenizer_path()
     tokens = materialize(tokenize(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
     started, index, rounds = queued(tokens.select("row", "doc_id", "source", "n_tokens"), window, shares)
-    joined = tokens.join(materialize(started, "queues"), "row").select("doc_id", "source", "n_tokens", "wide", "ids", "kind", "name", "before")
+    # a document's runs lie together: at most one for each RUN of its tokens
+    queues = materialize(started, "queues").groupBy("row", "kind", "name").agg(F.sort_array(F.collect_list(F.struct("at", "size", "before"))).alias("runs"))
+    joined = tokens.join(queues, "row").select("doc_id", "source", "n_tokens", "wide", "ids", "kind", "name", F.col("runs.at").alias("at"), F.col("runs.size").alias("size"), F.col("runs.before").alias("before"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "source", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:
             out: list[list] = [[] for _ in names]
-            size = 0
-            for doc_id, source, n, wide, blob, kind, name, before in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            held = 0
+            for doc_id, source, n, wide, blob, kind, name, *runs in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 ids = np.frombuffer(blob, "<u4" if wide else "<u2").astype("<u4")
-                for start, length, sequence, offset in rounds.pieces(index[kind, name], before, n):
+                queue = index[kind, name]
+                parts = ((at + start, *rest) for at, size, before in zip(*runs, strict=True) for start, *rest in rounds.pieces(queue, before, size))
+                for start, length, sequence, offset in parts:
                     raw = ids[start : start + length].tobytes()
                     for col, v in zip(out, (doc_id, source, start, length, raw, zlib.crc32(raw), n, sequence, offset), strict=True):
                         col.append(v)
-                    size += len(raw)
-                if size > 4 << 20:
+                    held += len(raw)
+                if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-                    out, size = [[] for _ in names], 0
+                    out, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return joined.mapInArrow(cut, "doc_id long, source string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

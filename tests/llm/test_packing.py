@@ -101,6 +101,34 @@ def test_many_small_sources_share_a_queue_and_no_share_comes_last(spark):
     assert min(r.sequence_id for r in late if r.source == "big") >= max(r.sequence_id for r in late if r.source == "s1")
 
 
+def test_each_of_many_small_sources_has_its_share_all_along(spark):
+    # 900 sources of very different documents, one in three of them a long one
+    rows = [(i, "word " * (400 if i % 3 == 0 else 20 + i % 40), "en", f"s{i % 900}", 1) for i in range(5400)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS)).collect()
+    total, whole, had = _mix(got), defaultdict(int), defaultdict(int)
+    for _, text, _, source, _ in rows:
+        whole[source] += text.count("word") + 1
+    every, worst = sum(whole.values()), 0.0
+    for k in range(len(total) - 1):
+        assert sum(total[k].values()) == 2048
+        for s, n in whole.items():
+            had[s] += total[k][s]
+            worst = max(worst, abs(had[s] - 2048 * (k + 1) * n / every))
+    assert worst <= 2 * packing.RUN, worst
+    back = defaultdict(int)
+    for r in got:
+        back[r.source] += r.length
+    assert back == whole
+
+
+def test_a_small_source_takes_turns_with_the_smallest_queue(spark):
+    rows = [(i, "word " * 2000, "en", "ab"[i % 2], 1) for i in range(40)] + [(99, "tiny words here", "en", "c", 1)]
+    shares = spark.createDataFrame([("a", 0.9), ("b", 0.09999), ("c", 0.00001)], "source string, share double")
+    got = packing.pack(spark.createDataFrame(rows, DOCS), shares=shares).collect()
+    assert sum(r.length for r in got) == sum(len(r[1].split()) + 1 for r in rows)
+    assert min(r.sequence_id for r in got if r.source == "b") == 0
+
+
 def test_rounds_give_every_token_once():
     import random
 
