@@ -72,7 +72,7 @@ def first_days(items: DataFrame, group: list[str], days: int = 20) -> DataFrame:
 
 def payers_text(payment: DataFrame, person: DataFrame, method: DataFrame) -> DataFrame:
     """(expense_id, payers): "Anna (Visa), Ben" in person order; deleted names stay."""
-    named = payment.join(person.select("person_id", "name"), "person_id", "left").join(F.broadcast(method.select(F.col("method_id").alias("payment_method_id"), F.col("name").alias("method"))), "payment_method_id", "left")
+    named = payment.join(person.select("person_id", "name"), "person_id", "left").join(method.select(F.col("method_id").alias("payment_method_id"), F.col("name").alias("method")), "payment_method_id", "left")
     text = F.concat("name", F.when(F.col("method").isNotNull(), F.concat(F.lit(" ("), "method", F.lit(")"))).otherwise(""))
     return named.groupBy("expense_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("person_id", text.alias("t")))), lambda x: x["t"]), ", ").alias("payers"))
 
