@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .debt_circles import cancel_cycles
+
 
 def balances(paid: DataFrame, consumed: DataFrame, settlements: DataFrame, keys: list[str]) -> DataFrame:
     """paid, consumed, settled_out, settled_in and balance per ``keys`` and person.
@@ -138,59 +138,5 @@ def pairwise_net(flows: DataFrame, settlements: DataFrame) -> DataFrame:
     return net.select("group_id", F.when(up, F.col("low")).otherwise(F.col("high")).alias("from_person"), F.when(up, F.col("high")).otherwise(F.col("low")).alias("to_person"), F.abs("net").alias("amount_minor"))
 
 
-def _first_cycle(edges: dict[str, dict[str, int]]) -> list[str] | None:
-    """The first circle that a depth-first walk in person order meets."""
-    done: set[str] = set()
-    for start in sorted(edges):
-        path: list[str] = []
-        on: dict[str, int] = {}
-        stack: list[tuple[str, Iterator[str]]] = []
-        if start in done:
-            continue
-        stack.append((start, iter(sorted(edges.get(start, {})))))
-        on[start] = 0
-        path.append(start)
-        while stack:
-            node, rest = stack[-1]
-            for nxt in rest:
-                if nxt in on:
-                    return path[on[nxt] :]
-                if nxt not in done:
-                    on[nxt] = len(path)
-                    path.append(nxt)
-                    stack.append((nxt, iter(sorted(edges.get(nxt, {})))))
-                    break
-            else:
-                stack.pop()
-                path.pop()
-                del on[node]
-                done.add(node)
-    return None
-
-
-def cancel_cycles(net: DataFrame) -> DataFrame:
-    """Debts without circles: the smallest debt of each circle is taken off all of it. One
-    group is one task's work; groups of fewer than three debts pass by."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges: dict[str, dict[str, int]] = {}
-        for a, b, m in zip(pdf["from_person"], pdf["to_person"], pdf["amount_minor"], strict=True):
-            edges.setdefault(a, {})[b] = int(m)
-        while len(edges) and (cycle := _first_cycle(edges)):
-            pairs = list(zip(cycle, [*cycle[1:], cycle[0]], strict=True))
-            least = min(edges[a][b] for a, b in pairs)
-            for a, b in pairs:
-                edges[a][b] -= least
-                if not edges[a][b]:
-                    del edges[a][b]
-        rows = [(pdf["group_id"].iloc[0], a, b, m) for a, out in sorted(edges.items()) for b, m in sorted(out.items())]
-        return pd.DataFrame(rows, columns=["group_id", "from_person", "to_person", "amount_minor"])
-
-    counted = net.withColumn("n", F.count("*").over(Window.partitionBy("group_id")))
-    kind = dict(net.dtypes)["group_id"]
-    long = counted.where("n >= 3").drop("n").groupBy("group_id").applyInPandas(run, f"group_id {kind}, from_person string, to_person string, amount_minor long")
-    return counted.where("n < 3").drop("n").unionByName(long)
-
-
 def pairwise_debts(flows: DataFrame, settlements: DataFrame) -> DataFrame:
     return cancel_cycles(pairwise_net(flows, settlements))
