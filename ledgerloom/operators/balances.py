@@ -9,26 +9,31 @@ from pyspark.sql import functions as F
 from .debt_circles import cancel_cycles
 
 
-def balances(paid: DataFrame, consumed: DataFrame, settlements: DataFrame, keys: list[str]) -> DataFrame:
+def balances_of_parts(parts: DataFrame, settlements: DataFrame, keys: list[str]) -> DataFrame:
     """paid, consumed, settled_out, settled_in and balance per ``keys`` and person.
 
-    ``paid`` and ``consumed`` have (keys, person_id, base_minor); ``settlements`` (keys,
-    from_person, to_person, amount_minor). One union, one shuffle, partial sums first.
+    ``parts`` has (keys, person_id, kind, base_minor), ``kind`` being ``paid`` or ``consumed``;
+    ``settlements`` (keys, from_person, to_person, amount_minor). One union, one shuffle,
+    partial sums first.
     """
-    zero = F.lit(0).cast("bigint")
+    kinds = ("paid", "consumed", "settled_out", "settled_in")
 
-    def fact(df: DataFrame, person: str, amount: str, column: str) -> DataFrame:
-        cols = ["paid", "consumed", "settled_out", "settled_in"]
-        return df.select(*keys, F.col(person).alias("person_id"), *[(F.col(amount).cast("bigint") if c == column else zero).alias(c) for c in cols])
+    def side(person: str, kind: str) -> DataFrame:
+        return settlements.select(*keys, F.col(person).alias("person_id"), F.lit(kind).alias("kind"), F.col("amount_minor").cast("bigint").alias("base_minor"))
 
-    every = (
-        fact(paid, "person_id", "base_minor", "paid").unionByName(fact(consumed, "person_id", "base_minor", "consumed"))
-        .unionByName(fact(settlements, "from_person", "amount_minor", "settled_out")).unionByName(fact(settlements, "to_person", "amount_minor", "settled_in"))
-    )
-    out = every.groupBy(*keys, "person_id").agg(*[F.sum(c).alias(c) for c in ("paid", "consumed", "settled_out", "settled_in")])
+    every = parts.select(*keys, "person_id", "kind", F.col("base_minor").cast("bigint").alias("base_minor")).unionByName(side("from_person", "settled_out")).unionByName(side("to_person", "settled_in"))
+    zero = F.lit(0).cast("bigint")
+    out = every.groupBy(*keys, "person_id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("base_minor")).otherwise(zero)).alias(k) for k in kinds])
     return out.withColumn("balance", F.col("paid") - F.col("consumed") + F.col("settled_out") - F.col("settled_in"))
 
 
+def balances(paid: DataFrame, consumed: DataFrame, settlements: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`balances_of_parts` where paid and consumed are two tables of (keys, person_id,
+    base_minor)."""
+    part = lambda df, kind: df.select(*keys, "person_id", F.lit(kind).alias("kind"), "base_minor")
+    return balances_of_parts(part(paid, "paid").unionByName(part(consumed, "consumed")), settlements, keys)
+
+
 def with_members(found: DataFrame, member: DataFrame) -> DataFrame:
     """All members, also those without spending, and spenders who left."""
     zeros = {c: 0 for c in ("paid", "consumed", "settled_out", "settled_in", "balance")}

@@ -1,7 +1,7 @@
 """Rate archive: cleaning, as-of lookups, crosses, history, conversion.
 
-``archive``: (id, base, quote, rate, rate_date, fetched_at, source). Lookups work on
-validity intervals per ordered pair: an equi-join on the pair with a range on the day.
+``archive``: (id, base, quote, rate, rate_date, fetched_at, source). Lookups merge the days
+asked for with the days that have a rate, pair by pair, so their work is linear in both.
 """
 
 from __future__ import annotations
@@ -43,29 +43,35 @@ def newest_per_day(archive: DataFrame, *, by_source: bool = True) -> DataFrame:
     return archive.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("fetched_at"), F.desc("id")))).where("__n = 1").drop("__n")
 
 
-def intervals(legs: DataFrame) -> DataFrame:
-    """Newest rate per pair and day with ``valid_to`` (the next day that has one, or NULL)
-    and ``is_first`` for the pair's earliest day."""
-    w = Window.partitionBy("base", "quote").orderBy("rate_date")
-    df = newest_per_day(legs, by_source=False)
-    return df.withColumn("valid_to", F.lead("rate_date").over(w)).withColumn("is_first", F.row_number().over(w) == 1)
+FOUND = ("num", "den", "id", "rate_date", "fetched_at")
+
+
+def _as_of(wanted: DataFrame, legs: DataFrame, day: str) -> DataFrame:
+    """(from_cur, to_cur, day, on, first) of each wanted pair and day: the rate on or before
+    the day, and the pair's earliest one. Days asked for and days with a rate are merged by a
+    window over the pair; each day is there once, however many rows ask for it."""
+    asked = wanted.select("from_cur", "to_cur", F.col(day).cast("date").alias(day)).distinct()
+    rate = newest_per_day(legs, by_source=False).select(F.col("base").alias("from_cur"), F.col("quote").alias("to_cur"), F.col("rate_date").alias(day), F.struct(*FOUND).alias("__rate"))
+    pair = Window.partitionBy("from_cur", "to_cur").orderBy(day)
+    past = pair.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ever = pair.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = asked.withColumn("__asked", F.lit(True)).unionByName(rate, allowMissingColumns=True)
+    known = merged.withColumn("__on", F.last("__rate", ignorenulls=True).over(past)).withColumn("__first", F.first("__rate", ignorenulls=True).over(ever))
+    return known.where(F.col("__asked") & F.col(day).isNotNull()).select("from_cur", "to_cur", day, "__on", "__first")
 
 
 def rate_on(wanted: DataFrame, legs: DataFrame, day: str = "day") -> DataFrame:
-    """``wanted(from_cur, to_cur, day, ...)`` left-joined with the rate on or before the day."""
-    r = intervals(legs).select("base", "quote", "num", "den", "id", "rate_date", "fetched_at", "valid_to")
-    hit = (F.col("from_cur") == F.col("base")) & (F.col("to_cur") == F.col("quote")) & (F.col(day) >= F.col("rate_date")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to")))
-    return wanted.join(r, hit, "left").drop("base", "quote", "valid_to")
+    """``wanted(from_cur, to_cur, day, ...)`` left-joined with the rate on or before the day;
+    a NULL day or an unknown pair finds none."""
+    df = wanted.join(_as_of(wanted, legs, day), ["from_cur", "to_cur", day], "left")
+    return df.select(*wanted.columns, *[F.col(f"__on.{c}").alias(c) for c in FOUND])
 
 
 def rate_near(wanted: DataFrame, legs: DataFrame, day: str = "day") -> DataFrame:
     """As :func:`rate_on`; where there is none, the earliest later rate, with ``later``."""
-    on = rate_on(wanted, legs, day)
-    first = intervals(legs).where("is_first").select(F.col("base").alias("from_cur"), F.col("quote").alias("to_cur"), *[F.col(c).alias(f"first_{c}") for c in ("num", "den", "id", "rate_date", "fetched_at")])
-    df = on.join(first, ["from_cur", "to_cur"], "left").withColumn("later", F.col("rate_date").isNull() & F.col("first_rate_date").isNotNull())
-    for c in ("num", "den", "id", "rate_date", "fetched_at"):
-        df = df.withColumn(c, F.coalesce(c, f"first_{c}")).drop(f"first_{c}")
-    return df
+    df = wanted.join(_as_of(wanted, legs, day), ["from_cur", "to_cur", day], "left")
+    later = F.col("__on").isNull() & F.col("__first").isNotNull()
+    return df.select(*wanted.columns, *[F.coalesce(f"__on.{c}", f"__first.{c}").alias(c) for c in FOUND], later.alias("later"))
 
 
 def latest(legs: DataFrame) -> DataFrame:

@@ -103,6 +103,26 @@ def in_base(parts: DataFrame, expense: DataFrame, amount: str) -> DataFrame:
     return rescale(df, ["expense_id"], F.col("total_base_minor"), F.col(amount), key).drop("total_base_minor")
 
 
+def parts_in_base(shares: DataFrame, payment: DataFrame, expense: DataFrame, columns: tuple[str, ...] = ("group_id",)) -> DataFrame:
+    """What everybody consumed and paid, in one pass: (expense_id, person_id,
+    payment_method_id, kind, base_minor and ``columns`` of the expense), ``kind`` being
+    ``consumed`` or ``paid``.
+
+    Expenses whose shares have both signs, or are all zero, have no proportions and are left
+    out. All windows lie on the partitioning that the join with ``expense`` needs.
+    """
+    kinds = shares.select("expense_id", "person_id", F.lit(None).cast("string").alias("payment_method_id"), F.lit("consumed").alias("kind"), F.col("share_minor").cast("bigint").alias("__amount")).unionByName(
+        payment.select("expense_id", "person_id", "payment_method_id", F.lit("paid").alias("kind"), F.col("amount_minor").cast("bigint").alias("__amount")))
+    df = kinds.join(expense.select("expense_id", "total_base_minor", *columns), "expense_id")
+    w = Window.partitionBy("expense_id")
+    share = F.when(F.col("kind") == "consumed", F.col("__amount"))
+    df = df.withColumn("__low", F.min(share).over(w)).withColumn("__high", F.max(share).over(w))
+    none = ((F.col("__low") < 0) & (F.col("__high") > 0)) | ((F.col("__low") == 0) & (F.col("__high") == 0))
+    good = df.where(~F.coalesce(none, F.lit(False))).drop("__low", "__high")
+    out = rescale(good, ["expense_id", "kind"], F.col("total_base_minor"), F.col("__amount"), ["person_id", "payment_method_id"])
+    return out.drop("__amount", "total_base_minor")
+
+
 def split_line(items: DataFrame) -> DataFrame:
     """Each line in two: a whole quantity of 2 or more gives up one unit, others are halved.
     Lines under two units of money are refused and left out."""

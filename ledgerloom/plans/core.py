@@ -59,11 +59,25 @@ def legs(v: Views) -> DataFrame:
 
 
 def based(v: Views) -> DataFrame:
-    return v.once("based", lambda: fx.convert_expenses(v.expense, legs(v), v.currency)[0])
+    def build() -> DataFrame:
+        v.keep("expense")
+        return fx.convert_expenses(v.expense, legs(v), v.currency)[0]
+
+    return v.once("based", build)
+
+
+def itemised(v: Views) -> DataFrame:
+    v.keep("line_item", "member", "expense")
+    return split.itemised(v.expense, v.line_item, v.line_item_assignment, v.participant)
+
+
+def _shares(v: Views) -> DataFrame:
+    v.keep("line_item", "member", "expense")
+    return split.shares(v.expense, v.expense_share, v.line_item, v.line_item_assignment, v.participant)
 
 
 def all_shares(v: Views) -> DataFrame:
-    return v.once("shares", lambda: split.shares(v.expense, v.expense_share, v.line_item, v.line_item_assignment, v.participant))
+    return v.once("shares", lambda: _shares(v))
 
 
 def shares_in_base(v: Views) -> DataFrame:
@@ -74,19 +88,29 @@ def payments_in_base(v: Views) -> DataFrame:
     return v.once("payments_in_base", lambda: split.in_base(v.expense_payment, based(v), "amount_minor"))
 
 
+def parts(v: Views) -> DataFrame:
+    """Paid and consumed in the base currency, with group_id, without rejected expenses."""
+
+    def build() -> DataFrame:
+        shares = all_shares(v)  # first, since it writes the views that ``based`` stands on
+        return split.parts_in_base(shares, v.expense_payment, based(v))
+
+    return v.once("parts", build)
+
+
+def settled(v: Views) -> DataFrame:
+    return v.settlement.where("currency = 'EUR'")
+
+
 def facts(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """paid, consumed, settlements with group_id, without rejected expenses."""
-    # shares of both signs have no proportions; only itemised splits can have them
-    items = split.itemised(v.expense, v.line_item, v.line_item_assignment, v.participant)
-    bad = items.groupBy("expense_id").agg(F.min("share_minor").alias("low"), F.max("share_minor").alias("high")).where("low < 0 AND high > 0").select("expense_id")
-    group = v.expense.select("expense_id", "group_id")
-    ok = lambda df: df.join(bad, "expense_id", "left_anti").join(group, "expense_id")
-    return ok(payments_in_base(v)), ok(shares_in_base(v)), v.settlement.where("currency = 'EUR'")
+    """paid, consumed, settlements with group_id; paid and consumed are written once."""
+    parts(v)
+    v.keep("parts")
+    return parts(v).where("kind = 'paid'").drop("kind"), parts(v).where("kind = 'consumed'").drop("kind"), settled(v)
 
 
 def group_balances(v: Views) -> DataFrame:
-    paid, consumed, settled = facts(v)
-    return bal.balances(paid, consumed, settled, ["group_id"])
+    return bal.balances_of_parts(parts(v), settled(v), ["group_id"])
 
 
 # ------------------------------------------------------------------ money
@@ -341,7 +365,7 @@ def spl8(v: Views) -> DataFrame:
 
 @query("SPL9_itemised", "SELECT s.expense_id, s.person_id, s.share_minor FROM shares s JOIN expense e USING (expense_id) WHERE split_mode = 'items'", ALL_VIEWS, SHARES)
 def spl9(v: Views) -> DataFrame:
-    return split.itemised(v.expense, v.line_item, v.line_item_assignment, v.participant)
+    return itemised(v)
 
 
 @query("SPL10_participants", "SELECT expense_id, count(DISTINCT person_id) AS people FROM shares GROUP BY expense_id", ALL_VIEWS, SHARES)
@@ -427,14 +451,10 @@ ends AS (SELECT *, sum(rl) OVER (PARTITION BY expense_id, t ORDER BY f) AS re, s
 flow AS (SELECT expense_id, f AS from_person, t AS to_person, (whole + greatest(0, least(re, ce) - greatest(re - rl, ce - cl)))::BIGINT AS amount_minor FROM ends)"""
 
 
-def _fit(v: Views) -> DataFrame:
-    c = shares_in_base(v).join(based(v).where("total_base_minor > 0").select("expense_id"), "expense_id", "left_semi")
-    return c.groupBy("expense_id").agg(F.min("base_minor").alias("low"), F.count("*").alias("n"), F.count("base_minor").alias("k")).where("low >= 0 AND n = k").select("expense_id")
-
-
 def flows(v: Views) -> DataFrame:
-    fit = _fit(v)
-    return bal.expense_flows(shares_in_base(v).join(fit, "expense_id", "left_semi"), payments_in_base(v).join(fit, "expense_id", "left_semi"))
+    paid, consumed, _ = facts(v)
+    fit = consumed.join(based(v).where("total_base_minor > 0").select("expense_id"), "expense_id", "left_semi").groupBy("expense_id").agg(F.min("base_minor").alias("low")).where("low >= 0").select("expense_id")
+    return bal.expense_flows(consumed.join(fit, "expense_id", "left_semi"), paid.join(fit, "expense_id", "left_semi"))
 
 
 @query("BAL5_expense_flows", "SELECT * FROM flow WHERE amount_minor <> 0", ALL_VIEWS, FLOWS)
@@ -461,12 +481,12 @@ def _group_flows(v: Views) -> DataFrame:
 
 @query("BAL7_pairwise_net", "SELECT group_id, CASE WHEN n > 0 THEN low ELSE high END AS from_person, CASE WHEN n > 0 THEN high ELSE low END AS to_person, abs(n)::BIGINT AS amount_minor FROM net WHERE n <> 0", ALL_VIEWS, NET)
 def bal7(v: Views) -> DataFrame:
-    return bal.pairwise_net(_group_flows(v), v.settlement.where("currency = 'EUR'"))
+    return bal.pairwise_net(_group_flows(v), settled(v))
 
 
 @query("BAL8_pairwise_debts")
 def bal8(v: Views) -> DataFrame:
-    return bal.pairwise_debts(_group_flows(v), v.settlement.where("currency = 'EUR'"))
+    return bal.pairwise_debts(_group_flows(v), settled(v))
 
 
 @query("BAL9_person_totals", "SELECT person_id, g.base_currency, sum(balance)::BIGINT AS balance, count(*) AS groups FROM balance JOIN grp g USING (group_id) GROUP BY 1, 2", ALL_VIEWS, BALANCE)

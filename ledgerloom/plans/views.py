@@ -2,7 +2,8 @@
 
 Each view is one SELECT that Spark and DuckDB both read; only integer division (``//``
 here) and day numbers are spelt differently. Views are lazily planned DataFrames; nothing
-is cached or collected.
+is cached or collected. Queries that stand on a view many times have it written once
+(:meth:`Views.keep`).
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.writers import shared_path
+
 PRICE = "cast(cast({0} as decimal(18,2)) * 100 as bigint)"
 PERSON = "lpad(cast({0} as varchar(20)), 8, '0')"
 
@@ -97,6 +100,8 @@ SELECT source_lang, target_lang, source_text, translated_text, from_user, update
   SELECT CASE WHEN p_partkey % 5 < 3 THEN 'de' WHEN p_partkey % 5 = 3 THEN 'fr' ELSE 'und' END AS source_lang, 'en' AS target_lang, p_name AS source_text, concat(p_type, '-', cast(p_partkey AS varchar(20))) AS translated_text, p_partkey % 3 = 0 AS from_user, p_partkey AS updated_at,
          row_number() OVER (PARTITION BY p_partkey % 5, p_name ORDER BY p_partkey) AS r FROM part) x WHERE r <= 3""",
 }
+#: Written views of few bytes and much work per row: as many files as a shuffle has parts.
+SPREAD = {"expense": "expense_id", "parts": "expense_id"}
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
 
@@ -125,7 +130,7 @@ class Views:
     """The views over the tables of one folder, as DataFrames by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark, self._dir, self._made = spark, sf_dir, {}
+        self._spark, self._dir, self._made, self._kept = spark, sf_dir, {}, set()
 
     def once(self, name: str, build) -> DataFrame:
         """A derived table, planned once, so that its exchanges can be reused in a query."""
@@ -133,6 +138,20 @@ class Views:
             self._made[name] = build()
         return self._made[name]
 
+    def keep(self, *names: str) -> None:
+        """Write views or derived tables to the shared folder, each once, and read them from
+        there: what many parts of a query stand on is then computed and planned once. Name a
+        view before those above it."""
+        for name in names:
+            if name not in self._kept:
+                df = getattr(self, name) if name in SQL else self._made[name]
+                if name in SPREAD:
+                    df = df.repartition(int(self._spark.conf.get("spark.sql.shuffle.partitions")), SPREAD[name])
+                path = shared_path(self._spark, name)
+                df.write.parquet(path)
+                self._made[name] = self._spark.read.parquet(path)
+                self._kept.add(name)
+
     def table(self, name: str) -> DataFrame:
         return self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
 
