@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,14 +82,38 @@ def quality_report(scores: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ rows as recognised
+@lru_cache(1 << 14)
 def plain(text: str) -> str:
     return re.sub(r"\s", "", unicodedata.normalize("NFKC", text)).lower()
 
 
 def similarity(a: str, b: str) -> float:
-    return SequenceMatcher(None, plain(a), plain(b)).ratio()
+    return _ratio(plain(a), plain(b))
 
 
+@lru_cache(1 << 10)
+def _against(b: str) -> SequenceMatcher:
+    return SequenceMatcher(None, "", b)
+
+
+@lru_cache(1 << 16)
+def _ratio(a: str, b: str) -> float:
+    match = _against(b)
+    match.set_seq1(a)
+    return match.ratio()
+
+
+def highest(a: str, others: list[str]) -> float:
+    """The similarity of ``a`` to what is most like it, all plain; what its length alone keeps
+    from being more like it is not compared."""
+    most = 0.0
+    for b in others:
+        if 2 * min(len(a), len(b)) > most * (len(a) + len(b)) or not a + b:
+            most = max(most, _ratio(a, b))
+    return most
+
+
+@lru_cache(1 << 14)
 def shows_price(line: str, price: str) -> bool:
     """Whether the price is a word of the row; a blank behind a decimal mark is no gap, a tax
     class or minus may follow, up to three characters but no digit may stand in front."""
@@ -104,7 +129,13 @@ def shows_price(line: str, price: str) -> bool:
 
 def name_similarity(item: str, lines: list[str]) -> float:
     """The name against each row, or against its beginning where the row is longer."""
-    return max((similarity(item, x if len(plain(x)) <= len(plain(item)) + 2 else x[: len(item) + 4]) for x in lines), default=0.0)
+    size = len(plain(item)) + 2
+    return highest(plain(item), [p if len(p := plain(x)) <= size else plain(x[: len(item) + 4]) for x in lines])
+
+
+def most_like(lines: list[str], text: str) -> str:
+    """The first of the rows that is most like ``text``."""
+    return max(lines, key=lambda x: similarity(x, text), default="")
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +145,8 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines, right, near = r["lines"] or [], 0, 0.0
             for i in r["items"] or []:
                 name = name_similarity(i["name"], lines)
-                best = max(lines, key=lambda x: similarity(x, f"{i['name']} {i['price']}"), default="")
-                right += any(shows_price(x, i["price"]) and similarity(i["name"], x) >= SIMILAR for x in lines) or (shows_price(best, i["price"]) and name >= SURE)
+                priced = [x for x in lines if shows_price(x, i["price"])]
+                right += any(similarity(i["name"], x) >= SIMILAR for x in priced) or (bool(priced) and name >= SURE and shows_price(most_like(lines, f"{i['name']} {i['price']}"), i["price"]))
                 near += name
             known = r["total"] is not None and r["total"] != ""
             out.append({"receipt_id": r["receipt_id"], "n_items": len(r["items"] or []), "items_right": right, "has_total": int(known), "total_right": int(known and any(shows_price(x, r["total"]) for x in lines)), "names": near})
