@@ -54,8 +54,9 @@ def vat_lines(rows: DataFrame, totals: DataFrame, added: DataFrame, exponent: in
     where none with that amount has one; less than the total of totals(receipt_id, total), and
     neither one of added(receipt_id, amount), the tax paid on top, nor all of it."""
     text = F.coalesce("text", F.lit(""))
-    said = rows.select("receipt_id", "row_no", rate_of(words(text)).alias("rate"), vat_amount(text, exponent).alias("amount")).where("amount IS NOT NULL")
-    once = said.groupBy("receipt_id", "amount", "rate").agg(F.min("row_no").alias("row_no"))
+    said = rows.select("receipt_id", "row_no", rate_of(words(text)).alias("rate"), vat_amount(text, exponent).alias("amount"))
+    # rows without an amount go after they are counted: a filter before would read each row twice
+    once = said.groupBy("receipt_id", "amount", "rate").agg(F.min("row_no").alias("row_no"), F.count("amount").alias("__n")).where("__n > 0").drop("__n")
     rated = F.max(F.col("rate").isNotNull()).over(Window.partitionBy("receipt_id", "amount"))
     kept = once.withColumn("__rated", rated).where("rate IS NOT NULL OR NOT __rated")
     small = kept.join(totals.select("receipt_id", "total"), "receipt_id", "left").where("total IS NULL OR amount < total")
