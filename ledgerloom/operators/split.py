@@ -131,21 +131,34 @@ def split_line(items: DataFrame) -> DataFrame:
     q = F.col("quantity").cast("decimal(12,6)")
     first = F.when(peel, q - 1).otherwise((q / 2).cast("decimal(12,6)"))
     second = F.when(peel, F.lit(1).cast("decimal(12,6)")).otherwise((q / 2).cast("decimal(12,6)"))
-    halves = fit.withColumn("h", F.explode(F.array(F.struct(F.lit(1).alias("half"), first.cast("decimal(12,6)").alias("q")), F.struct(F.lit(2).alias("half"), second.cast("decimal(12,6)").alias("q")))))
-    weight = F.when(peel, F.col("h.q")).otherwise(F.lit(1))
-    halves = halves.select("*", F.col("h.half").alias("half"), F.col("h.q").alias("half_quantity")).drop("h")
-    return allocate(halves.withColumn("w", F.when(peel, F.col("half_quantity")).otherwise(F.lit(1))), ["expense_id", "position"], F.col("total_minor"), F.col("w"), ["half"], "half_minor").drop("w")
+    # two parts need no window: the unit that is left, if any, goes to the larger remainder
+    size = F.abs(F.col("total_minor").cast("bigint")).cast("decimal(19,0)")
+    scaled = lambda x: F.floor(x.cast("decimal(18,6)") * WEIGHT_SCALE).cast("decimal(18,0)")
+    one, two = (scaled(F.when(peel, x).otherwise(F.lit(1))) for x in (first, second))
+    split = [(size * x).cast("decimal(38,0)") for x in (one, two)]
+    rest = [x % (one + two) for x in split]
+    base = [((x - r) / (one + two)).cast("bigint") for x, r in zip(split, rest, strict=True)]
+    fit = fit.withColumn("__rest", F.struct(rest[0].alias("a"), rest[1].alias("b"))).withColumn("__base", F.struct(base[0].alias("a"), base[1].alias("b")))
+    left, up = size.cast("bigint") - F.col("__base.a") - F.col("__base.b"), F.col("__rest.a") >= F.col("__rest.b")
+    sign = F.signum("total_minor").cast("bigint")
+    halves = F.array(*[
+        F.struct(F.lit(half).alias("half"), q.cast("decimal(12,6)").alias("half_quantity"), (sign * (b + F.when(gets, left).otherwise(0))).alias("half_minor"))
+        for half, q, b, gets in ((1, first, F.col("__base.a"), up), (2, second, F.col("__base.b"), ~up))
+    ])
+    return fit.withColumn("h", F.explode(halves)).select("*", "h.*").drop("h", "__rest", "__base")
 
 
 def merge_lines(items: DataFrame, group: list[str]) -> DataFrame:
     """One line per group: equal text and kind add their quantities; otherwise the texts are
     joined with " + " and the quantity is 1. Kinds: the common one, else article."""
-    alike = F.countDistinct("text", "kind") == 1
+    # one value is the least and the greatest: counts of distinct values would triple the rows
+    both = F.when(F.col("text").isNotNull() & F.col("kind").isNotNull(), F.struct("text", "kind"))
+    alike = F.min(both) == F.max(both)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])
     return items.groupBy(*group).agg(
         F.when(alike, F.min("text")).otherwise(F.array_join(texts, " + ")).alias("text"),
         F.when(alike, F.sum("quantity")).otherwise(F.lit(1)).cast("decimal(22,6)").alias("quantity"),
-        F.when(F.countDistinct("kind") == 1, F.min("kind")).otherwise("article").alias("kind"), F.sum("total_minor").alias("total_minor"),
+        F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("article").alias("kind"), F.sum("total_minor").alias("total_minor"),
     )
 
 
