@@ -23,3 +23,20 @@ def test_halves_need_no_window(spark):
     rows = {(r.position, r.half): (str(r.half_quantity), r.half_minor) for r in got.collect()}
     # 100 of weights 2 and 1: 66 and remainder 2, 33 and remainder 1
     assert rows == {(1, 1): ("2.000000", 67), (1, 2): ("1.000000", 33), (2, 1): ("1.000000", -3), (2, 2): ("1.000000", -2), (3, 1): ("0.750000", 4), (3, 2): ("0.750000", 3), (4, 1): ("2.000000", -67), (4, 2): ("1.000000", -34)}
+
+
+def test_boxes_meet_without_a_join(spark):
+    box = [(1, i, 0, t, 10, b, "x") for i, (t, b) in enumerate([(0, 10), (10, 22), (30, 40), (100, 108)])] + [(2, 0, 0, 5, 10, 9, "y")]
+    got = blocks(spark.createDataFrame(box, "receipt_id long, idx long, left long, top long, right long, bottom long, text string"))
+    assert "Join" not in plan(got)
+    assert [(r.receipt_id, r.idx, r.block) for r in got.orderBy("receipt_id", "idx").collect()] == [(1, 0, 1), (1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 0, 1)]
+
+
+def test_rows_of_a_task_do_not_grow(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    large = views.Views(spark, sf).line_item
+    n = views.Views(spark, sf).table("lineitem").count() // 100
+    assert large.rdd.getNumPartitions() == n > 4
+    monkeypatch.undo()
+    assert sorted(map(repr, large.collect())) == sorted(map(repr, views.Views(spark, sf).line_item.collect()))
