@@ -40,3 +40,10 @@ def test_rows_of_a_task_do_not_grow(spark, monkeypatch):
     assert large.rdd.getNumPartitions() == n > 4
     monkeypatch.undo()
     assert sorted(map(repr, large.collect())) == sorted(map(repr, views.Views(spark, sf).line_item.collect()))
+
+
+def test_merged_lines_are_not_expanded(spark):
+    got = split.merge_lines(lines(spark, [(1, 2, "b", "article", "1", 1), (1, 1, "a", "article", "1", 2), (2, 1, "a", "deposit", "1", 3), (2, 2, "a", "deposit", "2", 4), (3, 1, "a", "deposit", "1", 5), (3, 2, "a", "article", "1", 6), (4, 1, None, "deposit", "1", 7), (5, 1, None, "deposit", "2", 8), (5, 2, "c", "deposit", "2", 9)]), ["expense_id"])
+    assert "Expand" not in plan(got)
+    rows = {r.expense_id: (r.text, int(r.quantity), r.kind, r.total_minor) for r in got.collect()}
+    assert rows == {1: ("a + b", 1, "article", 3), 2: ("a", 3, "deposit", 7), 3: ("a + a", 1, "article", 11), 4: ("", 1, "deposit", 7), 5: ("c", 4, "deposit", 17)}
