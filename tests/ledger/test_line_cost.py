@@ -47,3 +47,13 @@ def test_merged_lines_are_not_expanded(spark):
     assert "Expand" not in plan(got)
     rows = {r.expense_id: (r.text, int(r.quantity), r.kind, r.total_minor) for r in got.collect()}
     assert rows == {1: ("a + b", 1, "article", 3), 2: ("a", 3, "deposit", 7), 3: ("a + a", 1, "article", 11), 4: ("", 1, "deposit", 7), 5: ("c", 4, "deposit", 17)}
+
+
+def test_other_modes_are_left_out_before_lists(spark):
+    expense = spark.createDataFrame([(1, "items", 9), (2, "equal", 9)], "expense_id long, split_mode string, total_minor long")
+    person = spark.createDataFrame([(1, "a", Decimal(1)), (1, "b", Decimal(2)), (2, "a", Decimal(1))], "expense_id long, person_id string, weight decimal(12,6)")
+    held = spark.createDataFrame([(1, 1, "a", Decimal(1)), (2, 1, "a", Decimal(1))], "expense_id long, position long, person_id string, weight decimal(12,6)")
+    got = split.itemised(expense, lines(spark, [(1, 1, "x", "article", "1", 6), (2, 1, "x", "article", "1", 9)]), held, person)
+    # lines, holders, participants as a list and as rows
+    assert plan(got).count("LeftSemi") == 4
+    assert {(r.expense_id, r.person_id, r.share_minor) for r in got.collect()} == {(1, "a", 9), (1, "b", 0)}
