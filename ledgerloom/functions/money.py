@@ -6,7 +6,7 @@ rounded before the one division that gives minor units. Overflow is an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A rate with up to ten decimals is the integer rate * 10^10 over 10^10.
@@ -35,13 +35,29 @@ def _div(n: Column, d: Column) -> Column:
     return ((n - n % d) / d).cast("bigint")
 
 
-def convert(minor: Column, num: Column, den: Column, from_exponent: Column, to_exponent: Column) -> Column:
-    """Minor units of the quote currency for ``minor`` at num/den quote per base."""
+def ratio(minor: Column, num: Column, den: Column, from_exponent: Column, to_exponent: Column) -> tuple[Column, Column]:
+    """Numerator and denominator of |minor| converted at num/den quote per base."""
     up = F.greatest(to_exponent - from_exponent, F.lit(0))
     down = F.greatest(from_exponent - to_exponent, F.lit(0))
-    n = (F.abs(minor).cast("decimal(18,0)") * num.cast("decimal(20,0)") * pow10(up)).cast(WIDE)
-    d = (den.cast("decimal(33,0)") * pow10(down)).cast(WIDE)
-    return F.signum(minor).cast("bigint") * half_even_div(n, d)
+    return (F.abs(minor).cast("decimal(18,0)") * num.cast("decimal(20,0)") * pow10(up)).cast(WIDE), (den.cast("decimal(33,0)") * pow10(down)).cast(WIDE)
+
+
+def convert(minor: Column, num: Column, den: Column, from_exponent: Column, to_exponent: Column) -> Column:
+    """Minor units of the quote currency for ``minor`` at num/den quote per base."""
+    return F.signum(minor).cast("bigint") * half_even_div(*ratio(minor, num, den, from_exponent, to_exponent))
+
+
+def with_converted(df: DataFrame, out: str, minor: Column, num: Column, den: Column, from_exponent: Column, to_exponent: Column) -> DataFrame:
+    """Add ``out``: :func:`convert` column by column, so that the terms which it repeats are
+    worked out once a row."""
+    n, d, rest = F.col("__n"), F.col("__d"), F.col("__rest")
+    top, bottom = ratio(minor, num, den, from_exponent, to_exponent)
+    df = df.withColumns({"__n": top, "__d": bottom}).withColumn("__rest", n % d)
+    whole = F.when(n.cast("double") / d.cast("double") >= 9.2e18, F.raise_error(F.lit("amount out of range")).cast("bigint")).otherwise(((n - rest) / d).cast("bigint"))
+    df = df.withColumns({"__whole": whole, "__twice": (2 * rest).cast(WIDE)})
+    q = F.col("__whole")
+    up = (F.col("__twice") > d) | ((F.col("__twice") == d) & (q % 2 == 1))
+    return df.withColumn(out, F.signum(minor).cast("bigint") * (q + F.when(up, 1).otherwise(0))).drop("__n", "__d", "__rest", "__whole", "__twice")
 
 
 def rate_num(rate: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import RATE_SCALE, convert, rate_num
+from ..functions.money import RATE_SCALE, rate_num, with_converted
 
 PIVOT = "EUR"
 NOT_LOOKED_UP = ("cross", "manual")
@@ -138,7 +138,9 @@ def convert_expenses(expense: DataFrame, legs: DataFrame, currency: DataFrame, b
     else:
         df = resolve(wanted, legs, near=True)
     df = df.join(exp.toDF("from_cur", "eb"), "from_cur", "left").join(exp.toDF("to_cur", "eq"), "to_cur", "left")
-    minor = F.when(F.col("from_cur") == F.col("to_cur"), F.col("total_minor")).otherwise(convert(F.col("total_minor"), F.col("num"), F.col("den"), F.col("eb"), F.col("eq")))
+    other = F.when(F.col("from_cur") != F.col("to_cur"), F.col("total_minor"))
+    df = with_converted(df, "__minor", other, F.col("num"), F.col("den"), F.col("eb"), F.col("eq"))
+    minor = F.when(F.col("from_cur") == F.col("to_cur"), F.col("total_minor")).otherwise(F.col("__minor"))
     df = df.withColumn("total_base_minor", F.when(F.col("num").isNotNull(), minor)).withColumn("base_currency", F.lit(base))
     keep = [*expense.columns, "total_base_minor", "base_currency", "legs", "quote_date"]
     return df.where("num IS NOT NULL").select(*keep), df.where("num IS NULL").select("expense_id", F.lit("no_rate").alias("rule"), F.concat_ws(" ", "from_cur", "to_cur", "day").alias("detail"))

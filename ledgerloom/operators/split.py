@@ -11,21 +11,31 @@ from pyspark.sql import functions as F
 
 #: Weights have six decimals.
 WEIGHT_SCALE = 10**6
+#: Two whole numbers up to this have a product that fits a bigint.
+NARROW = 3_037_000_499
 
 
-def allocate(df: DataFrame, group: list[str], total: Column, weight: Column, tie: list[str], out: str = "share_minor") -> DataFrame:
+def allocate(df: DataFrame, group: list[str], total: Column, weight: Column, tie: list[str], out: str = "share_minor", whole: bool = False) -> DataFrame:
     """Add ``out``: parts of ``total`` in proportion to ``weight`` that sum to it exactly.
 
     |total| * w / sum(w) is cut to whole units; the units left go one each to the largest
     remainders, ties by ``tie``. The sign of the total comes back at the end; weights of
-    zero get 0; a group whose weights are all zero gets NULL.
+    zero get 0; a group whose weights are all zero gets NULL. ``whole``: weights are amounts
+    of minor units, which need no decimals. Products that fit a bigint are made as such.
     """
     w = Window.partitionBy(*group)
-    df = df.withColumn("__t", total.cast("bigint")).withColumn("__w", F.floor(weight.cast("decimal(18,6)") * WEIGHT_SCALE).cast("decimal(18,0)"))
+    # a remainder is below the sum of weights
+    kind = "bigint" if whole else "decimal(38,0)"
+    weighed = weight.cast("bigint") if whole else F.floor(weight.cast("decimal(18,6)") * WEIGHT_SCALE).cast("decimal(18,0)")
+    df = df.withColumn("__t", total.cast("bigint")).withColumn("__w", weighed)
     df = df.withColumn("__sum", F.sum("__w").over(w))
-    product = (F.abs(F.col("__t")).cast("decimal(19,0)") * F.col("__w")).cast("decimal(38,0)")
     some = F.when(F.col("__sum") > 0, F.col("__sum"))
-    df = df.withColumn("__rem", product % some).withColumn("__base", ((product - F.col("__rem")) / some).cast("bigint"))
+    small = F.col("__t").between(-NARROW, NARROW) & (F.col("__w") <= NARROW) & (F.col("__sum") <= 2**62)
+    short = F.abs("__t") * F.col("__w").cast("bigint")
+    long_ = (F.abs("__t").cast("decimal(19,0)") * F.col("__w").cast("decimal(19,0)")).cast("decimal(38,0)")
+    df = df.withColumn("__rem", F.when(small, (short % some.cast("bigint")).cast(kind)).otherwise((long_ % some.cast("decimal(28,0)")).cast(kind)))
+    base = F.when(small, F.call_function("div", short, some.cast("bigint"))).otherwise(((long_ - F.col("__rem").cast("decimal(38,0)")) / some.cast("decimal(28,0)")).cast("bigint"))
+    df = df.withColumn("__base", base)
     left = F.abs(F.col("__t")) - F.sum("__base").over(w)
     turn = F.row_number().over(w.orderBy(F.col("__rem").desc(), *tie))
     share = F.signum("__t").cast("bigint") * (F.col("__base") + F.when(turn <= left, 1).otherwise(0))
@@ -36,7 +46,7 @@ def rescale(parts: DataFrame, group: list[str], target: Column, part: Column, ti
     """Parts scaled to sum to ``target``. Groups whose parts have both signs get NULL: they
     have no proportions and belong to the rejects."""
     w = Window.partitionBy(*group)
-    df = allocate(parts.withColumn("__p", part.cast("bigint")), group, target, F.abs(F.col("__p")), tie, out)
+    df = allocate(parts.withColumn("__p", part.cast("bigint")), group, target, F.abs(F.col("__p")), tie, out, whole=True)
     mixed = (F.min("__p").over(w) < 0) & (F.max("__p").over(w) > 0)
     return df.withColumn(out, F.when(~mixed, F.col(out))).drop("__p")
 

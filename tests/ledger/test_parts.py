@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import money
 from ledgerloom.operators import balances, fx, split
 
 
@@ -35,3 +38,38 @@ def test_rates_as_of_a_day(spark):
     assert [r.id for r in on.orderBy("n").collect()] == [None, "b", "b", "b", "c", "c", None, None, None, None]
     assert [(r.id, r.later) for r in fx.rate_near(wanted, legs).orderBy("n").collect()][:8] == [("b", True), ("b", False), ("b", False), ("b", False), ("c", False), ("c", False), ("d", True), (None, False)]
     assert fx.rate_on(wanted, legs.limit(0)).where("id IS NOT NULL").count() == 0
+
+
+def test_large_and_small_products_share_alike(spark):
+    """Products beyond a bigint are made as decimals, others as bigints, with one result."""
+    big = 9 * 10**17
+    rows = [(1, "a", big, 7 * 10**11), (1, "b", big, 2 * 10**11), (1, "c", big, 1), (2, "a", -11, 1), (2, "b", -11, 1), (2, "c", -11, 5), (3, "a", 5, 0), (3, "b", 5, 0)]
+    df = spark.createDataFrame(rows, "g int, p string, t long, w long")
+    want = {}
+    for g in (1, 2):
+        mine = [r for r in rows if r[0] == g]
+        t, every = abs(mine[0][2]), sum(r[3] for r in mine)
+        base = {r[1]: t * r[3] // every for r in mine}
+        turn = sorted(mine, key=lambda r: (-(t * r[3] % every), r[1]))
+        for r in turn[: t - sum(base.values())]:
+            base[r[1]] += 1
+        want |= {(g, p): b if mine[0][2] > 0 else -b for p, b in base.items()}
+    for whole in (False, True):
+        got = {(r.g, r.p): r.share_minor for r in split.allocate(df, ["g"], F.col("t"), F.col("w"), ["p"], whole=whole).collect()}
+        assert got == want | {(3, "a"): None, (3, "b"): None}
+
+
+def test_shares_of_whole_amounts_are_sorted_as_bigints(spark):
+    """Rescaled parts need no decimals: neither their remainders nor their sums."""
+    df = spark.createDataFrame([(1, "a", 3 * 10**12, 10), (1, "b", 10**12, 10)], "expense_id int, person_id string, part long, target long")
+    out = split.rescale(df, ["expense_id"], F.col("target"), F.col("part"), ["person_id"])
+    assert {r.person_id: r.base_minor for r in out.collect()} == {"a": 8, "b": 2}  # 7.5 and 2.5: the tie goes to a
+
+
+def test_converted_column_by_column_is_convert(spark):
+    rows = [(i, m, n, d, a, b) for i, (m, n, d, a, b) in enumerate([(5, 1, 2, 2, 2), (15, 1, 2, 2, 2), (-5, 1, 2, 2, 2), (10**16, 12345678901, 10**10, 0, 2), (7, 10**10, 3 * 10**9, 3, 2), (0, 1, 3, 2, 2), (None, 1, 3, 2, 2), (9, None, 3, 2, 2)])]
+    df = spark.createDataFrame(rows, "i int, minor long, num long, den long, a int, b int").withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("num", "den")})
+    columns = [F.col(c) for c in ("minor", "num", "den", "a", "b")]
+    out = money.with_converted(df, "there", *columns).withColumn("here", money.convert(*columns))
+    got = [(r.there, r.here) for r in out.orderBy("i").collect()]
+    assert [a for a, _ in got] == [b for _, b in got] and got[:3] == [(2, 2), (8, 8), (-2, -2)] and got[-2:] == [(None, None)] * 2
