@@ -168,7 +168,8 @@ class Windows:
         new[1:] = (k[1:] != k[:-1]) | (self.doc[1:] != self.doc[:-1])
         self.first = np.flatnonzero(new)  # window index of each run's first window
         self.count = np.diff(np.append(self.first, len(k)))
-        self.key = k[self.first]
+        # a smallest hash is small: hashed once more, one to one, keys fill all ranges alike
+        self.key = finish(k[self.first])
         self.run_doc = self.doc[self.first]
         # hash of the run's whole string: its bytes from the first window to the last's end
         self.string = self._strings()

@@ -107,3 +107,12 @@ def test_cut_repeats_keeps_columns_and_whole_characters(spark):
     assert out[(1, "a")].text == rows[0][1] and out[(2, "b")].text == "xy two"
     assert s.repeated(spark.createDataFrame([], DOCS)).count() == 0
     assert s.cut_repeats(spark.createDataFrame([], DOCS)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_keys_fill_all_ranges_alike():
+    """Keys are the smallest hashes of their windows; the ranges they are sent by must not be."""
+    raw = bytes(random.Random(5).choices(range(97, 123), k=1 << 18))
+    row = {"shard": 1, "ids": np.array([7], "<i8").tobytes(), "nulls": b"\0", "sizes": np.array([len(raw)], "<i8").tobytes(), "body": shards.squeezed(raw)}
+    key, string, low, place = s.Windows(shards.Shard(row)).asked()
+    per = np.bincount((key >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert per.max() < 1.2 * per.mean() and (np.diff(key.astype(np.float64)) >= 0).all()
