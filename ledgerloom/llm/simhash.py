@@ -162,7 +162,7 @@ def owned_links(prefix: int, fps: np.ndarray, prefix_bits: int, radius: int = RA
     return np.stack([fps[root[moved]], fps[moved]])
 
 
-def ball_links(distinct: DataFrame, radius: int = RADIUS, rows_each: int = 2000) -> DataFrame:
+def ball_links(distinct: DataFrame, radius: int = RADIUS, rows_each: int = 2000, limit: int = SLICE) -> DataFrame:
     """(a, b): links between the distinct fingerprints in ``distinct(fp)``.
 
     ``prefix_bits`` follows the number of fingerprints, so that an owner has about
@@ -196,7 +196,7 @@ def ball_links(distinct: DataFrame, radius: int = RADIUS, rows_each: int = 2000)
 
     def emit(owner, held: list) -> Iterator[pa.RecordBatch]:
         if held:
-            found = owned_links(int(owner), np.concatenate(held), bits, radius).view(np.int64)
+            found = owned_links(int(owner), np.concatenate(held), bits, radius, limit).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16)
@@ -273,6 +273,14 @@ def _sets(piece: Piece, words: int) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _fingerprints(piece: Piece, words: int) -> np.ndarray:
+    """The SimHash of each text over its shingles, repeats counted."""
+    h, doc = _shingles(piece, words)
+    order = np.argsort(doc, kind="stable")
+    h, cut = finish(h[order]), np.searchsorted(doc[order], np.arange(piece.n + 1))
+    return np.array([_bits(h[a:b]) if b > a else 0 for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64)
+
+
 def _set_hash(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
 
@@ -387,7 +395,8 @@ def _meet(lists: DataFrame, wide: int, most: int) -> DataFrame:
                 at, end = at[fit], end[fit]
                 if not len(at):
                     break
-                out += pairs_of(*(cols[k].astype(np.int64)[x] for k in (1, 2, 3) for x in (at, at + d)))
+                apart = cols[4][at] != cols[4][at + d]  # members of one group need no pair
+                out += pairs_of(*(cols[k].astype(np.int64)[x[apart]] for k in (1, 2, 3) for x in (at, at + d)))
             yield from send(out)
         yield from send(one(held) if held else [])
 
@@ -443,7 +452,9 @@ def near_copy_links(docs: DataFrame, words: int = 5, wide: int = WIDE, most: int
     ``words``-word shingles have a similarity (Jaccard) of 0.8 or more.
 
     Every such pair that isn't joined by other links is found. Texts with one set meet by
-    its hash. Two sets with a similarity of 0.8 have a shingle in common among the first
+    its hash. SimHash of the same shingles comes first: sets whose fingerprints are equal or
+    linked by :func:`ball_links` are compared, and those alike are linked. The rest, since
+    a similarity of 0.8 may differ in more bits than a ball reaches, meets exactly: two sets with a similarity of 0.8 have a shingle in common among the first
     fifth of each in any one order of all shingles, so sets meet in the lists of these.
     Rare shingles come first, and a list's pairs are not made at once: members that are
     linked need no pair (:func:`_list_pairs`). A sketch refuses pairs that differ clearly;
@@ -455,20 +466,22 @@ def near_copy_links(docs: DataFrame, words: int = 5, wide: int = WIDE, most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in pieces(batches):
             piece = Piece(texts, lower=True)
-            sets, cells = _sets(piece, words), _sketches(piece, words)
+            sets, cells, prints = _sets(piece, words), _sketches(piece, words), _fingerprints(piece, words)
             heads = [_prefix(s, often, rank).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                ["id", "eq", "n", "sketch", "head"],
+                [pa.array(ids, pa.int64()), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(prints.view(np.int64))],
+                ["id", "eq", "n", "sketch", "head", "fp"],
             )
 
-    prints = materialize(slim.mapInArrow(run, "id long, eq long, n int, sketch binary, head array<long>"), "prints")
+    prints = materialize(slim.mapInArrow(run, "id long, eq long, n int, sketch binary, head array<long>, fp long"), "prints")
     first = materialize(prints.groupBy("eq").agg(F.min("id").alias("low")), "first")
     same = prints.select("id", "eq").join(first, "eq").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     own = materialize(prints.join(first.toDF("eq", "id"), ["eq", "id"], "left_semi").dropDuplicates(["eq"]), "own")
     sketches = own.select("eq", "sketch")
     lists = own.select("eq", "n", F.posexplode("head").alias("pos", "key")).select("key", "eq", "n", "pos", F.col("eq").alias("root"), F.lit(False).alias("done"))
-    links = None
+    links = _simhash_links(own, first, slim, words)
+    if links is not None:
+        lists = _with_roots(lists, links)
     while True:
         met = materialize(_meet(lists, wide, most), "met")
         most *= GROWTH
@@ -484,14 +497,32 @@ def near_copy_links(docs: DataFrame, words: int = 5, wide: int = WIDE, most: int
         if links is None:
             lists = left
             continue
-        roots = connected_components(links).withColumnRenamed("root", "top")
-        lists = left.join(roots, F.col("eq") == F.col("node"), "left").select("key", "eq", "n", "pos", F.coalesce("top", "root").alias("root"), "done")
+        lists = _with_roots(left, links)
     if links is None:
         return same
     left, right = first.toDF("a", "id_a"), first.toDF("b", "id_b")
     return same.unionByName(links.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
+def _with_roots(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` with each member's group as ``links`` have it now."""
+    roots = connected_components(links).withColumnRenamed("root", "top")
+    return lists.join(roots, F.col("eq") == F.col("node"), "left").select("key", "eq", "n", "pos", F.coalesce("top", "root").alias("root"), "done")
+
+
+def _simhash_links(own: DataFrame, first: DataFrame, slim: DataFrame, words: int) -> DataFrame | None:
+    """Links (a, b) between sets whose fingerprints meet in a ball and which are alike, or
+    None. Each fingerprint is stood for by its smallest set; the others are compared to it."""
+    lead = materialize(own.groupBy("fp").agg(F.min("eq").alias("low")), "fingerprints")
+    alike_prints = ball_links(lead.select("fp"), limit=SLICE // 4).distinct()
+    near = alike_prints.join(lead.toDF("a", "low_a"), "a").join(lead.toDF("b", "low_b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    equal = own.join(lead, "fp").where("eq <> low").select(F.col("low").alias("a"), F.col("eq").alias("b"))
+    alike = materialize(_checked(near.unionByName(equal).distinct(), own.select("eq", "sketch"), "sketch", _agree), "alike")
+    links = _verified(alike, first, slim, words)
+    discard(alike, lead)
+    return links
+
+
 def _joined(links: DataFrame, new: DataFrame) -> DataFrame:
     """One written table of both, so that plans don't grow with the rounds."""
     both = materialize(links.unionByName(new), "verified")

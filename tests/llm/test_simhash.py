@@ -161,3 +161,19 @@ def test_groups_are_those_of_the_exact_similarity(spark):
     want = _exact(rows)
     kept = simhash.keep_one(spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS))
     assert {r.doc_id for r in kept.collect()} == {i for i, low in want.items() if i == low}
+
+
+def test_near_copies_are_linked_by_simhash_before_lists(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [[f"{g}w{i}" for i in rng.permutation(900)] for g in range(4)]
+    rows = [(10 * g + k, " ".join(w[:-k] if k else w)) for g, w in enumerate(words) for k in range(3)]
+    rows += [(100, "one"), (101, ""), (102, None), (103, "two")]
+    found = []
+    inner = simhash._simhash_links
+    monkeypatch.setattr(simhash, "_simhash_links", lambda *a: found.append(inner(*a)) or found[0])
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 10, 20, 30, 100, 101, 103]
+    assert found[0] is not None and found[0].count() >= 4
+    # exact groups, also where the ball hashing finds nothing
+    monkeypatch.setattr(simhash, "_simhash_links", lambda *a: None)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 10, 20, 30, 100, 101, 103]
