@@ -26,6 +26,7 @@ TILL_WORDS = {
     "es": ("efectivo", "cambio", "gracias", "importe", "tarjeta", "factura", "base", "imponible", "entregado"),
     "it": ("totale", "contanti", "resto", "grazie", "importo", "scontrino", "subtotale", "pagamento", "documento", "commerciale"),
 }
+SCRIPTS = {"kana": "ぁ-ゟ゠-ヿｦ-ﾝ", "han": "一-鿿㐀-䶿", "hangul": "가-힯ᄀ-ᇿ㄰-㆏", "latin": "A-Za-zÀ-ɏ"}
 SYMBOLS = "(?:€|\\$|£|¥|￥|円|₩|EUR|USD|GBP|JPY|KWD)"
 MAX_DIGITS, MAX_PLAIN_YEN = 15, 7
 
@@ -169,14 +170,17 @@ def payment_kind(rows: DataFrame) -> DataFrame:
 def languages(rows: DataFrame) -> DataFrame:
     """(receipt_id, language): the script that dominates, else the language whose till words
     lead alone; NULL where nothing tells."""
-    number = lambda p: F.sum(F.regexp_count(F.col("text"), F.lit(p)))
-    low = F.filter(F.split(F.lower("text"), r"[^\p{IsAlphabetic}-]+"), lambda w: w != "")
+    letters = lambda p: F.length("text") - F.length(F.regexp_replace("text", f"[{p}]+", ""))
+    known = {w for ws in TILL_WORDS.values() for w in ws}
+    low = F.filter(F.split(F.lower("text"), r"[^\p{IsAlphabetic}-]+"), lambda w: w.isin(*known))
+    # most words are no till words: each row is split once, and languages share what is left
+    said = rows.select("receipt_id", *[letters(p).alias(k) for k, p in SCRIPTS.items()], low.alias("low"))
 
     def among(ws: tuple[str, ...]):
         return lambda w: w.isin(*ws)
 
-    hits = [F.sum(F.size(F.filter(low, among(ws)))).alias(k) for k, ws in TILL_WORDS.items()]
-    df = rows.groupBy("receipt_id").agg(number("[ぁ-ゟ゠-ヿｦ-ﾝ]").alias("kana"), number("[一-鿿㐀-䶿]").alias("han"), number("[가-힯ᄀ-ᇿ㄰-㆏]").alias("hangul"), number("[A-Za-zÀ-ɏ]").alias("latin"), *hits)
+    hits = [F.sum(F.size(F.filter("low", among(ws)))).alias(k) for k, ws in TILL_WORDS.items()]
+    df = said.groupBy("receipt_id").agg(*[F.sum(k).alias(k) for k in SCRIPTS], *hits)
     asian = F.col("kana") + F.col("han") + F.col("hangul")
     script = F.when((asian >= 2) & (asian >= F.col("latin")), F.when(F.col("hangul") > F.col("kana") + F.col("han"), "ko").when(F.col("kana") > 0, "ja").otherwise("zh"))
     best = F.greatest(*TILL_WORDS)
@@ -191,10 +195,12 @@ def currencies(rows: DataFrame, codes: DataFrame) -> DataFrame:
     Japanese gives JPY and Korean KRW. ``codes(code)`` is the currency dimension."""
     text = F.col("text")
     by_sign = [F.when(reduce(lambda a, b: a | b, [text.contains(s) for s in signs]), F.lit(code)) for code, signs in SIGNS.items()]
-    parts = F.split(text, r"[^\p{IsAlphabetic}]+")
-    free = text.rlike("[0-9]") | (F.size(words(text)) == 1)
-    by_word = F.transform(parts, lambda w: F.when(F.upper(w).isin("EURO", "EUROS"), "EUR").when(F.upper(w) == "YEN", "JPY").when(free & w.rlike("^[A-Z]{3}$") & ~w.isin(*NOT_CODES), w))
-    votes = rows.select("receipt_id", F.explode(F.filter(F.concat(F.array(*by_sign), by_word), lambda c: c.isNotNull())).alias("code"))
+    # whole words alone: a word that is no candidate is passed over at once, as an empty match
+    named = F.when(text.rlike(r"[A-Z]{3}|(?iu:euro|yen)"), F.regexp_extract_all(text, F.lit(r"([A-Z]{3}|(?iu:euros?|yen))(?!\p{IsAlphabetic})|\p{IsAlphabetic}++"), F.lit(1))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+    free = text.rlike("[0-9]") | text.rlike(r"(?U)\A\s*\S+\s*\z")
+    by_word = lambda free: F.transform(F.filter(named, lambda w: w != ""), lambda w: F.when(F.upper(w).isin("EURO", "EUROS"), "EUR").when(F.upper(w) == "YEN", "JPY").when(free & ~w.isin(*NOT_CODES), w))
+    # a row is looked at once, not once a word; the outer explode keeps the votes from being worked out again for a filter
+    votes = rows.select("receipt_id", F.explode_outer(F.concat(F.array(*by_sign), bound(free, by_word))).alias("code")).where("code IS NOT NULL")
     votes = votes.join(F.broadcast(codes.select("code").unionByName(rows.sparkSession.createDataFrame([(c,) for c in SIGNS], "code string")).distinct()), "code", "left_semi")
     n = votes.groupBy("receipt_id", "code").agg(F.count("*").alias("n"))
     top = n.groupBy("receipt_id").agg(F.max(F.struct("n", "code")).alias("m"), F.sort_array(F.collect_list("n"), asc=False).alias("all"))
