@@ -1,5 +1,10 @@
 """Words of rows that may be long: each row is looked at once, not once for each of its words."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import receipt_marks as marks
 from ledgerloom.functions import receipt_text as rt
 
 
@@ -17,9 +22,18 @@ def test_votes_of_long_rows(spark):
     got = rt.currencies(rows, codes)
     assert {r.receipt_id: r.currency for r in got.collect()} == {0: "GBP", 1: "EUR", 2: None, 3: None, 4: "JPY", 5: "EUR", 6: "CHF", 7: None, 8: "USD", 9: None, 10: "KWD"}
     # whether a word stands alone is asked of the row, not of each word with all of the row
-    assert r"(?U)\S+" not in plan(got)
+    assert not re.search(r"size\(regexp_extract_all\(text", plan(got))
 
 
 def test_languages_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, "Zwischensumme  Sous-Total"), (1, "danke 5"), (2, "merci-total sous-total"), (3, None), (4, "ありがとう AB"), (5, "summe tax"), (6, "감사"), (7, "\U0001d400\U0001d401")], "receipt_id int, text string")
     assert {r.receipt_id: r.language for r in rt.languages(rows).collect()} == {1: "de", 2: "fr", 3: None, 4: "ja", 5: None, 6: "ko", 7: None}
+
+
+def test_keywords_of_odd_rows(spark):
+    said = [("E Summe", "total"), ("* E. SUMME 5", "total"), ("1 zu  zahlen", "total"), ("　Zw. Summe", "subtotal"), ("İ Summe", None), ("Brot Summe", None), ("小 100円 計", "subtotal"), ("小 円 計", None), ("言 十 ¥5", "total"), ("点数 3 合計", None), ("3点 合計", None), ("3点 合計 ¥9", "total"), ("x点 合計", "total"), ("mit nanaco", "payment"), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, t string")
+    got = df.select("i", marks.row_keyword(F.col("t")).alias("k"))
+    assert [r.k for r in got.orderBy("i").collect()] == [k for _, k in said]
+    # no walk over all words of a row
+    assert "exists(" not in plan(got)
