@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What may go wrong with a receipt, each at most once.
+MISSES = ("total not found", "total wrong", "items missed", "extra items")
 NOT_ARTICLES = ("discount", "tax")
 #: A name on a row must be this similar; beside the row that is most like name and price, this.
 SIMILAR, SURE = 0.5, 0.8
@@ -37,9 +39,11 @@ def matched(known: list[int], read: list[tuple[int, int | None]]) -> int:
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.to_pylist()
-        n = [matched([k["price"] for k in r["known"] or []], [(i["total_minor"], i["unit_minor"]) for i in r["read"] or []]) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r["known"] or []) for r in rows], pa.int64()), pa.array([len(r["read"] or []) for r in rows], pa.int64()), pa.array(n, pa.int64())], ["receipt_id", "known_items", "read_items", "found"])
+        # lists of numbers side by side: no dict for each item
+        known, total, unit = (batch.column(c).to_pylist() for c in ("known", "total", "unit"))
+        n = [matched(k or [], list(zip(t or [], u or [], strict=True))) for k, t, u in zip(known, total, unit, strict=True)]
+        sizes = [pa.array([len(x or []) for x in xs], pa.int64()) for xs in (known, total)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(n, pa.int64())], ["receipt_id", "known_items", "read_items", "found"])
 
 
 def receipt_scores(truth: DataFrame, truth_items: DataFrame, parsed: DataFrame, items: DataFrame) -> DataFrame:
@@ -51,6 +55,7 @@ def receipt_scores(truth: DataFrame, truth_items: DataFrame, parsed: DataFrame,
     known = truth_items.groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("item_no", "price"))).alias("known"))
     read = items.where(~F.col("kind").isin(*NOT_ARTICLES)).groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("item_no", "total_minor", "unit_minor"))).alias("read"))
     both = truth.select("receipt_id").join(known, "receipt_id", "left").join(read, "receipt_id", "left")
+    both = both.select("receipt_id", F.col("known.price").alias("known"), F.col("read.total_minor").alias("total"), F.col("read.unit_minor").alias("unit"))
     counts = both.mapInArrow(_match, "receipt_id long, known_items long, read_items long, found long")
     t, p = truth.alias("t"), parsed.alias("p")
     df = t.join(p, F.col("t.receipt_id") == F.col("p.receipt_id"), "left")
@@ -65,20 +70,21 @@ def receipt_scores(truth: DataFrame, truth_items: DataFrame, parsed: DataFrame,
     df = df.select("t.receipt_id", (F.coalesce(F.col("p.check") == "matches", F.lit(False))).alias("sums_match"), F.col("p.total").isNull().alias("__none"), *[h.alias(f"has_{k}") for k, h in has.items()], *[right(has[k], same[k]).alias(f"{k}_right") for k in has])
     df = df.join(counts, "receipt_id")
     wrong = F.filter(F.array(
-        F.when(F.col("has_total") & ~F.col("total_right"), F.when(F.col("__none"), "total not found").otherwise("total wrong")),
-        F.when(F.col("found") < F.col("known_items"), "items missed"), F.when(F.col("read_items") > F.col("found"), "extra items"),
+        F.when(F.col("has_total") & ~F.col("total_right"), F.when(F.col("__none"), MISSES[0]).otherwise(MISSES[1])),
+        F.when(F.col("found") < F.col("known_items"), MISSES[2]), F.when(F.col("read_items") > F.col("found"), MISSES[3]),
     ), lambda x: x.isNotNull())
     return df.withColumn("misses", wrong).drop("__none")
 
 
 def quality_report(scores: DataFrame) -> DataFrame:
-    """(measure, right, total) over :func:`receipt_scores`; classes of misses have no total."""
+    """(measure, right, total) over :func:`receipt_scores`, in one pass; classes of misses have
+    no total, and no row where nothing went wrong that way."""
     n = lambda c: F.sum(F.col(c).cast("bigint"))
     kinds = ("total", "date", "time", "store", "tax")
     pairs = [(f"{k} right", n(f"{k}_right"), n(f"has_{k}")) for k in kinds] + [("items add up", n("sums_match"), F.count("*")), ("items found", n("found"), n("known_items")), ("items right", n("found"), n("read_items"))]
-    one = scores.agg(F.array(*[F.struct(F.lit(m).alias("measure"), F.coalesce(a, F.lit(0)).alias("right"), F.coalesce(b, F.lit(0)).alias("total")) for m, a, b in pairs]).alias("m"))
-    misses = scores.select(F.explode("misses").alias("measure")).groupBy("measure").agg(F.count("*").alias("right")).select("measure", "right", F.lit(None).cast("bigint").alias("total"))
-    return one.select(F.explode("m").alias("m")).select("m.*").unionByName(misses)
+    said = [F.struct(F.lit(m).alias("measure"), F.coalesce(a, F.lit(0)).alias("right"), F.coalesce(b, F.lit(0)).alias("total")) for m, a, b in pairs]
+    said += [F.struct(F.lit(m).alias("measure"), F.count_if(F.array_contains("misses", m)).alias("right"), F.lit(None).cast("bigint").alias("total")) for m in MISSES]
+    return scores.agg(F.array(*said).alias("m")).select(F.explode("m").alias("m")).select("m.*").where("total IS NOT NULL OR right > 0")
 
 
 # ------------------------------------------------------------------ rows as recognised
