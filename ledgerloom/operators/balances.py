@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,10 +127,20 @@ def expense_flows(share: DataFrame, payment: DataFrame) -> DataFrame:
 
 def flow_fallback(share: DataFrame, payment: DataFrame) -> DataFrame:
     """Flows of expenses that have no proportions (total <= 0 or a negative part): the
-    simplified transfers of that one expense."""
+    simplified transfers of that one expense. Few people share an expense, so the expenses
+    of a batch are settled in one call."""
     net = share.select("expense_id", "person_id", (-F.col("base_minor")).alias("b")).unionByName(payment.select("expense_id", "person_id", F.col("base_minor").alias("b")))
-    found = net.groupBy("expense_id", "person_id").agg(F.sum("b").alias("balance"))
-    return simplified_debts(found, "expense_id").drop("seq")
+    found = net.groupBy("expense_id", "person_id").agg(F.sum("b").alias("balance")).where("balance <> 0")
+    lists = found.groupBy("expense_id").agg(F.collect_list("person_id").alias("people"), F.collect_list("balance").alias("amounts"))
+    kind = dict(found.dtypes)["expense_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(e, *r) for e, people, amounts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in settle(people, amounts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.string(), pa.string(), pa.int64()), strict=True)], ["expense_id", "from_person", "to_person", "amount_minor"])
+
+    return lists.mapInArrow(run, f"expense_id {kind}, from_person string, to_person string, amount_minor long")
 
 
 def pairwise_net(flows: DataFrame, settlements: DataFrame) -> DataFrame:

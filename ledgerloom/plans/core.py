@@ -465,6 +465,8 @@ def bal5(v: Views) -> DataFrame:
 @query("BAL6_flow_fallback")
 def bal6(v: Views) -> DataFrame:
     """Expenses with a negative share, in their own currency."""
+    all_shares(v)
+    v.keep("shares")
     bad = all_shares(v).groupBy("expense_id").agg(F.min("share_minor").alias("low")).where("low < 0").select("expense_id")
     share = all_shares(v).join(bad, "expense_id", "left_semi").withColumnRenamed("share_minor", "base_minor")
     payment = v.expense_payment.join(bad, "expense_id", "left_semi").withColumnRenamed("amount_minor", "base_minor")
