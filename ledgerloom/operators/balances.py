@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -107,22 +108,81 @@ def expense_flows(share: DataFrame, payment: DataFrame) -> DataFrame:
     columns (payers) in person order, as overlaps of their cumulative ranges. ``share``
     and ``payment`` have (expense_id, person_id, base_minor), all >= 0 with equal sums > 0.
     """
-    total = Window.partitionBy("expense_id")
-    pays = payment.groupBy("expense_id", F.col("person_id").alias("to_person")).agg(F.sum("base_minor").alias("paid")).withColumn("total", F.sum("paid").over(total))
-    owes = share.select("expense_id", F.col("person_id").alias("from_person"), F.col("base_minor").alias("owed"))
-    cells = owes.join(pays, "expense_id")
-    product = F.col("owed").cast("decimal(19,0)") * F.col("paid").cast("decimal(19,0)")
-    whole = ((product - product % F.col("total")) / F.col("total")).cast("bigint")
-    cells = cells.withColumn("whole", whole)
-    row = Window.partitionBy("expense_id", "from_person")
-    col = Window.partitionBy("expense_id", "to_person")
-    cells = cells.withColumn("row_left", F.col("owed") - F.sum("whole").over(row)).withColumn("col_left", F.col("paid") - F.sum("whole").over(col))
-    # running ends of the cents left, by person; every cell of a row has the row's value
-    by_row = Window.partitionBy("expense_id", "to_person").orderBy("from_person").rowsBetween(Window.unboundedPreceding, 0)
-    by_col = Window.partitionBy("expense_id", "from_person").orderBy("to_person").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("row_end", F.sum("row_left").over(by_row)).withColumn("col_end", F.sum("col_left").over(by_col))
-    extra = F.greatest(F.lit(0), F.least("row_end", "col_end") - F.greatest(F.col("row_end") - F.col("row_left"), F.col("col_end") - F.col("col_left")))
-    return cells.select("expense_id", "from_person", "to_person", (F.col("whole") + extra).alias("amount_minor")).where("amount_minor <> 0")
+    part = lambda df, kind: df.select("expense_id", "person_id", F.lit(kind).alias("kind"), "base_minor")
+    return flows_of_parts(part(share, "consumed").unionByName(part(payment, "paid")), ["expense_id"])
+
+
+FITS = (1 << 63) - 1
+
+
+def _cells(owed: np.ndarray, paid: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sharer, payer, amount) of every cell of expenses with ``n`` sharers and ``m`` payers,
+    whose amounts stand in ``owed`` and ``paid`` one after the other."""
+    count = n * m
+    of, begin = np.repeat(np.arange(len(n)), count), np.cumsum(count) - count
+    at, s0, p0 = np.arange(len(of)) - begin[of], np.cumsum(n) - n, np.cumsum(m) - m
+    total = np.add.reduceat(paid, p0) if len(m) else paid
+    whole = lambda s, p: owed[s] * paid[p] // total[of]
+    # cells by sharer, and by payer, for the sums of rows and columns
+    s, p = s0[of] + at // m[of], p0[of] + at % m[of]
+    cell = whole(s, p)
+    row_left = owed - np.add.reduceat(cell, np.cumsum(per := np.repeat(m, n)) - per)
+    by_payer = whole(s0[of] + at % n[of], p0[of] + at // n[of])
+    col_left = paid - np.add.reduceat(by_payer, np.cumsum(per := np.repeat(n, m)) - per)
+
+    def ends(left: np.ndarray, first: np.ndarray, k: np.ndarray) -> np.ndarray:
+        run = np.cumsum(left)
+        return run - np.repeat(run[first] - left[first], k)
+
+    row_end, col_end = ends(row_left, s0, n), ends(col_left, p0, m)
+    extra = np.minimum(row_end[s], col_end[p]) - np.maximum((row_end - row_left)[s], (col_end - col_left)[p])
+    return s, p, cell + np.maximum(extra, 0)
+
+
+def _people(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(people of each list, who they are, their amounts); lists are in order of people, one
+    who comes again is counted together."""
+    n, flat = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    who, minor = flat.field("person_id"), flat.field("base_minor").to_numpy(zero_copy_only=False)
+    code, of = who.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+    new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+    if len(new) == len(of):
+        return n, who, minor
+    return np.bincount(of[new], minlength=len(n)), who.take(pa.array(new)), np.add.reduceat(minor, new)
+
+
+def _flows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (n, who, owed), (m, to, paid) = (_people(batch.column(k)) for k in ("owes", "pays"))
+        if int(owed.max()) * int(paid.max()) > FITS:
+            owed, paid = owed.astype(object), paid.astype(object)
+        s, p, amount = _cells(owed, paid, n, m)
+        keep = np.flatnonzero(amount != 0)
+        of, s, p = np.repeat(np.arange(len(n)), n * m)[keep], pa.array(s[keep]), pa.array(p[keep])
+        names = [k for k in batch.schema.names if k not in ("owes", "pays")]
+        columns = [batch.column(k).take(pa.array(of)) for k in names] + [who.take(s), to.take(p), pa.array(amount[keep].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "from_person", "to_person", "amount_minor"])
+
+
+def flows_of_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`expense_flows` of parts(``keys``, person_id, kind, base_minor), ``kind`` being
+    ``paid`` or ``consumed``; ``keys`` are expense_id and columns that hang on it. Expenses that
+    have no proportions (a part that is negative or NULL, or nothing but zeros) have no flows.
+
+    People of one expense are few: they meet as two lists, with one shuffle, and the cells of
+    a batch of expenses are worked out side by side.
+    """
+    minor = F.col("base_minor").cast("bigint")
+    entry = F.struct("person_id", minor.alias("base_minor"))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    lists = parts.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(of("consumed", entry))).alias("owes"), F.sort_array(F.collect_list(of("paid", entry))).alias("pays"), F.max(minor.isNull()).alias("lost"),
+        F.min(minor).alias("low"), F.sum(of("consumed", minor)).alias("owed"), F.sum(of("paid", minor)).alias("paid"),
+    ).where("NOT lost AND low >= 0 AND owed > 0 AND paid > 0").select(*keys, "owes", "pays")
+    kinds = dict(lists.dtypes)
+    return lists.mapInArrow(_flows, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "from_person string, to_person string, amount_minor long"]))
 
 
 def flow_fallback(share: DataFrame, payment: DataFrame) -> DataFrame:

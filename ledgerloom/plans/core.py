@@ -54,6 +54,10 @@ balance AS (SELECT group_id, person_id, sum(p)::BIGINT AS paid, sum(c)::BIGINT A
 
 
 # ------------------------------------------------------------------ shared pieces in Spark
+#: What balances ask of a line.
+AMOUNTS = ["expense_id", "position", "total_minor", "kind", "attached"]
+
+
 def legs(v: Views) -> DataFrame:
     return fx.both_directions(v.exchange_rate)
 
@@ -110,6 +114,7 @@ def facts(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def group_balances(v: Views) -> DataFrame:
+    v.keep_narrow("line_item", AMOUNTS)
     return bal.balances_of_parts(parts(v), settled(v), ["group_id"])
 
 
@@ -452,19 +457,20 @@ flow AS (SELECT expense_id, f AS from_person, t AS to_person, (whole + greatest(
 
 
 def flows(v: Views) -> DataFrame:
-    paid, consumed, _ = facts(v)
-    fit = consumed.join(based(v).where("total_base_minor > 0").select("expense_id"), "expense_id", "left_semi").groupBy("expense_id").agg(F.min("base_minor").alias("low")).where("low >= 0").select("expense_id")
-    return bal.expense_flows(consumed.join(fit, "expense_id", "left_semi"), paid.join(fit, "expense_id", "left_semi"))
+    """(group_id, expense_id, from_person, to_person, amount_minor)."""
+    v.keep_narrow("line_item", AMOUNTS)
+    return bal.flows_of_parts(parts(v), ["group_id", "expense_id"])
 
 
 @query("BAL5_expense_flows", "SELECT * FROM flow WHERE amount_minor <> 0", ALL_VIEWS, FLOWS)
 def bal5(v: Views) -> DataFrame:
-    return flows(v)
+    return flows(v).drop("group_id")
 
 
 @query("BAL6_flow_fallback")
 def bal6(v: Views) -> DataFrame:
     """Expenses with a negative share, in their own currency."""
+    v.keep_narrow("line_item", AMOUNTS)
     all_shares(v)
     v.keep("shares")
     bad = all_shares(v).groupBy("expense_id").agg(F.min("share_minor").alias("low")).where("low < 0").select("expense_id")
@@ -477,18 +483,14 @@ NET = FLOWS + """,
 net AS (SELECT group_id, least(f, t) AS low, greatest(f, t) AS high, sum(CASE WHEN f < t THEN a ELSE -a END) AS n FROM (SELECT e.group_id, from_person AS f, to_person AS t, amount_minor AS a FROM flow JOIN expense e USING (expense_id) UNION ALL SELECT group_id, to_person, from_person, amount_minor FROM settlement WHERE currency = 'EUR') WHERE f <> t GROUP BY 1, 2, 3)"""
 
 
-def _group_flows(v: Views) -> DataFrame:
-    return flows(v).join(v.expense.select("expense_id", "group_id"), "expense_id")
-
-
 @query("BAL7_pairwise_net", "SELECT group_id, CASE WHEN n > 0 THEN low ELSE high END AS from_person, CASE WHEN n > 0 THEN high ELSE low END AS to_person, abs(n)::BIGINT AS amount_minor FROM net WHERE n <> 0", ALL_VIEWS, NET)
 def bal7(v: Views) -> DataFrame:
-    return bal.pairwise_net(_group_flows(v), settled(v))
+    return bal.pairwise_net(flows(v), settled(v))
 
 
 @query("BAL8_pairwise_debts")
 def bal8(v: Views) -> DataFrame:
-    return bal.pairwise_debts(_group_flows(v), settled(v))
+    return bal.pairwise_debts(flows(v), settled(v))
 
 
 @query("BAL9_person_totals", "SELECT person_id, g.base_currency, sum(balance)::BIGINT AS balance, count(*) AS groups FROM balance JOIN grp g USING (group_id) GROUP BY 1, 2", ALL_VIEWS, BALANCE)

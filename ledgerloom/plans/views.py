@@ -158,7 +158,7 @@ class Views:
         view before those above it."""
         for name in names:
             if name not in self._kept:
-                df = getattr(self, name) if name in SQL else self._made[name]
+                df = self._made[name] if name in self._made else getattr(self, name)
                 if name in SPREAD:
                     df = df.repartition(int(self._spark.conf.get("spark.sql.shuffle.partitions")), SPREAD[name])
                 path = shared_path(self._spark, name)
@@ -166,6 +166,12 @@ class Views:
                 self._made[name] = self._spark.read.parquet(path)
                 self._kept.add(name)
 
+    def keep_narrow(self, name: str, columns: list[str]) -> None:
+        """:meth:`keep` of some columns of a view, for queries that ask for no others."""
+        if name not in self._kept:
+            self._made[name] = getattr(self, name).select(*columns)
+            self.keep(name)
+
     def table(self, name: str) -> DataFrame:
         return self._spark.read.parquet(os.path.join(self._dir, f"{name}.parquet"))
 
