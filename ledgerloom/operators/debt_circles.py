@@ -5,7 +5,8 @@ followed in order, and the first circle met is lowered by its smallest debt, unt
 left. A walk from the beginning after each circle would meet the same people again; the
 walk here goes on from the first debt that a circle used up, with the same result.
 
-Groups of more than ``split_above`` debts are cut up first, without changing any result:
+Debts that lie on no circle are set aside before the walk, in one task by arrays. Groups of more
+than ``split_above`` debts are cut up over all tasks first, without changing any result:
 
 * A debt to someone who owes nothing leads to no circle. A person whom nobody owes is met
   only as a start, after all smaller people, so that their debts to smaller people lead the
@@ -17,13 +18,18 @@ Groups of more than ``split_above`` debts are cut up first, without changing any
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.writers import shared_path
 
-SPLIT_ABOVE = 50_000
+#: A group up to this is one task's work: as numbers its debts take some 24 bytes each, and only
+#: those that may lie on a circle become Python objects.
+SPLIT_ABOVE = 1_000_000
+#: Debts that go in a round in one task, at least, of those left.
+TOO_FEW = 0.0005
 #: Rounds of setting aside, at most, and the part of the debts that is worth a further one.
 ROUNDS, WORTH = 20, 0.01
 PAIR = ["from_person", "to_person", "amount_minor"]
@@ -66,17 +72,40 @@ def without_circles(debts: dict[str, dict[str, int]]) -> None:
                 del path[begin + cut + 1 :]
 
 
+def coded(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(debtors, creditors, amounts, people): people as numbers in their order."""
+    code, people = pd.factorize(pd.concat([pdf["from_person"], pdf["to_person"]]), sort=True)
+    return code[: len(pdf)], code[len(pdf) :], pdf["amount_minor"].to_numpy(np.int64), np.asarray(people, object)
+
+
+def core(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which debts are left when those go that lie on no circle and don't steer the walk, by
+    the rule of the module, until none goes or a round finds too few."""
+    at, n = np.arange(len(a)), int(max(a.max(), b.max())) + 1 if len(a) else 0
+    while len(at):
+        owes, owed = (np.bincount(v[at], minlength=n) > 0 for v in (a, b))
+        stays = owes[b[at]] & (owed[a[at]] | (b[at] > a[at]))
+        found = len(at) - int(stays.sum())
+        at = at[stays]
+        if found < TOO_FEW * len(at) or not found:
+            break
+    return np.isin(np.arange(len(a)), at, assume_unique=True)
+
+
 def _cancelled(df: DataFrame, keys: list[str]) -> DataFrame:
     """The debts of each ``keys`` without circles; one key is one task's work."""
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        debts: dict[str, dict[str, int]] = {}
-        for a, b, m in zip(*(pdf[c] for c in PAIR), strict=True):
-            debts.setdefault(a, {})[b] = int(m)
+        a, b, amount, people = coded(pdf)
+        left = core(a, b)
+        debts: dict[int, dict[int, int]] = {}
+        for x, y, m in zip(*(v[left].tolist() for v in (a, b, amount)), strict=True):
+            debts.setdefault(x, {})[y] = m
         without_circles(debts)
-        rows = [(pdf["group_id"].iloc[0], a, b, m) for a, out in sorted(debts.items()) for b, m in sorted(out.items())]
-        return pd.DataFrame(rows, columns=["group_id", *PAIR])
+        rest = np.array([(x, y, m) for x, out in debts.items() for y, m in out.items()], np.int64).reshape(-1, 3).T
+        a, b, amount = (np.concatenate([v[~left], r]) for v, r in zip((a, b, amount), rest, strict=True))
+        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "from_person": people[a], "to_person": people[b], "amount_minor": amount})
 
     return df.groupBy(*keys).applyInPandas(run, f"group_id {kinds['group_id']}, from_person string, to_person string, amount_minor long")
 
