@@ -115,16 +115,18 @@ def in_base(parts: DataFrame, expense: DataFrame, amount: str) -> DataFrame:
     return rescale(df, ["expense_id"], F.col("total_base_minor"), F.col(amount), key).drop("total_base_minor")
 
 
-def parts_in_base(shares: DataFrame, payment: DataFrame, expense: DataFrame, columns: tuple[str, ...] = ("group_id",)) -> DataFrame:
+def parts_in_base(shares: DataFrame, payment: DataFrame, expense: DataFrame, columns: tuple[str, ...] = ("group_id",), tasks: int = 0) -> DataFrame:
     """What everybody consumed and paid, in one pass: (expense_id, person_id,
     payment_method_id, kind, base_minor and ``columns`` of the expense), ``kind`` being
     ``consumed`` or ``paid``.
 
     Expenses whose shares have both signs, or are all zero, have no proportions and are left
-    out. All windows lie on the partitioning that the join with ``expense`` needs.
+    out. All windows lie on the partitioning that the join with ``expense`` needs, which has
+    ``tasks`` parts if that is more than 0, so that what a task sorts fits its memory.
     """
     kinds = shares.select("expense_id", "person_id", F.lit(None).cast("string").alias("payment_method_id"), F.lit("consumed").alias("kind"), F.col("share_minor").cast("bigint").alias("__amount")).unionByName(
         payment.select("expense_id", "person_id", "payment_method_id", F.lit("paid").alias("kind"), F.col("amount_minor").cast("bigint").alias("__amount")))
+    kinds = kinds.repartition(tasks, "expense_id") if tasks else kinds
     df = kinds.join(expense.select("expense_id", "total_base_minor", *columns), "expense_id")
     w = Window.partitionBy("expense_id")
     share = F.when(F.col("kind") == "consumed", F.col("__amount"))

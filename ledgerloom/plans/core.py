@@ -97,7 +97,7 @@ def parts(v: Views) -> DataFrame:
 
     def build() -> DataFrame:
         shares = all_shares(v)  # first, since it writes the views that ``based`` stands on
-        return split.parts_in_base(shares, v.expense_payment, based(v))
+        return split.parts_in_base(shares, v.expense_payment, based(v), tasks=v.tasks("expense"))
 
     return v.once("parts", build)
 

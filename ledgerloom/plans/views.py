@@ -105,6 +105,8 @@ SELECT source_lang, target_lang, source_text, translated_text, from_user, update
 SPREAD = {"expense": "expense_id", "parts": "expense_id"}
 #: Tables whose rows are sorted by a key, and rows that one task sorts, about.
 DEALT, TASK_ROWS = {"lineitem": "l_orderkey"}, 400_000
+#: Shares and payments of an expense, about.
+PER_ROW = 5
 PARTS = "{lineitem} JOIN {part} ON l_partkey = p_partkey"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
@@ -186,6 +188,12 @@ class Views:
         df = df if joined is None else joined
         return df.repartition(parts, DEALT[name]) if parts > int(self._spark.conf.get("spark.sql.shuffle.partitions")) else df
 
+    def tasks(self, name: str) -> int:
+        """In how many parts the rows of a written view are sorted, some five for each of its own;
+        0 where those of a shuffle are enough."""
+        parts = PER_ROW * getattr(self, name).count() // TASK_ROWS
+        return parts if parts > int(self._spark.conf.get("spark.sql.shuffle.partitions")) else 0
+
     def _small(self, df: DataFrame) -> bool:
         """Whether Spark sends ``df`` to every task for a join."""
         limit = int(self._spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

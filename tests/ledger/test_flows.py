@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import balances
-from ledgerloom.plans import all_queries, core
+from ledgerloom.plans import all_queries, core, views
 from ledgerloom.plans.views import Views
 
 from ..conftest import SF_SMALL
@@ -74,3 +74,13 @@ def test_flows_stand_on_one_pass(spark):
     v = Views(spark, SF_SMALL)
     core.flows(v)
     assert "parts" not in v._kept and v.line_item.columns == core.AMOUNTS
+
+
+def test_what_a_task_sorts_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_ROWS", 500)
+    large = core.flows(Views(spark, SF_SMALL))
+    assert "RepartitionByExpression [expense_id" in large._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    small = core.flows(Views(spark, SF_SMALL))
+    assert "RepartitionByExpression" not in small._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
